@@ -53,4 +53,4 @@ def pg_micros_to_ts(micros: Column) -> Column:
 
 def ts_to_pg_micros(ts: Column) -> Column:
     """Inverse of :func:`pg_micros_to_ts`; times before 2000 saturate at 0."""
-    return F.greatest(F.unix_micros(ts) - F.lit(PG_EPOCH_MICROS), F.lit(0).cast("bigint"))
+    return F.greatest(F.unix_micros(ts.cast("timestamp")) - F.lit(PG_EPOCH_MICROS), F.lit(0).cast("bigint"))

@@ -104,7 +104,7 @@ def parse_history(history: DataFrame) -> DataFrame:
     and comment lines are skipped."""
     pattern = r"^\s*(\d+)\s+([0-9A-Fa-f]{1,8}/[0-9A-Fa-f]{1,8})"
     return history.where(F.col("line").rlike(pattern)).select(
-        "timeline", F.regexp_extract("line", pattern, 1).cast("bigint").alias("parent_tli"),
+        "timeline", F.regexp_extract("line", pattern, 1).try_cast("bigint").alias("parent_tli"),
         lsn_parse(F.regexp_extract("line", pattern, 2)).alias("switch_lsn"),
     )
 

@@ -38,7 +38,8 @@ def with_blocks(df: DataFrame, group: Sequence[str], order: str, blocks: int | N
     n = blocks or block_count(df)
     if n <= 1:
         return df.withColumn(BLOCK, F.lit(0)), 1
-    number = F.unix_micros(order) if dict(df.dtypes)[order] == "timestamp" else F.col(order)
+    timed = dict(df.dtypes)[order].startswith("timestamp")
+    number = F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
     located = df.withColumn("_at", F.coalesce(number.cast("double"), F.lit(float("-inf"))))
     cuts = located.approxQuantile("_at", [i / n for i in range(1, n)], 0.25 / n)
     cuts = sorted({c for c in cuts if abs(c) != float("inf")})

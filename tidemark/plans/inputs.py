@@ -145,10 +145,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_inputs(names: list[str], query: str) -> str:
-    """SQL text with the derived inputs as leading common table expressions."""
+    """SQL text with the derived inputs as leading common table expressions. The query may start
+    with ``WITH`` or, for a recursive one, with ``RECURSIVE`` and its own expressions."""
     parts = [f"{n} AS ({DERIVED[n].strip()})" for n in names]
-    recursive = "RECURSIVE " if query.lstrip().upper().startswith("RECURSIVE") else ""
-    body = query.lstrip()[len(recursive):] if recursive else query.strip()
-    if body.lstrip().upper().startswith("WITH "):
-        return f"WITH {recursive}" + ", ".join([*parts, body.lstrip()[5:]])
-    return f"WITH {recursive}" + ", ".join(parts) + " " + body
+    body = query.strip()
+    for lead in ("WITH ", "RECURSIVE "):
+        if body.startswith(lead):
+            return ("WITH RECURSIVE " if lead == "RECURSIVE " else "WITH ") + ", ".join([*parts, body[len(lead):]])
+    return "WITH " + ", ".join(parts) + " " + body
