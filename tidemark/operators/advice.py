@@ -7,9 +7,9 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.decisions import run_rule
+from tidemark.operators.decisions import apply_rule, run_rule
 from tidemark.operators.joins import counter_rate
-from tidemark.operators.scale import neighbour
+from tidemark.operators.scale import scan
 
 MIB = 1024 * 1024
 
@@ -21,14 +21,16 @@ DOWN_CORES, DOWN_TICKS, DOWN_COOLDOWN = 0.5, 6, 60
 RESTART_RATIO, SETTLE_SECONDS, RESTART_INTERVAL = 1.25, 90, 120
 RELOAD_PERCENT = 5
 
-SCALE_OUTPUT = "action string, at_ceiling boolean, last_action string"
+SCALE_OUTPUT = "action string, at_ceiling boolean"
 MEMORY_OUTPUT = "reload boolean, restart boolean, buffers_from_mb bigint, buffers_to_mb bigint"
 
 
 def scale_rule(rows: pd.DataFrame, state: dict | None, max_workers: int) -> tuple[dict[str, list], dict]:
-    """Ticks ``(at_s, live, cores)`` in order; null ``cores`` is a tick without an earlier sample."""
-    state = dict(state or {"hot": 0, "cold": 0, "acted": None, "last": None})
-    actions, ceilings, lasts = [], [], []
+    """Ticks ``(at_s, live, cores)`` in order; null ``cores`` is a tick without an earlier sample.
+    The end state leaves out what can decide nothing any more: streak lengths beyond the thresholds
+    and an action longer ago than both cooldowns."""
+    state = dict(state or {"hot": 0, "cold": 0, "acted": None})
+    actions, ceilings = [], []
     for at, live, cores in zip(rows["at_s"].tolist(), rows["live"].tolist(), rows["cores"].tolist()):
         action, ceiling = "hold", None
         if live and not pd.isna(cores):
@@ -42,26 +44,26 @@ def scale_rule(rows: pd.DataFrame, state: dict | None, max_workers: int) -> tupl
             elif state["cold"] >= DOWN_TICKS and idle_for >= DOWN_COOLDOWN:
                 action = "down"
             if action != "hold":
-                state.update(hot=0, cold=0, acted=at, last=action)
+                state.update(hot=0, cold=0, acted=at)
             ceiling = live >= max_workers and each > UP_CORES
-        # streaks beyond the thresholds decide nothing more
         state["hot"], state["cold"] = min(state["hot"], UP_TICKS), min(state["cold"], DOWN_TICKS)
+        if state["acted"] is not None and at - state["acted"] >= max(UP_COOLDOWN, DOWN_COOLDOWN):
+            state["acted"] = None
         actions.append(action)
         ceilings.append(ceiling)
-        lasts.append(state["last"])
-    return {"action": actions, "at_ceiling": ceilings, "last_action": lasts}, state
+    return {"action": actions, "at_ceiling": ceilings}, state
 
 
 def scale_ticks(samples: DataFrame, ticks_per_second: int = 100, tick_seconds: int = 5, blocks: int | None = None) -> DataFrame:
-    """One row per host and tick: live workers, and cores used since the tick before."""
-    live = samples.groupBy("host", "tick").agg(F.count_distinct("pid").alias("live"))
-    rate = counter_rate(samples, blocks).groupBy("host", "tick").agg(F.sum("delta_ticks").alias("_delta"))
-    timed = neighbour(live, ["host"], ["tick"], {"_prev": F.col("tick")}, blocks=blocks)
-    elapsed = (F.col("tick") - F.col("_prev")) * tick_seconds
-    used = F.coalesce(F.col("_delta"), F.lit(0).cast("bigint"))
-    return timed.join(rate, ["host", "tick"], "left").select(
+    """One row per host and tick: live workers, and cores used since the tick before by workers
+    that were there at both ticks."""
+    rate = counter_rate(samples, blocks, every_sample=True)
+    used = rate.groupBy("host", "tick", "prev_tick").agg(
+        F.count_distinct("pid").alias("live"), F.coalesce(F.sum("delta_ticks"), F.lit(0).cast("bigint")).alias("_used"))
+    elapsed = (F.col("tick") - F.col("prev_tick")) * tick_seconds
+    return used.select(
         "host", "tick", (F.col("tick") * tick_seconds).alias("at_s"), "live",
-        F.when(elapsed > 0, used / ticks_per_second / elapsed).alias("cores"))
+        F.when(elapsed > 0, F.col("_used") / ticks_per_second / elapsed).alias("cores"))
 
 
 def scale_decisions(samples: DataFrame, max_workers: int, ticks_per_second: int = 100, tick_seconds: int = 5,
@@ -69,7 +71,9 @@ def scale_decisions(samples: DataFrame, max_workers: int, ticks_per_second: int
     """Advice per host and tick from cumulative CPU counters ``(host, pid, tick, cpu_ticks)``."""
     ticks = scale_ticks(samples, ticks_per_second, tick_seconds, blocks)
     rule = lambda rows, state: scale_rule(rows, state, max_workers)
-    decided = run_rule(ticks, ["host"], ["at_s"], rule, SCALE_OUTPUT, blocks=blocks)
+    decided = apply_rule(scan(ticks, ["host"], ["at_s"], blocks), rule, SCALE_OUTPUT)
+    taken = F.when(F.col("action") != "hold", F.col("action"))
+    decided = decided.running({"last_action": ("last", taken)}).done()
     hundredths = lambda c: F.floor(c * 100 + 0.5) / 100
     return decided.select(
         "host", "tick", "live", hundredths(F.col("cores")).alias("aggregate_cores"),
@@ -86,7 +90,8 @@ def buffers_moved_enough(tuned_ram: int, new_ram: int) -> bool:
 
 
 def memory_rule(rows: pd.DataFrame, state: dict | None) -> tuple[dict[str, list], dict]:
-    """Samples ``(at_s, ram_bytes)`` in order; the first one is what the server was started with."""
+    """Samples ``(at_s, ram_bytes)`` in order; the first one is what the server was started with.
+    Times so long ago that every wait is over are left out of the state."""
     out: dict[str, list] = {"reload": [], "restart": [], "buffers_from_mb": [], "buffers_to_mb": []}
     state = dict(state) if state else None
     for at, ram in zip(rows["at_s"].tolist(), rows["ram_bytes"].tolist()):
@@ -98,11 +103,14 @@ def memory_rule(rows: pd.DataFrame, state: dict | None) -> tuple[dict[str, list]
         before = buffers_mb(state["tuned"])
         restart = (
             buffers_moved_enough(state["tuned"], state["seen"])
-            and at - state["moved"] >= SETTLE_SECONDS
+            and (state["moved"] is None or at - state["moved"] >= SETTLE_SECONDS)
             and (state["restarted"] is None or at - state["restarted"] >= RESTART_INTERVAL)
         )
         if restart:
             state.update(tuned=state["seen"], restarted=at)
+        for name, wait in (("moved", SETTLE_SECONDS), ("restarted", RESTART_INTERVAL)):
+            if state[name] is not None and at - state[name] >= wait:
+                state[name] = None
         out["reload"].append(reload)
         out["restart"].append(restart)
         out["buffers_from_mb"].append(before)

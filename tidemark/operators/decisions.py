@@ -15,41 +15,39 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.operators.scale import BLOCK, with_blocks
+from tidemark.operators.scale import BLOCK, Scan, scan
 from tidemark.session import cut_lineage
 
 # rule(rows in order, state or None for a fresh start) -> (output columns, end state)
 Rule = Callable[[pd.DataFrame, dict | None], tuple[dict[str, list], dict]]
 
 
-def run_rule(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], rule: Rule, outputs: str,
-    blocks: int | None = None, first_guess: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
-    """Input columns plus the rule's ``outputs`` (a DDL list). ``first_guess`` may turn the blocked
-    input into rows ``(group, block, _entry)`` of likely entry states, as JSON text."""
-    keys = [*group, BLOCK]
-    cut, n = with_blocks(df, group, order[0], blocks)
+def apply_rule(
+    rows: Scan, rule: Rule, outputs: str, first_guess: Callable[[DataFrame], DataFrame] | None = None,
+) -> Scan:
+    """Add the rule's ``outputs`` (a DDL list) to a scan. ``first_guess`` may turn the blocked input
+    into rows ``(group, block, _entry)`` of likely entry states, as JSON text."""
+    keys, order, cut = [*rows.group, BLOCK], list(rows.order), rows.df
     fields = cut.schema.simpleString()[len("struct<"):-1]
     extra = outputs.replace(" ", ":").replace(",:", ",")
     names = [o.split()[0] for o in outputs.split(", ")]
 
-    def emit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        entry = rows.pop("_entry").iloc[0] if "_entry" in rows else None
-        columns, _ = rule(rows, json.loads(entry) if entry else None)
-        return rows.assign(**{name: columns[name] for name in names})
+    def emit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        entry = part.pop("_entry").iloc[0] if "_entry" in part else None
+        columns, _ = rule(part, json.loads(entry) if entry else None)
+        return part.assign(**{name: columns[name] for name in names})
 
-    if n == 1:
-        return cut.groupBy(*keys).applyInPandas(emit, f"struct<{fields},{extra}>").drop(BLOCK)
+    if rows.blocks == 1:
+        return rows.map(lambda df: df.groupBy(*keys).applyInPandas(emit, f"struct<{fields},{extra}>"))
 
     key_types = ",".join(f"{k}:{dict(cut.dtypes)[k]}" for k in keys)
 
-    def finish(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        entry = rows.pop("_entry").iloc[0]
-        _, state = rule(rows, json.loads(entry) if entry else None)
-        return rows[keys].head(1).assign(_entry=entry, _exit=json.dumps(state))
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        entry = part.pop("_entry").iloc[0]
+        _, state = rule(part, json.loads(entry) if entry else None)
+        return part[keys].head(1).assign(_entry=entry, _exit=json.dumps(state))
 
     def run_from(entries: DataFrame) -> DataFrame:
         ended = cut.join(entries, keys).groupBy(*keys).applyInPandas(
@@ -61,7 +59,8 @@ def run_rule(
     else:
         entries = first_guess(cut)
     exits = run_from(entries)
-    following = Window.partitionBy(*group).orderBy(BLOCK)
+    # one row per block of a group
+    following = Window.partitionBy(*rows.group).orderBy(BLOCK)
     while True:
         linked = exits.withColumn("_next", F.lag("_exit").over(following))
         changed = cut_lineage(linked.where(~F.col("_next").eqNullSafe(F.col("_entry"))).select(
@@ -69,5 +68,12 @@ def run_rule(
         if changed.isEmpty():
             break
         exits = cut_lineage(exits.join(changed.select(*keys), keys, "left_anti").unionByName(run_from(changed)))
-    return (cut.join(exits.select(*keys, "_entry"), keys).groupBy(*keys)
-            .applyInPandas(emit, f"struct<{fields},{extra}>").drop(BLOCK))
+    settled = exits.select(*keys, "_entry")
+    return rows.map(lambda df: df.join(settled, keys).groupBy(*keys).applyInPandas(emit, f"struct<{fields},{extra}>"))
+
+
+def run_rule(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], rule: Rule, outputs: str,
+    blocks: int | None = None, first_guess: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    return apply_rule(scan(df, group, order, blocks), rule, outputs, first_guess).done()

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.decisions import run_rule
-from tidemark.operators.scale import neighbour
+from tidemark.operators.decisions import apply_rule
+from tidemark.operators.scale import scan
 from tidemark.session import small_side
 
 # Message tags of the row changes, and the payloads that are not events.
@@ -80,8 +80,8 @@ def significant_change(
     """Rows whose value moved by more than ``pct`` percent from the last kept one; the first row of
     a group is its reference. A value equal to the one before it is never kept, so repeats are
     dropped before the chain runs."""
-    steps = neighbour(series, group, order, {"_before": F.col(column)}, blocks=blocks)
-    steps = steps.where(F.col("_before").isNull() | (F.col("_before") != F.col(column))).drop("_before")
+    moved = F.col("_before").isNull() | (F.col("_before") != F.col(column))
     rule = lambda rows, state: _keep_rule(rows, state, column, pct)
-    flagged = run_rule(steps, group, order, rule, "kept boolean", blocks=blocks)
-    return flagged.where("kept").drop("kept")
+    steps = scan(series, group, order, blocks).neighbour({"_before": F.col(column)})
+    steps = steps.map(lambda df: df.where(moved).drop("_before"))
+    return apply_rule(steps, rule, "kept boolean").done().where("kept").drop("kept")

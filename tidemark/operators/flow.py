@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.arithmetic import retry_delay_ms
-from tidemark.operators.ordering import counter_increase
-from tidemark.operators.scale import neighbour, row_numbers, running
+from tidemark.operators.ordering import saturating_growth
+from tidemark.operators.scale import neighbour, running, scan
 
 MIB = 1024 * 1024
 
@@ -67,9 +67,8 @@ def replication_lag(
 def crash_loops(runs: DataFrame, stable_seconds: int = STABLE_SECONDS, blocks: int | None = None) -> DataFrame:
     """Per process run ``(process, seq, ran_s)``: restarts since the last stable run and the delay
     before the next start. A run of ``stable_seconds`` resets the streak."""
-    numbered = row_numbers(runs, ["process"], ["seq"], "_rn", blocks)
     stable = F.when(F.col("ran_s") >= stable_seconds, F.col("_rn"))
-    marked = running(numbered, ["process"], ["seq"], {"_stable": ("max", stable)}, blocks)
+    marked = scan(runs, ["process"], ["seq"], blocks).number("_rn").running({"_stable": ("max", stable)}).done()
     streak = F.col("_rn") - F.coalesce(F.col("_stable"), F.lit(0).cast("bigint"))
     return marked.select(*runs.columns, streak.alias("restart_streak"), retry_delay_ms(streak).alias("delay_ms"))
 
@@ -78,8 +77,9 @@ def pressure_feed(samples: DataFrame, seconds: int = HEARTBEAT_SECONDS, now: Col
     """Pressure samples ``(host, ts, some_avg10, full_avg10, refaults)`` with the growth of the
     refault counter and whether the host then fell silent for more than ``seconds``. The last
     sample of a host is compared with ``now``, if given."""
-    grown = counter_increase(samples, ["host"], ["ts"], ["refaults"], blocks=blocks)
-    ahead = neighbour(grown, ["host"], ["ts"], {"_next": F.col("ts")}, following=True, blocks=blocks)
+    placed = scan(samples, ["host"], ["ts"], blocks).neighbour({"_before_refaults": F.col("refaults")})
+    ahead = placed.neighbour({"_next": F.col("ts")}, following=True).done()
+    ahead = ahead.withColumn("refaults_increase", saturating_growth("refaults"))
     until = F.coalesce("_next", now) if now is not None else F.col("_next")
     silent = until > F.col("ts") + F.make_dt_interval(secs=F.lit(seconds))
     return ahead.select(*samples.columns, "refaults_increase", F.coalesce(silent, F.lit(False)).alias("disconnected"))

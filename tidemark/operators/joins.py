@@ -65,18 +65,21 @@ def metric_rank(name: Column) -> Column:
     return F.nullif(F.array_position(known, name), F.lit(0).cast("bigint"))
 
 
-def counter_rate(samples: DataFrame, blocks: int | None = None) -> DataFrame:
+def counter_rate(samples: DataFrame, blocks: int | None = None, every_sample: bool = False) -> DataFrame:
     """Growth of cumulative counters ``(host, pid, tick, cpu_ticks)`` between consecutive ticks of
-    a host. A pid counts only if it is in both ticks; a falling counter counts 0."""
+    a host. A pid counts only if it is in both ticks; a falling counter counts 0. With
+    ``every_sample`` the others come out too, with null growth."""
     ticks = samples.select("host", "tick").distinct()
     ticks = neighbour(ticks, ["host"], ["tick"], {"prev_tick": F.col("tick")}, blocks=blocks)
     mine = neighbour(
         samples, ["host", "pid"], ["tick"],
         {"_tick": F.col("tick"), "_cpu": F.col("cpu_ticks")}, blocks=blocks,
     )
-    both = mine.join(ticks, ["host", "tick"]).where(F.col("_tick") == F.col("prev_tick"))
+    placed = mine.join(ticks, ["host", "tick"])
+    both = F.col("_tick") == F.col("prev_tick")
     growth = F.greatest(F.col("cpu_ticks") - F.col("_cpu"), F.lit(0).cast("bigint"))
-    return both.select("host", "pid", "tick", "prev_tick", growth.alias("delta_ticks"))
+    kept = placed if every_sample else placed.where(both)
+    return kept.select("host", "pid", "tick", "prev_tick", F.when(both, growth).alias("delta_ticks"))
 
 
 def reconcile_identities(saved: DataFrame, live: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.lsn import HIGH_WORD, lsn_parse
 from tidemark.functions.segments import is_segment, parse_segment_name
 from tidemark.operators.joins import metric_rank
-from tidemark.operators.scale import neighbour, row_numbers, running
+from tidemark.operators.scale import neighbour, row_numbers, running, scan
 from tidemark.session import small_side
 
 # Fixed value: the smallest number of segments a retention job may be set to keep.
@@ -79,15 +79,19 @@ def order_violations(events: DataFrame, source: str = "source", arrival: str = "
     return with_previous.where(F.col("lsn") < F.col("prev_lsn"))
 
 
+def saturating_growth(column: str) -> Column:
+    """Growth since ``_before_<column>``, at least 0; null when either is null."""
+    growth = F.col(column) - F.col(f"_before_{column}")
+    return F.when(growth.isNotNull(), F.greatest(growth, F.lit(0).cast("bigint")))
+
+
 def counter_increase(
     samples: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str],
     blocks: int | None = None,
 ) -> DataFrame:
     """Saturating growth of cumulative counters since the sample before; null stays null."""
     before = neighbour(samples, group, order, {f"_before_{c}": F.col(c) for c in columns}, blocks=blocks)
-    zero = F.lit(0).cast("bigint")
-    grown = {f"{c}_increase": F.when((F.col(c) - F.col(f"_before_{c}")).isNotNull(),
-                                     F.greatest(F.col(c) - F.col(f"_before_{c}"), zero)) for c in columns}
+    grown = {f"{c}_increase": saturating_growth(c) for c in columns}
     return before.withColumns(grown).drop(*[f"_before_{c}" for c in columns])
 
 
@@ -141,10 +145,10 @@ def hot_streak(
     samples: DataFrame, group: Sequence[str], order: Sequence[str], hot: Column, blocks: int | None = None,
 ) -> DataFrame:
     """Length of the run of consecutive hot samples that ends at each row; 0 where it is not hot."""
-    numbered = row_numbers(samples.withColumn("_hot", F.coalesce(hot, F.lit(False))), group, order, "_rn", blocks)
-    cold = running(numbered, group, order, {"_cold": ("max", F.when(~F.col("_hot"), F.col("_rn")))}, blocks)
+    cold = F.when(~F.coalesce(hot, F.lit(False)), F.col("_rn"))
+    placed = scan(samples, group, order, blocks).number("_rn").running({"_cold": ("max", cold)}).done()
     streak = F.col("_rn") - F.coalesce(F.col("_cold"), F.lit(0).cast("bigint"))
-    return cold.withColumn("streak", streak).drop("_hot", "_rn", "_cold")
+    return placed.withColumn("streak", streak).drop("_rn", "_cold")
 
 
 def rank_metrics(delta: DataFrame) -> DataFrame:

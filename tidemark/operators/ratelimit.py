@@ -11,8 +11,8 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.decisions import run_rule
-from tidemark.operators.scale import BLOCK, neighbour, row_numbers, running
+from tidemark.operators.decisions import apply_rule
+from tidemark.operators.scale import BLOCK, scan
 
 # Lines per second, burst depth and the notice text.
 RATE_LINES_PER_SECOND = 500
@@ -103,14 +103,11 @@ def rate_limit(
 
     keys, by = list(group), list(order)
     slim = lines.select(*dict.fromkeys([*keys, *by]))
-    decided = run_rule(slim, keys, by, rule, "passed boolean", blocks=blocks,
-                       first_guess=lambda cut: _likely_states(cut, keys, by, rate, burst))
-    numbered = row_numbers(decided, keys, by, "_rn", blocks)
-    last_pass = running(
-        numbered.withColumn("_at_pass", F.when(F.col("passed"), F.col("_rn"))), keys, by,
-        {"_newest": ("max", F.col("_at_pass"))}, blocks)
-    # the pass before this one: number the passes and compare neighbours
-    before = neighbour(last_pass, keys, by, {"_before": F.col("_newest")}, blocks=blocks)
+    decided = apply_rule(scan(slim, keys, by, blocks), rule, "passed boolean",
+                         first_guess=lambda cut: _likely_states(cut, keys, by, rate, burst))
+    newest_pass = F.when(F.col("passed"), F.col("_rn"))
+    before = (decided.number("_rn").running({"_newest": ("max", newest_pass)})
+              .neighbour({"_before": F.col("_newest")}).done())
     dropped = F.col("_rn") - F.coalesce(F.col("_before"), F.lit(0).cast("bigint")) - 1
     verdict = before.select(*keys, *[o for o in by if o not in keys], "passed",
                             F.when(F.col("passed"), dropped).otherwise(F.lit(0).cast("bigint")).alias("notice"))

@@ -8,10 +8,11 @@ use one block, which is the plain window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from tidemark.session import plan_bytes
 
@@ -20,6 +21,12 @@ BLOCKS_CONF = "spark.tidemark.scanBlocks"
 BLOCK_BYTES = 128 << 20
 MAX_BLOCKS = 2048
 
+_SCAN = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+_MERGE = {
+    "sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b),
+    "max": F.greatest, "min": F.least, "last": lambda a, b: F.coalesce(b, a),
+}
+
 
 def block_count(df: DataFrame) -> int:
     """Blocks for an input: its estimated size over the block size, within [1, MAX_BLOCKS].
@@ -30,8 +37,24 @@ def block_count(df: DataFrame) -> int:
     return min(MAX_BLOCKS, 1 + plan_bytes(df) // BLOCK_BYTES)
 
 
+def _cut_points(df: DataFrame, number: Column, n: int) -> list[float]:
+    cuts = df.select(number.alias("_at")).approxQuantile("_at", [i / n for i in range(1, n)], 0.25 / n)
+    return sorted({c for c in cuts if abs(c) != float("inf")})
+
+
+def _large_groups(df: DataFrame, group: Sequence[str], n: int) -> DataFrame:
+    """Groups with more than 1/n of all rows, so fewer than n; found in one pass."""
+    seen = Observation()
+    counted = df.select(*group).observe(seen, F.count(F.lit(1)).alias("rows"))
+    top = counted.groupBy(*group).count().orderBy(F.desc("count")).limit(n)
+    rows = top.collect()
+    large = [tuple(r)[:-1] for r in rows if r["count"] * n > seen.get["rows"]]
+    schema = df.select(*[F.col(g).alias(f"_large_{g}") for g in group]).schema
+    return df.sparkSession.createDataFrame(large, schema).withColumn("_large", F.lit(True))
+
+
 def with_blocks(df: DataFrame, group: Sequence[str], order: str, blocks: int | None = None) -> tuple[DataFrame, int]:
-    """Add the block number. Only groups above 1/n of all rows are cut, so at most n groups; the
+    """Add the block number. Only groups above 1/n of all rows are cut, so fewer than n groups; the
     cut points are n-1 approximate quantiles of the order column, so no block of a cut group is
     much larger than 1/n of all rows. Any cut points give right results, since block numbers
     rise with the order column."""
@@ -40,104 +63,119 @@ def with_blocks(df: DataFrame, group: Sequence[str], order: str, blocks: int | N
         return df.withColumn(BLOCK, F.lit(0)), 1
     timed = dict(df.dtypes)[order].startswith("timestamp")
     number = F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
-    located = df.withColumn("_at", F.coalesce(number.cast("double"), F.lit(float("-inf"))))
-    cuts = located.approxQuantile("_at", [i / n for i in range(1, n)], 0.25 / n)
-    cuts = sorted({c for c in cuts if abs(c) != float("inf")})
+    number = F.coalesce(number.cast("double"), F.lit(float("-inf")))
+    cuts = _cut_points(df, number, n)
     if not cuts:
         return df.withColumn(BLOCK, F.lit(0)), 1
-    bucketed = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_cut", handleInvalid="keep",
-    ).transform(located)
+    cut_at = Bucketizer(
+        splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_cut", handleInvalid="keep")
+    bucketed = cut_at.transform(df.withColumn("_at", number))
     cut = F.col("_cut").cast("int")
     if group:
-        sizes = df.groupBy(*group).count()
-        total = sizes.agg(F.sum("count")).first()[0] or 0
-        # at most n rows by construction: each holds more than 1/n of all rows
-        hot = sizes.where(F.col("count") * n > total).select(*[F.col(g).alias(f"_hot_{g}") for g in group])
-        same = [F.col(g).eqNullSafe(F.col(f"_hot_{g}")) for g in group]
-        hot = hot.withColumn("_hot", F.lit(True))
-        bucketed = bucketed.join(F.broadcast(hot), same, "left")
-        cut = F.when(F.col("_hot"), cut).otherwise(F.lit(0))
-        bucketed = bucketed.withColumn(BLOCK, cut).drop(*[f"_hot_{g}" for g in group], "_hot")
-    else:
-        bucketed = bucketed.withColumn(BLOCK, cut)
-    return bucketed.drop("_at", "_cut"), len(cuts) + 1
+        large = _large_groups(df, group, n)
+        same = [F.col(g).eqNullSafe(F.col(f"_large_{g}")) for g in group]
+        bucketed = bucketed.join(F.broadcast(large), same, "left")
+        cut = F.when(F.col("_large"), cut).otherwise(F.lit(0))
+    bucketed = bucketed.withColumn(BLOCK, cut).drop("_at", "_cut", "_large", *[f"_large_{g}" for g in group])
+    return bucketed, len(cuts) + 1
 
 
 def _orders(order: Sequence[str], descending: bool = False) -> list[Column]:
     return [F.col(o).desc() if descending else F.col(o).asc() for o in order]
 
 
-def _carry(df: DataFrame, carried: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Attach the block summaries; rows of first blocks (all rows of uncut groups) have none."""
-    keys = [*group, BLOCK]
-    renamed = carried.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                             *[c for c in carried.columns if c not in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return df.join(renamed, same, "left").drop(*[f"_k_{k}" for k in keys])
+@dataclass(frozen=True)
+class Scan:
+    """Rows in order within groups. Steps of one scan share the same blocks, shuffle and sort.
+
+    ``order[0]`` is numeric or a timestamp; all of ``order`` together is unique within a group."""
+
+    df: DataFrame
+    group: tuple[str, ...]
+    order: tuple[str, ...]
+    blocks: int
+
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> Scan:
+        """Add or drop columns; the rows and the group and order columns stay."""
+        return replace(self, df=change(self.df))
+
+    def _carry(self, carried: DataFrame) -> DataFrame:
+        """Attach block summaries; rows of first blocks, and so all of uncut groups, have none."""
+        keys = [*self.group, BLOCK]
+        renamed = carried.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                                 *[c for c in carried.columns if c not in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        return self.df.join(renamed, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+    def running(self, outputs: dict[str, tuple[str, Column]]) -> Scan:
+        """Running aggregates up to and including each row. ``outputs`` maps a name to ``(kind,
+        column)``, kind one of sum, max, min, last (newest non-null)."""
+        inputs = {f"_in_{o}": c for o, (_, c) in outputs.items()}
+        given = self.df.withColumns(inputs)
+        local = (Window.partitionBy(*self.group, BLOCK).orderBy(*_orders(self.order))
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        scanned = given.withColumns({o: _SCAN[k](F.col(f"_in_{o}")).over(local) for o, (k, _) in outputs.items()})
+        if self.blocks > 1:
+            position = F.struct(*self.order)
+            total = {**_SCAN, "last": lambda c: F.max_by(c, F.when(c.isNotNull(), position))}
+            per_block = given.groupBy(*self.group, BLOCK).agg(
+                *[total[k](F.col(f"_in_{o}")).alias(f"_b_{o}") for o, (k, _) in outputs.items()])
+            # one row per block of a group
+            before = Window.partitionBy(*self.group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+            carried = per_block.select(
+                *self.group, BLOCK,
+                *[_SCAN[k](F.col(f"_b_{o}")).over(before).alias(f"_p_{o}") for o, (k, _) in outputs.items()],
+            ).where(F.col(BLOCK) > 0)
+            scanned = replace(self, df=scanned)._carry(carried).withColumns(
+                {o: _MERGE[k](F.col(f"_p_{o}"), F.col(o)) for o, (k, _) in outputs.items()}
+            ).drop(*[f"_p_{o}" for o in outputs])
+        return replace(self, df=scanned.drop(*inputs))
+
+    def number(self, name: str) -> Scan:
+        """Position of each row within its group, from 1."""
+        return self.running({name: ("sum", F.lit(1).cast("bigint"))})
+
+    def neighbour(self, outputs: dict[str, Column], following: bool = False) -> Scan:
+        """Values of the previous row of the group (or the following one), null at the end."""
+        inputs = {f"_in_{o}": c for o, c in outputs.items()}
+        given = self.df.withColumns(inputs)
+        local = Window.partitionBy(*self.group, BLOCK).orderBy(*_orders(self.order, following))
+        shifted = {o: F.lag(f"_in_{o}").over(local) for o in outputs}
+        if self.blocks == 1:
+            return replace(self, df=given.withColumns(shifted).drop(*inputs))
+        scanned = given.withColumns({**shifted, "_edge": F.row_number().over(local) == 1})
+        edge = F.min_by if following else F.max_by
+        per_block = given.groupBy(*self.group, BLOCK).agg(edge(F.struct(*inputs), F.struct(*self.order)).alias("_b"))
+        # one row per block of a group
+        across = Window.partitionBy(*self.group).orderBy(*_orders([BLOCK], following))
+        carried = per_block.select(*self.group, BLOCK, F.lag("_b").over(across).alias("_p")).where(F.col("_p").isNotNull())
+        joined = replace(self, df=scanned)._carry(carried)
+        merged = joined.withColumns(
+            {o: F.when(F.col("_edge"), F.col(f"_p._in_{o}")).otherwise(F.col(o)) for o in outputs})
+        return replace(self, df=merged.drop("_p", "_edge", *inputs))
+
+    def done(self) -> DataFrame:
+        return self.df.drop(BLOCK)
+
+
+def scan(df: DataFrame, group: Sequence[str], order: Sequence[str], blocks: int | None = None) -> Scan:
+    cut, n = with_blocks(df, group, order[0], blocks)
+    return Scan(cut, tuple(group), tuple(order), n)
 
 
 def running(
     df: DataFrame, group: Sequence[str], order: Sequence[str],
     outputs: dict[str, tuple[str, Column]], blocks: int | None = None,
 ) -> DataFrame:
-    """Running aggregates up to and including the current row. ``outputs`` maps a name to
-    ``(kind, column)``, kind one of sum, max, min, last (newest non-null). ``order[0]`` is numeric
-    or a timestamp; all of ``order`` together is unique within the group."""
-    cut, n = with_blocks(df, group, order[0], blocks)
-    local = (Window.partitionBy(*group, BLOCK).orderBy(*_orders(order))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    aggregate = {
-        "sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True),
-    }
-    cut = cut.withColumns({f"_in_{o}": c for o, (_, c) in outputs.items()})
-    scanned = cut.withColumns({o: aggregate[k](F.col(f"_in_{o}")).over(local) for o, (k, _) in outputs.items()})
-    if n > 1:
-        position = F.struct(*order)
-        total = {
-            "sum": F.sum, "max": F.max, "min": F.min,
-            "last": lambda c: F.max_by(c, F.when(c.isNotNull(), position)),
-        }
-        per_block = cut.groupBy(*group, BLOCK).agg(
-            *[total[k](F.col(f"_in_{o}")).alias(f"_b_{o}") for o, (k, _) in outputs.items()])
-        before = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        carried = per_block.select(
-            *group, BLOCK,
-            *[aggregate[k](F.col(f"_b_{o}")).over(before).alias(f"_p_{o}") for o, (k, _) in outputs.items()],
-        ).where(F.col(BLOCK) > 0)
-        merge = {
-            "sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b),
-            "max": F.greatest, "min": F.least, "last": lambda a, b: F.coalesce(b, a),
-        }
-        scanned = _carry(scanned, carried, group).withColumns(
-            {o: merge[k](F.col(f"_p_{o}"), F.col(o)) for o, (k, _) in outputs.items()}
-        ).drop(*[f"_p_{o}" for o in outputs])
-    return scanned.drop(BLOCK, *[f"_in_{o}" for o in outputs])
+    return scan(df, group, order, blocks).running(outputs).done()
 
 
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, blocks: int | None = None) -> DataFrame:
-    """Position of each row within its group, from 1."""
-    return running(df, group, order, {name: ("sum", F.lit(1).cast("bigint"))}, blocks)
+    return scan(df, group, order, blocks).number(name).done()
 
 
 def neighbour(
     df: DataFrame, group: Sequence[str], order: Sequence[str], outputs: dict[str, Column],
     following: bool = False, blocks: int | None = None,
 ) -> DataFrame:
-    """Values of the previous row of the group (or the following one), null at the end."""
-    cut, n = with_blocks(df, group, order[0], blocks)
-    local = Window.partitionBy(*group, BLOCK).orderBy(*_orders(order, following))
-    cut = cut.withColumns({f"_in_{o}": c for o, c in outputs.items()})
-    shifted = {o: F.lag(f"_in_{o}").over(local) for o in outputs}
-    if n == 1:
-        return cut.withColumns(shifted).drop(BLOCK, *[f"_in_{o}" for o in outputs])
-    scanned = cut.withColumns({**shifted, "_edge": F.row_number().over(local) == 1})
-    edge = F.min_by if following else F.max_by
-    payload = F.struct(*[f"_in_{o}" for o in outputs])
-    per_block = cut.groupBy(*group, BLOCK).agg(edge(payload, F.struct(*order)).alias("_b"))
-    across = Window.partitionBy(*group).orderBy(*_orders([BLOCK], following))
-    carried = per_block.select(*group, BLOCK, F.lag("_b").over(across).alias("_p")).where(F.col("_p").isNotNull())
-    joined = _carry(scanned, carried, group)
-    return joined.withColumns(
-        {o: F.when(F.col("_edge"), F.col(f"_p._in_{o}")).otherwise(F.col(o)) for o in outputs}
-    ).drop(BLOCK, "_p", "_edge", *[f"_in_{o}" for o in outputs])
+    return scan(df, group, order, blocks).neighbour(outputs, following).done()
