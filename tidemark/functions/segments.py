@@ -34,6 +34,12 @@ def segment_name_of(seg_no: Column, timeline: Column, naming: str = "postgres")
     return F.concat(_hex8(timeline), _hex8(high), _hex8(low))
 
 
+def segment_no_of_name(name: Column) -> Column:
+    """Running segment number of a name already known to be one."""
+    part = lambda at: F.conv(F.substring(name, at, 8), 16, 10).try_cast("bigint")
+    return part(9) * F.lit(SEGMENTS_PER_WORD) + part(17)
+
+
 def is_segment(name: Column) -> Column:
     return name.rlike("^[0-9A-Fa-f]{24}$")
 

@@ -41,6 +41,9 @@ def apply_rule(
     if rows.blocks == 1:
         return rows.map(lambda df: df.groupBy(*keys).applyInPandas(emit, f"struct<{fields},{extra}>"))
 
+    # the rounds read the rows several times: store them once instead of deriving them again
+    rows = rows.map(cut_lineage)
+    cut = rows.df
     key_types = ",".join(f"{k}:{dict(cut.dtypes)[k]}" for k in keys)
 
     def finish(part: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators.scale import running
+from tidemark.session import cut_lineage
+
 CELL, LAST_OP, LAST_INSERT = 0, 1, 2
 
 
@@ -23,9 +26,9 @@ def until(changes: DataFrame, until_lsn: int | None = None, until_ts=None) -> Da
 
 
 def keyed_events(changes: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows ``(k, pos, op, image)``, ``k`` the key cells as a struct. An update that changes the key
-    becomes a delete of the old key and an insert of the new one; cells the log did not send for it
-    are taken from the old image."""
+    """Rows ``(k, pos, op, image, from_k, missing)``, ``k`` the key cells as a struct. An update that
+    changes the key becomes a delete of the old key and an insert of the new one; cells the log did
+    not send for it are taken from the old image, and columns it sent in neither are ``missing``."""
     def key_of(image: str) -> Column:
         return F.struct(*[F.try_element_at(image, F.lit(k)).alias(k) for k in key])
 
@@ -34,29 +37,82 @@ def keyed_events(changes: DataFrame, key: Sequence[str]) -> DataFrame:
     for k in key:
         sent_old_key = sent_old_key & F.map_contains_key("old", k)
     moved = (F.col("op") == "update") & sent_old_key & (new_key != old_key)
-    no_image = F.lit(None).cast("map<string,string>")
-    kept_old = F.map_filter("old", lambda c, _: ~F.map_contains_key("new", c))
+    no_image, no_columns = F.lit(None).cast("map<string,string>"), F.array().cast("array<string>")
+    # a key-only old image holds nulls for the columns outside the key
+    full_old = F.size(F.map_filter("old", lambda c, v: v.isNotNull() & ~c.isin(*key))) > 0
+    kept_old = F.map_filter("old", lambda c, _: full_old & ~F.map_contains_key("new", c))
+    missing = no_columns
+    if "types" in changes.columns:
+        sent = F.concat(F.map_keys("new"), F.map_keys(kept_old))
+        missing = F.coalesce(F.array_except(F.map_keys("types"), sent), no_columns)
     plain_key = F.when(F.col("op") == "delete", old_key).otherwise(new_key)
-    pos = F.struct("lsn", "seq", F.lit(0).alias("step"))
-    moved_pos = F.struct("lsn", "seq", F.lit(1).alias("step"))
 
-    def step(k: Column, at: Column, op: Column, image: Column) -> Column:
-        return F.struct(k.alias("k"), at.alias("pos"), op.alias("op"), image.alias("image"))
+    def step(k: Column, place: int, op: Column, image: Column, from_k: Column, lacking: Column) -> Column:
+        pos = F.struct("lsn", "seq", F.lit(place).alias("step"))
+        return F.struct(k.alias("k"), pos.alias("pos"), op.alias("op"), image.alias("image"),
+                        from_k.alias("from_k"), lacking.alias("missing"))
 
+    nobody = F.when(F.lit(False), old_key)
     steps = F.when(moved, F.array(
-        step(old_key, pos, F.lit("delete"), no_image),
-        step(new_key, moved_pos, F.lit("insert"), F.map_concat(kept_old, "new")),
+        step(old_key, 0, F.lit("delete"), no_image, nobody, no_columns),
+        step(new_key, 1, F.lit("insert"), F.map_concat(kept_old, "new"), old_key, missing),
     )).otherwise(F.array(step(
-        plain_key, pos, F.col("op"), F.when(F.col("op") != "delete", F.col("new")),
+        plain_key, 0, F.col("op"), F.when(F.col("op") != "delete", F.col("new")), nobody, no_columns,
     )))
     return changes.select(F.inline(steps))
 
 
-def fold_cells(changes: DataFrame, key: Sequence[str]) -> DataFrame:
+def complete_moves(events: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Fill the missing columns of rows that moved to another key with what the old key held just
+    before. Only keys that rows moved from are looked at. A row that moved several times is filled
+    in as many rounds. ``earlier`` holds folded cells from before these events."""
+    asked = events.where(F.size("missing") > 0).select("k", "pos", "from_k", F.explode("missing").alias("col"))
+    if asked.isEmpty():
+        return events
+    asked = cut_lineage(asked)
+    filled = None
+    sources = asked.select(F.col("from_k").alias("k"), "col").distinct()
+    mine = events.join(sources.select("k").distinct(), "k", "left_semi")
+    sent = mine.where(F.col("image").isNotNull()).select("k", "pos", F.explode("image").alias("col", "value"))
+    births = mine.where(F.col("op") == "insert").join(sources, "k")
+    starts = births.where(~F.array_contains("missing", F.col("col"))).select("k", "pos", "col")
+    no_value = F.lit(None).cast("string")
+    # what is known of a source column over time: its cells, and nothing at the start of a life
+    facts = sent.join(sources, ["k", "col"], "left_semi").select("k", "col", "pos", F.lit(1).alias("rank"), F.struct(F.lit("cell").alias("fact"), "value").alias("what"))
+    facts = facts.unionByName(starts.select("k", "col", "pos", F.lit(0).alias("rank"), F.struct(F.lit("start").alias("fact"), no_value.alias("value")).alias("what")))
+    if earlier is not None:
+        old = earlier.join(sources.select("k").distinct(), "k", "left_semi")
+        first = F.struct(F.lit(-1).cast("bigint").alias("lsn"), F.lit(-1).cast("bigint").alias("seq"), F.lit(0).alias("step"))
+        state = table_from_cells(old).select("k", F.explode("image").alias("col", "value"))
+        facts = facts.unionByName(state.select("k", "col", first.alias("pos"), F.lit(1).alias("rank"), F.struct(F.lit("cell").alias("fact"), "value").alias("what")))
+    facts = cut_lineage(facts)
+    while True:
+        waiting = asked.select("k", "col", "pos", F.lit(0).alias("rank"), F.struct(F.lit("waiting").alias("fact"), no_value.alias("value")).alias("what"))
+        asking = asked.select(F.col("from_k").alias("k"), "col", "pos", F.lit(-1).alias("rank"),
+                              F.lit(None).cast("struct<fact:string,value:string>").alias("what"), F.col("k").alias("to_k"))
+        line = facts.unionByName(waiting).unionByName(asking, allowMissingColumns=True).withColumn("lsn", F.col("pos.lsn"))
+        answers = running(line, ["k", "col"], ["lsn", "pos", "rank"], {"answer": ("last", F.col("what"))})
+        answered = cut_lineage(answers.where(F.col("rank") == -1).select(
+            F.col("to_k").alias("k"), "col", "pos", F.col("k").alias("from_k"), "answer"))
+        ready = answered.where(F.col("answer").isNull() | (F.col("answer.fact") != "waiting"))
+        found = ready.select("k", "col", "pos", F.coalesce("answer", F.struct(F.lit("start").alias("fact"), no_value.alias("value"))).alias("what"))
+        filled = found if filled is None else filled.unionByName(found)
+        asked = answered.where(F.col("answer.fact") == "waiting").select("k", "pos", "from_k", "col")
+        if asked.isEmpty():
+            break
+        facts = facts.unionByName(found.select("k", "col", "pos", F.lit(1).alias("rank"), "what"))
+    cells = filled.where(F.col("what.fact") == "cell")
+    # as many entries as the row has missing columns
+    images = cells.groupBy("k", "pos").agg(F.map_from_entries(F.collect_list(F.struct("col", "what.value"))).alias("carried"))
+    joined = events.join(images, ["k", "pos"], "left")
+    return joined.withColumn("image", F.when(F.col("carried").isNotNull(), F.map_concat("image", "carried")).otherwise(F.col("image"))).drop("carried")
+
+
+def fold_cells(changes: DataFrame, key: Sequence[str], earlier: DataFrame | None = None) -> DataFrame:
     """Newest cell per key and column, plus the newest operation and the newest insert per key:
     rows ``(k, kind, col, top(pos, value))``. Folding folds of parts again gives the fold of the
     whole, so the newest value survives partial aggregation, shuffles and incremental batches."""
-    events = keyed_events(changes, key)
+    events = complete_moves(keyed_events(changes, key), earlier)
 
     def entry(kind: int, col: Column, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), col.alias("col"), value.alias("value"))
@@ -105,7 +161,7 @@ def table_as_of(
     history = until(changes, until_lsn, until_ts)
     if columns is None:
         return table_from_cells(fold_cells(history, key)).select("k.*", "image", "complete")
-    events = keyed_events(history, key)
+    events = complete_moves(keyed_events(history, key))
     sent = {c: F.map_contains_key("image", c) for c in columns}
     newest = events.groupBy("k").agg(
         F.max(F.struct("pos", "op"))["op"].alias("_op"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.lsn import HIGH_WORD, lsn_parse
-from tidemark.functions.segments import is_segment, parse_segment_name
+from tidemark.functions.segments import SEGMENT_BYTES, is_segment, parse_segment_name, segment_no_of_name
 from tidemark.operators.joins import metric_rank
 from tidemark.operators.scale import neighbour, row_numbers, running, scan
 from tidemark.session import small_side
@@ -54,19 +54,24 @@ def retention_plan(catalog: DataFrame, keep: int) -> DataFrame:
 
 def replay_horizon(catalog: DataFrame, redo: str) -> DataFrame:
     """One row: how far replay can go from redo on its timeline before the first missing segment.
-    A gap stalls replay; segments behind it are not reachable. A segment ends the run when its
-    successor is not in the catalog, which needs no ordered scan."""
-    named = complete_segments(catalog).select(parse_segment_name(F.col("name")).alias("s")).select("s.timeline", "s.seg_no").distinct()
+    A gap stalls replay; segments behind it are not reachable. A segment ends a run when its
+    successor is not in the catalog: every segment also speaks for its predecessor, so one
+    aggregation by segment number finds the ends, without an ordered scan."""
+    mine = complete_segments(catalog).where(
+        (F.upper(F.substring("name", 1, 8)) == redo[:8].upper()) & (F.upper("name") >= redo.upper()))
+    told = F.array(F.struct(F.lit(0).alias("back"), F.lit(True).alias("here")), F.struct(F.lit(1).alias("back"), F.lit(False).alias("here")))
+    named = mine.select(segment_no_of_name(F.col("name")).alias("no"), F.inline(told))
+    known = named.groupBy((F.col("no") - F.col("back")).alias("no")).agg(
+        F.bool_or("here").alias("here"), F.bool_or(~F.col("here")).alias("followed"))
+    here = F.col("here")
+    run = known.agg(
+        F.min(F.when(here & ~F.col("followed"), F.col("no"))).alias("run_end"),
+        F.min(F.when(here, F.col("no"))).alias("lowest"), F.count_if(here).alias("available"))
     start = parse_segment_name(F.lit(redo))
-    mine = named.where((F.col("timeline") == start["timeline"]) & (F.col("seg_no") >= start["seg_no"]))
-    successors = mine.select((F.col("seg_no") - 1).alias("seg_no"))
-    run_end = mine.join(successors, "seg_no", "left_anti").agg(F.min("seg_no")).scalar()
-    counted = mine.agg(
-        F.min("seg_no").alias("lowest"), F.max("seg_no").alias("highest"), F.count("*").alias("available"))
     first = start["seg_no"]
-    last = F.when(F.col("lowest") == first, F.col("_run_end"))
+    last = F.when(F.col("lowest") == first, F.col("run_end"))
     reachable = F.coalesce(last - first + 1, F.lit(0).cast("bigint"))
-    return counted.withColumn("_run_end", run_end).select(
+    return run.select(
         start["timeline"].alias("timeline"), first.alias("redo_seg"), last.alias("last_reachable"),
         (F.coalesce(last, first - 1) + 1).alias("first_missing"),
         reachable.alias("reachable"), (F.col("available") - reachable).alias("unreachable"),
@@ -117,28 +122,31 @@ def timeline_ranges(history: DataFrame, latest: int | None = None) -> DataFrame:
     """Half-open position range in which each timeline is the one to follow to the latest
     timeline. History rows ``(timeline, parent_tli, switch_lsn)``: the file of a timeline lists
     all its ancestors with the position where each was left."""
-    newest = F.lit(latest).cast("bigint") if latest else history.agg(F.max("timeline")).scalar()
-    mine = history.where(F.col("timeline") == newest)
-    # one row per ancestor of one timeline
-    ancestors = Window.partitionBy("timeline").orderBy("switch_lsn", "parent_tli")
-    left = mine.withColumn("from_lsn", F.coalesce(F.lag("switch_lsn").over(ancestors), F.lit(0).cast("bigint")))
-    tail = mine.groupBy("timeline").agg(F.max("switch_lsn").alias("from_lsn")).select(
-        "timeline", "from_lsn", F.lit(None).cast("bigint").alias("to_lsn"))
-    return left.select(F.col("parent_tli").alias("timeline"), "from_lsn", F.col("switch_lsn").alias("to_lsn")).unionByName(tail)
+    mine = history if latest is None else history.where(F.col("timeline") == latest)
+    # one entry per ancestor of a timeline
+    left = F.array_sort(F.collect_list(F.struct("switch_lsn", F.col("parent_tli").alias("tl"))))
+    newest = mine.groupBy("timeline").agg(left.alias("left")).orderBy(F.desc("timeline")).limit(1)
+    zero, open_end = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+
+    def stretch(tl: Column, start: Column, end: Column) -> Column:
+        return F.struct(tl.alias("timeline"), start.alias("from_lsn"), end.alias("to_lsn"))
+
+    before = lambda i: F.when(i > 0, F.get("left", i - 1)["switch_lsn"]).otherwise(zero)
+    ancestors = F.transform("left", lambda a, i: stretch(a["tl"], before(i), a["switch_lsn"]))
+    tail = F.array(stretch(F.col("timeline"), F.element_at("left", -1)["switch_lsn"], open_end))
+    return newest.select(F.inline(F.concat(ancestors, tail)))
 
 
 def timeline_path(catalog: DataFrame, history: DataFrame, latest: int | None = None) -> DataFrame:
     """Segments to replay, following ancestors up to their switch points and then the child. The
     segment that holds a switch point is taken from the child, which starts with a copy of it."""
-    named = complete_segments(catalog).withColumn("_s", parse_segment_name(F.col("name")))
-    ranges = small_side(timeline_ranges(history, latest)).alias("r")
-    on_path = (
-        (F.col("_s.timeline") == F.col("r.timeline")) & (F.col("_s.end_lsn") > F.col("r.from_lsn"))
-        & (F.col("r.to_lsn").isNull() | (F.col("_s.end_lsn") <= F.col("r.to_lsn")))
-    )
-    return named.alias("c").join(ranges, on_path).select(
-        *[F.col(f"c.{c}").alias(c) for c in catalog.columns],
-        F.col("_s.start_lsn").alias("start_lsn"), F.col("_s.end_lsn").alias("end_lsn"))
+    ranges = timeline_ranges(history, latest).withColumn("prefix", F.lpad(F.hex("timeline"), 8, "0"))
+    ranges = small_side(ranges.select("prefix", "from_lsn", "to_lsn"))
+    end = (segment_no_of_name(F.col("name")) + 1) * F.lit(SEGMENT_BYTES)
+    named = complete_segments(catalog).withColumns({"end_lsn": end, "prefix": F.upper(F.substring("name", 1, 8))})
+    on_path = (F.col("end_lsn") > F.col("from_lsn")) & (F.col("to_lsn").isNull() | (F.col("end_lsn") <= F.col("to_lsn")))
+    return named.join(ranges, "prefix").where(on_path).select(
+        *catalog.columns, (F.col("end_lsn") - SEGMENT_BYTES).alias("start_lsn"), "end_lsn")
 
 
 def hot_streak(

@@ -105,12 +105,16 @@ class LiveTable:
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Sink for ``foreachBatch``; running a batch again overwrites its own part."""
-        fold_cells(batch, self.key).write.mode("overwrite").parquet(f"{self.path}/parts/upto={batch_id}/base=0")
+        before = self._parts(batch_id)
+        earlier = None if before is None else merge_cells(before)
+        fold_cells(batch, self.key, earlier).write.mode("overwrite").parquet(f"{self.path}/parts/upto={batch_id}/base=0")
 
-    def _parts(self) -> DataFrame | None:
+    def _parts(self, before: int | None = None) -> DataFrame | None:
         parts = stored(self.spark, f"{self.path}/parts")
         if parts is None:
             return None
+        if before is not None:
+            parts = parts.where(F.col("upto") < before)
         base = parts.where("base = 1").agg(F.max("upto")).scalar()
         current = parts.where(((F.col("base") == 1) & (F.col("upto") == base))
                               | ((F.col("base") == 0) & (base.isNull() | (F.col("upto") > base))))
