@@ -139,7 +139,7 @@ class IdleState(StatefulProcessor):
         for _ in rows:
             pass
         self._arm(timerValues.getCurrentProcessingTimeInMs())
-        yield pd.DataFrame({"source": [], "at_ms": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
@@ -184,7 +184,7 @@ class PressureState(StatefulProcessor):
         self._last.update((last, due))
         yield pd.DataFrame({
             "host": key[0], "ts": batch["ts"], "some_avg10": batch["some_avg10"], "full_avg10": batch["full_avg10"],
-            "refaults_increase": pd.array(grown, dtype="Int64"), "disconnected": False})
+            "refaults_increase": pd.Series(grown, index=batch.index, dtype="object"), "disconnected": False})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([{"host": key[0], "ts": None, "some_avg10": None, "full_avg10": None,
