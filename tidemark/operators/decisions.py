@@ -15,8 +15,8 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.operators.scale import BLOCK, Scan, scan
-from tidemark.session import cut_lineage
+from tidemark.operators.scale import BLOCK, UNCUT, Scan, scan
+from tidemark.session import cut_lineage, stored_copy
 
 # rule(rows in order, state or None for a fresh start) -> (output columns, end state)
 Rule = Callable[[pd.DataFrame, dict | None], tuple[dict[str, list], dict]]
@@ -42,8 +42,8 @@ def apply_rule(
         return rows.map(lambda df: df.groupBy(*keys).applyInPandas(emit, f"struct<{fields},{extra}>"))
 
     # the rounds read the rows several times: store them once instead of deriving them again
-    rows = rows.map(cut_lineage)
-    cut = rows.df
+    rows = rows.map(lambda df: stored_copy(df, "scan"))
+    large = rows.df.where(F.col(BLOCK) != UNCUT)
     key_types = ",".join(f"{k}:{dict(cut.dtypes)[k]}" for k in keys)
 
     def finish(part: pd.DataFrame) -> pd.DataFrame:
@@ -53,14 +53,14 @@ def apply_rule(
         return part[keys].head(1).assign(_entry=entry, _exit=json.dumps(state))
 
     def run_from(entries: DataFrame) -> DataFrame:
-        ended = cut.join(entries, keys).groupBy(*keys).applyInPandas(
+        ended = large.join(entries, keys).groupBy(*keys).applyInPandas(
             finish, f"struct<{key_types},_entry:string,_exit:string>")
         return cut_lineage(ended)
 
     if first_guess is None:
-        entries = cut.select(*keys).distinct().withColumn("_entry", F.lit(None).cast("string"))
+        entries = large.select(*keys).distinct().withColumn("_entry", F.lit(None).cast("string"))
     else:
-        entries = first_guess(cut)
+        entries = first_guess(large)
     exits = run_from(entries)
     # one row per block of a group
     following = Window.partitionBy(*rows.group).orderBy(BLOCK)
@@ -72,7 +72,7 @@ def apply_rule(
             break
         exits = cut_lineage(exits.join(changed.select(*keys), keys, "left_anti").unionByName(run_from(changed)))
     settled = exits.select(*keys, "_entry")
-    return rows.map(lambda df: df.join(settled, keys).groupBy(*keys).applyInPandas(emit, f"struct<{fields},{extra}>"))
+    return rows.map(lambda df: df.join(settled, keys, "left").groupBy(*keys).applyInPandas(emit, f"struct<{fields},{extra}>"))
 
 
 def run_rule(

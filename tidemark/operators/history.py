@@ -25,26 +25,47 @@ def until(changes: DataFrame, until_lsn: int | None = None, until_ts=None) -> Da
     return changes
 
 
+def _key_of(image: str, key: Sequence[str]) -> Column:
+    return F.struct(*[F.try_element_at(image, F.lit(k)).alias(k) for k in key])
+
+
+def _moves(key: Sequence[str]) -> Column:
+    """Whether an update changed the key: the log then sends the old key."""
+    sent = (F.col("op") == "update") & F.col("old").isNotNull()
+    for k in key:
+        sent = sent & F.map_contains_key("old", k)
+    return sent & (_key_of("new", key) != _key_of("old", key))
+
+
+def _kept_old(key: Sequence[str]) -> Column:
+    """Cells of a full old image that the new one leaves out. A key-only old image holds nulls for
+    the columns outside the key, which say nothing."""
+    full = F.size(F.map_filter("old", lambda c, v: v.isNotNull() & ~c.isin(*key))) > 0
+    return F.map_filter("old", lambda c, _: full & ~F.map_contains_key("new", c))
+
+
+def _missing(changes: DataFrame, key: Sequence[str]) -> Column:
+    """Columns of the table that a moved row was sent neither in the new nor in the old image."""
+    none = F.array().cast("array<string>")
+    if "types" not in changes.columns:
+        return none
+    sent = F.concat(F.map_keys("new"), F.map_keys(_kept_old(key)))
+    return F.coalesce(F.array_except(F.map_keys("types"), sent), none)
+
+
+def has_open_moves(changes: DataFrame, key: Sequence[str]) -> bool:
+    """Whether any moved row lacks columns; the scan is limited to updates with an old image."""
+    if "types" not in changes.columns:
+        return False
+    return not changes.where(_moves(key) & (F.size(_missing(changes, key)) > 0)).isEmpty()
+
+
 def keyed_events(changes: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows ``(k, pos, op, image, from_k, missing)``, ``k`` the key cells as a struct. An update that
     changes the key becomes a delete of the old key and an insert of the new one; cells the log did
     not send for it are taken from the old image, and columns it sent in neither are ``missing``."""
-    def key_of(image: str) -> Column:
-        return F.struct(*[F.try_element_at(image, F.lit(k)).alias(k) for k in key])
-
-    new_key, old_key = key_of("new"), key_of("old")
-    sent_old_key = F.col("old").isNotNull()
-    for k in key:
-        sent_old_key = sent_old_key & F.map_contains_key("old", k)
-    moved = (F.col("op") == "update") & sent_old_key & (new_key != old_key)
     no_image, no_columns = F.lit(None).cast("map<string,string>"), F.array().cast("array<string>")
-    # a key-only old image holds nulls for the columns outside the key
-    full_old = F.size(F.map_filter("old", lambda c, v: v.isNotNull() & ~c.isin(*key))) > 0
-    kept_old = F.map_filter("old", lambda c, _: full_old & ~F.map_contains_key("new", c))
-    missing = no_columns
-    if "types" in changes.columns:
-        sent = F.concat(F.map_keys("new"), F.map_keys(kept_old))
-        missing = F.coalesce(F.array_except(F.map_keys("types"), sent), no_columns)
+    old_key, new_key = _key_of("old", key), _key_of("new", key)
     plain_key = F.when(F.col("op") == "delete", old_key).otherwise(new_key)
 
     def step(k: Column, place: int, op: Column, image: Column, from_k: Column, lacking: Column) -> Column:
@@ -53,22 +74,26 @@ def keyed_events(changes: DataFrame, key: Sequence[str]) -> DataFrame:
                         from_k.alias("from_k"), lacking.alias("missing"))
 
     nobody = F.when(F.lit(False), old_key)
-    steps = F.when(moved, F.array(
+    steps = F.when(_moves(key), F.array(
         step(old_key, 0, F.lit("delete"), no_image, nobody, no_columns),
-        step(new_key, 1, F.lit("insert"), F.map_concat(kept_old, "new"), old_key, missing),
+        step(new_key, 1, F.lit("insert"), F.map_concat(_kept_old(key), "new"), old_key, _missing(changes, key)),
     )).otherwise(F.array(step(
         plain_key, 0, F.col("op"), F.when(F.col("op") != "delete", F.col("new")), nobody, no_columns,
     )))
     return changes.select(F.inline(steps))
 
 
+def completed_events(changes: DataFrame, key: Sequence[str], earlier: DataFrame | None = None) -> DataFrame:
+    """Keyed events with the images of moved rows filled; most logs have none to fill."""
+    events = keyed_events(changes, key)
+    return complete_moves(events, earlier) if has_open_moves(changes, key) else events
+
+
 def complete_moves(events: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Fill the missing columns of rows that moved to another key with what the old key held just
     before. Only keys that rows moved from are looked at. A row that moved several times is filled
     in as many rounds. ``earlier`` holds folded cells from before these events."""
     asked = events.where(F.size("missing") > 0).select("k", "pos", "from_k", F.explode("missing").alias("col"))
-    if asked.isEmpty():
-        return events
     asked = cut_lineage(asked)
     filled = None
     sources = asked.select(F.col("from_k").alias("k"), "col").distinct()
@@ -112,7 +137,7 @@ def fold_cells(changes: DataFrame, key: Sequence[str], earlier: DataFrame | None
     """Newest cell per key and column, plus the newest operation and the newest insert per key:
     rows ``(k, kind, col, top(pos, value))``. Folding folds of parts again gives the fold of the
     whole, so the newest value survives partial aggregation, shuffles and incremental batches."""
-    events = complete_moves(keyed_events(changes, key), earlier)
+    events = completed_events(changes, key, earlier)
 
     def entry(kind: int, col: Column, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), col.alias("col"), value.alias("value"))
@@ -161,7 +186,7 @@ def table_as_of(
     history = until(changes, until_lsn, until_ts)
     if columns is None:
         return table_from_cells(fold_cells(history, key)).select("k.*", "image", "complete")
-    events = complete_moves(keyed_events(history, key))
+    events = completed_events(history, key)
     sent = {c: F.map_contains_key("image", c) for c in columns}
     newest = events.groupBy("k").agg(
         F.max(F.struct("pos", "op"))["op"].alias("_op"),

@@ -18,8 +18,11 @@ from tidemark.session import plan_bytes
 
 BLOCK = "_block"
 BLOCKS_CONF = "spark.tidemark.scanBlocks"
-BLOCK_BYTES = 128 << 20
-MAX_BLOCKS = 2048
+BLOCK_BYTES = 64 << 20
+MAX_BLOCKS = 4096
+
+# Block number of the rows of groups that are not cut.
+UNCUT = -1
 
 _SCAN = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
 _MERGE = {
@@ -54,19 +57,19 @@ def _large_groups(df: DataFrame, group: Sequence[str], n: int) -> DataFrame:
 
 
 def with_blocks(df: DataFrame, group: Sequence[str], order: str, blocks: int | None = None) -> tuple[DataFrame, int]:
-    """Add the block number. Only groups above 1/n of all rows are cut, so fewer than n groups; the
-    cut points are n-1 approximate quantiles of the order column, so no block of a cut group is
+    """Add the block number, from 0, or UNCUT. Only groups above 1/n of all rows are cut, so fewer
+    than n groups; the cut points are n-1 approximate quantiles of the order column, so no block of a cut group is
     much larger than 1/n of all rows. Any cut points give right results, since block numbers
     rise with the order column."""
     n = blocks or block_count(df)
     if n <= 1:
-        return df.withColumn(BLOCK, F.lit(0)), 1
+        return df.withColumn(BLOCK, F.lit(UNCUT)), 1
     timed = dict(df.dtypes)[order].startswith("timestamp")
     number = F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
     number = F.coalesce(number.cast("double"), F.lit(float("-inf")))
     cuts = _cut_points(df, number, n)
     if not cuts:
-        return df.withColumn(BLOCK, F.lit(0)), 1
+        return df.withColumn(BLOCK, F.lit(UNCUT)), 1
     cut_at = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_cut", handleInvalid="keep")
     bucketed = cut_at.transform(df.withColumn("_at", number))
@@ -75,7 +78,7 @@ def with_blocks(df: DataFrame, group: Sequence[str], order: str, blocks: int | N
         large = _large_groups(df, group, n)
         same = [F.col(g).eqNullSafe(F.col(f"_large_{g}")) for g in group]
         bucketed = bucketed.join(F.broadcast(large), same, "left")
-        cut = F.when(F.col("_large"), cut).otherwise(F.lit(0))
+        cut = F.when(F.col("_large"), cut).otherwise(F.lit(UNCUT))
     bucketed = bucketed.withColumn(BLOCK, cut).drop("_at", "_cut", "_large", *[f"_large_{g}" for g in group])
     return bucketed, len(cuts) + 1
 

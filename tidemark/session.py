@@ -34,12 +34,12 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one where unset."""
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-"))
+        current = context._jsc.sc().getCheckpointDir()
+    return (configured or current.get()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -58,7 +58,19 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def stored_copy(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table written to the shared folder: computed once, and of known size."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only for a side whose estimated size is checked; otherwise leave the
-    choice to AQE, which shuffles both sides and splits skewed keys."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    """Broadcast a join side only if its size is checked. The optimiser cannot tell how far an
+    aggregation or a parser shrinks its input, so where its estimate is too high the side is
+    written out and the size of the files decides. A side that is too large in fact is left to a
+    shuffled join, whose skewed keys AQE splits."""
+    if plan_bytes(df) <= limit:
+        return F.broadcast(df)
+    written = stored_copy(df, "side")
+    return F.broadcast(written) if plan_bytes(written) <= limit // 4 else written

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.lsn import lsn_format
 from tidemark.operators.filters import dml_only, split_rejects
 from tidemark.operators.joins import resolve_relations
+from tidemark.session import stored_copy
 
 RELATION_SCHEMA = "seq bigint, rel_oid bigint, schema string, table string, columns array<struct<name:string,type_oid:bigint>>"
 DML_SCHEMA = "seq bigint, lsn bigint, rel_oid bigint, op string, old_kinds string, old_cells array<string>, new_kinds string, new_cells array<string>"
@@ -167,7 +168,8 @@ def resolve_events(dml: DataFrame, relations: DataFrame) -> DataFrame:
 def decode_pgoutput(frames: DataFrame, relations: DataFrame | None = None) -> DataFrame:
     """Change events of a log of frames ``(seq, lsn, data)``. Descriptors come from the frames
     themselves, plus ``relations`` known from before."""
-    own = relation_messages(frames)
+    # few rows out of a large log: kept as a table, so that the join knows their size
+    own = stored_copy(relation_messages(frames), "relations")
     known = own if relations is None else own.unionByName(relations)
     events, _ = split_rejects(resolve_events(dml_messages(frames), known))
     return events
