@@ -15,6 +15,9 @@ from tidemark.session import cut_lineage
 
 CELL, LAST_OP, LAST_INSERT = 0, 1, 2
 
+# Tables with more columns than this are rebuilt cell by cell.
+WIDE_TABLE = 200
+
 
 def until(changes: DataFrame, until_lsn: int | None = None, until_ts=None) -> DataFrame:
     """Keep events up to a position or commit time, the target included."""
@@ -53,11 +56,9 @@ def _missing(changes: DataFrame, key: Sequence[str]) -> Column:
     return F.coalesce(F.array_except(F.map_keys("types"), sent), none)
 
 
-def has_open_moves(changes: DataFrame, key: Sequence[str]) -> bool:
-    """Whether any moved row lacks columns; the scan is limited to updates with an old image."""
-    if "types" not in changes.columns:
-        return False
-    return not changes.where(_moves(key) & (F.size(_missing(changes, key)) > 0)).isEmpty()
+def has_moves(changes: DataFrame, key: Sequence[str]) -> bool:
+    """Whether any row changed its key; the scan is limited to updates with an old image."""
+    return not changes.where(_moves(key)).isEmpty()
 
 
 def keyed_events(changes: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -84,9 +85,26 @@ def keyed_events(changes: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def completed_events(changes: DataFrame, key: Sequence[str], earlier: DataFrame | None = None) -> DataFrame:
-    """Keyed events with the images of moved rows filled; most logs have none to fill."""
-    events = keyed_events(changes, key)
-    return complete_moves(events, earlier) if has_open_moves(changes, key) else events
+    """Rows ``(k, pos, op, image)`` with moved rows split and their images filled. Most logs have no
+    moved rows, and then each event is one row as it is."""
+    if has_moves(changes, key):
+        events = keyed_events(changes, key)
+        if not events.where(F.size("missing") > 0).isEmpty():
+            events = complete_moves(events, earlier)
+        return events.select("k", "pos", "op", "image")
+    removed = F.col("op") == "delete"
+    return changes.select(
+        F.when(removed, _key_of("old", key)).otherwise(_key_of("new", key)).alias("k"),
+        F.struct("lsn", "seq", F.lit(0).alias("step")).alias("pos"), "op", F.when(~removed, F.col("new")).alias("image"))
+
+
+def _by_key(df: DataFrame, key: Sequence[str], *more: str):
+    """Group by the key cells themselves, which sort by their prefix; a struct does not."""
+    return df.groupBy(*[F.col(f"k.{c}").alias(f"_k{i}") for i, c in enumerate(key)], *more)
+
+
+def _key_struct(key: Sequence[str]) -> Column:
+    return F.struct(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(key)]).alias("k")
 
 
 def complete_moves(events: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
@@ -133,29 +151,53 @@ def complete_moves(events: DataFrame, earlier: DataFrame | None = None) -> DataF
     return joined.withColumn("image", F.when(F.col("carried").isNotNull(), F.map_concat("image", "carried")).otherwise(F.col("image"))).drop("carried")
 
 
+def table_columns(changes: DataFrame) -> list[str] | None:
+    """Names of the columns the log holds, or nothing when they are more than WIDE_TABLE. At most
+    one name over that limit is brought to the driver, whatever the length of the log."""
+    found = changes.select(F.explode(F.map_keys("new")).alias("c")).distinct().limit(WIDE_TABLE + 1).collect()
+    return sorted(r.c for r in found) if len(found) <= WIDE_TABLE else None
+
+
+def newest_per_key(events: DataFrame, key: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """One row per key: newest operation, newest insert, and per column its newest cell."""
+    cell = {c: F.struct("pos", F.try_element_at("image", F.lit(c)).alias("value")) for c in names}
+    return _by_key(events, key).agg(
+        F.max(F.struct("pos", F.col("op").alias("value"))).alias("_last"),
+        F.max(F.when(F.col("op") == "insert", F.col("pos"))).alias("_born"),
+        *[F.max(F.when(F.map_contains_key("image", c), cell[c])).alias(f"_c{i}") for i, c in enumerate(names)])
+
+
 def fold_cells(changes: DataFrame, key: Sequence[str], earlier: DataFrame | None = None) -> DataFrame:
     """Newest cell per key and column, plus the newest operation and the newest insert per key:
     rows ``(k, kind, col, top(pos, value))``. Folding folds of parts again gives the fold of the
     whole, so the newest value survives partial aggregation, shuffles and incremental batches."""
     events = completed_events(changes, key, earlier)
+    no_value = F.lit(None).cast("string")
 
-    def entry(kind: int, col: Column, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), col.alias("col"), value.alias("value"))
+    def entry(kind: int, col: Column, top: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), col.alias("col"), top.alias("top"))
 
-    cells = F.transform(F.map_entries("image"), lambda e: entry(CELL, e["key"], e["value"]))
-    none = F.lit(None).cast("string")
-    marks = F.array(entry(LAST_OP, F.lit(""), F.col("op")))
-    inserts = F.array(entry(LAST_INSERT, F.lit(""), none))
-    entries = F.concat(
-        F.coalesce(cells, F.array().cast(f"array<struct<kind:int,col:string,value:string>>")),
-        marks, F.when(F.col("op") == "insert", inserts).otherwise(F.slice(inserts, 1, 0)),
-    )
-    exploded = events.select("k", "pos", F.inline(entries))
-    return merge_cells(exploded.select("k", "kind", "col", F.struct("pos", "value").alias("top")))
+    def top(pos: Column, value: Column) -> Column:
+        return F.struct(pos.alias("pos"), value.alias("value"))
+
+    names = table_columns(changes)
+    if names is not None:
+        newest = newest_per_key(events, key, names)
+        born = F.when(F.col("_born").isNotNull(), entry(LAST_INSERT, F.lit(""), top(F.col("_born"), no_value)))
+        cells = [F.when(F.col(f"_c{i}").isNotNull(), entry(CELL, F.lit(c), F.col(f"_c{i}"))) for i, c in enumerate(names)]
+        entries = F.array_compact(F.array(entry(LAST_OP, F.lit(""), F.col("_last")), born, *cells))
+        return newest.select(_key_struct(key), F.inline(entries))
+    pos = F.col("pos")
+    sent = F.transform(F.map_entries("image"), lambda e: entry(CELL, e["key"], top(pos, e["value"])))
+    last = F.array(entry(LAST_OP, F.lit(""), top(pos, F.col("op"))))
+    born = F.filter(F.array(entry(LAST_INSERT, F.lit(""), top(pos, no_value))), lambda _: F.col("op") == "insert")
+    exploded = events.select("k", F.inline(F.concat(F.coalesce(sent, F.slice(last, 1, 0)), last, born)))
+    return merge_cells(exploded)
 
 
 def merge_cells(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("k", "kind", "col").agg(F.max("top").alias("top"))
+    key = cells.schema["k"].dataType.names
+    return _by_key(cells, key, "kind", "col").agg(F.max("top").alias("top")).select(_key_struct(key), "kind", "col", "top")
 
 
 def table_from_cells(cells: DataFrame) -> DataFrame:
@@ -180,30 +222,26 @@ def table_as_of(
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """State of a table at an inclusive target: deleted keys removed, unchanged columns carried
-    forward. With ``columns`` one aggregation gives one text column each; without, the image is a
-    map of whatever columns the log holds. Either way partial aggregation runs before the shuffle,
-    so a key with a long history costs no more than others."""
+    forward. With ``columns`` the result has one text column each; without, the image is a map of
+    whatever columns the log holds. Partial aggregation runs before the shuffle, so a key with a
+    long history costs no more than others. Logs of very many columns go through folded cells."""
     history = until(changes, until_lsn, until_ts)
-    if columns is None:
+    names = columns if columns is not None else table_columns(history)
+    if names is None:
         return table_from_cells(fold_cells(history, key)).select("k.*", "image", "complete")
-    events = completed_events(history, key)
-    sent = {c: F.map_contains_key("image", c) for c in columns}
-    newest = events.groupBy("k").agg(
-        F.max(F.struct("pos", "op"))["op"].alias("_op"),
-        F.max(F.when(F.col("op") == "insert", F.col("pos"))).alias("_born"),
-        *[F.max(F.when(sent[c], F.struct("pos", F.try_element_at("image", F.lit(c)).alias("value")))).alias(f"_c{i}")
-          for i, c in enumerate(columns)],
-    ).where(F.col("_op") != "delete")
-
-    def current(i: int) -> Column:
-        top = F.col(f"_c{i}")
-        return F.when(F.col("_born").isNull() | (top["pos"] >= F.col("_born")), top["value"])
-
-    return newest.select(
-        *[F.col(f"k.{k}").alias(k) for k in key],
-        *[current(i).alias(c) for i, c in enumerate(columns) if c not in key],
-        F.col("_born").isNotNull().alias("complete"),
-    )
+    newest = newest_per_key(completed_events(history, key), key, names).where(F.col("_last.value") != "delete")
+    own_key = [F.col(f"_k{i}").alias(k) for i, k in enumerate(key)]
+    complete = F.col("_born").isNotNull().alias("complete")
+
+    def alive(i: int) -> Column:
+        return F.col(f"_c{i}").isNotNull() & (F.col("_born").isNull() | (F.col(f"_c{i}.pos") >= F.col("_born")))
+
+    if columns is not None:
+        values = [F.when(alive(i), F.col(f"_c{i}.value")).alias(c) for i, c in enumerate(names) if c not in key]
+        return newest.select(*own_key, *values, complete)
+    entries = [F.when(alive(i), F.struct(F.lit(c).alias("key"), F.col(f"_c{i}.value").alias("value"))) for i, c in enumerate(names)]
+    image = F.map_from_entries(F.array_compact(F.array(*entries))) if entries else F.create_map().cast("map<string,string>")
+    return newest.select(*own_key, image.alias("image"), complete)
 
 
 def snapshot_events(snapshot: DataFrame, snapshot_lsn: int, schema: str, table: str) -> DataFrame:
