@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import advice, filters, flow, joins, ratelimit
+from tidemark.operators import scale as scale_module
 from tidemark.operators.scale import neighbour, running, scan
 
 MIB = 1024 * 1024
@@ -145,8 +146,9 @@ def test_rules_in_blocks_equal_one_pass(spark, n):
     assert one == many and {"up", "down"} <= {r[5] for r in one}
 
 
-@pytest.mark.parametrize("n", [1, 4, 11])
-def test_scans_in_blocks(spark, n):
+@pytest.mark.parametrize("n,cuts", [(1, 4096), (4, 4096), (11, 3)])
+def test_scans_in_blocks(spark, n, cuts, monkeypatch):
+    monkeypatch.setattr(scale_module, "MAX_CUTS", cuts)
     rng = random.Random(n)
     # two thirds of the rows in one group, and a run of equal order values
     rows = [("hot" if rng.random() < 0.66 else f"g{i % 5}", rng.choice([7, rng.randint(0, 40)]), i, rng.choice([None, rng.randint(-9, 9)])) for i in range(300)]

@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.decisions import apply_rule, run_rule
+from tidemark.operators.decisions import apply_rule
 from tidemark.operators.joins import counter_rate
 from tidemark.operators.scale import scan
 
@@ -121,4 +121,4 @@ def memory_rule(rows: pd.DataFrame, state: dict | None) -> tuple[dict[str, list]
 def retune_advice(memory: DataFrame, order: tuple[str, ...] = ("at_s", "seq"), blocks: int | None = None) -> DataFrame:
     """Advice per host and memory sample ``(host, seq, at_s, ram_bytes)``: reload on a move of more
     than 5 %; restart only for a real change of the buffers, after quiet, and not too often."""
-    return run_rule(memory, ["host"], list(order), memory_rule, MEMORY_OUTPUT, blocks=blocks)
+    return apply_rule(scan(memory, ["host"], order, blocks), memory_rule, MEMORY_OUTPUT).done()

@@ -3,65 +3,121 @@
 Such a rule is a chain, so a group cannot simply be split. Each block of a group is run from a
 guessed state; the state each block ends in becomes the entry state of the next one, and only
 blocks whose entry state changed are run again, until nothing changes. By induction over the
-blocks the result equals one run over the whole group, while no task holds more than one block.
-Rules forget their start quickly, so few rounds are needed.
+blocks the result equals one run over the whole group. Rules forget their start quickly, so few
+rounds are needed. Rows reach a rule in order and in Arrow batches, so no task holds a whole block.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.operators.scale import BLOCK, UNCUT, Scan, scan
+from tidemark.operators.scale import BLOCK, UNCUT, Scan
 from tidemark.session import cut_lineage, stored_copy
 
 # rule(rows in order, state or None for a fresh start) -> (output columns, end state)
 Rule = Callable[[pd.DataFrame, dict | None], tuple[dict[str, list], dict]]
 
 
+def _stretches(batch: pd.DataFrame, keys: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Pieces of a sorted batch with equal keys."""
+    fresh = pd.Series(False, index=batch.index)
+    for k in keys:
+        before = batch[k].shift()
+        fresh |= (batch[k] != before) & ~(batch[k].isna() & before.isna())
+    for _, piece in batch.groupby(fresh.cumsum().to_numpy(), sort=False):
+        yield piece
+
+
+def _key_of(piece: pd.DataFrame, keys: Sequence[str]) -> tuple:
+    return tuple(None if pd.isna(v) else v for v in piece[list(keys)].iloc[0])
+
+
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def rule_ends(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule) -> DataFrame:
+    """State each group of rows ends in: ``(keys, _entry, _exit)``, states as JSON text. Rows carry
+    their entry state in ``_entry``."""
+    keys = list(keys)
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _entry string, _exit string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, head = None, None, None
+        for batch in batches:
+            ended = []
+            for piece in _stretches(batch, keys):
+                key = _key_of(piece, keys)
+                if head is None or key != current:
+                    if head is not None:
+                        ended.append(head.assign(_exit=json.dumps(state)))
+                    current, head = key, piece[[*keys, "_entry"]].head(1)
+                    entry = head["_entry"].iloc[0]
+                    state = json.loads(entry) if entry else None
+                _, state = rule(piece, state)
+            if ended:
+                yield pd.concat(ended)
+        if head is not None:
+            yield head.assign(_exit=json.dumps(state))
+
+    return _in_order(df, keys, order).mapInPandas(run, schema)
+
+
+def _rule_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule, outputs: str) -> DataFrame:
+    """The rows with the rule's output columns, each group started from its ``_entry``. The input
+    columns pass through as they are; only the rule sees them as pandas values."""
+    keys = list(keys)
+    added = to_arrow_schema(T.StructType.fromDDL(outputs))
+    kept = [c for c in df.columns if c != "_entry"]
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", " + outputs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, started = None, None, False
+        for batch in batches:
+            values: dict[str, list] = {name: [] for name in added.names}
+            for piece in _stretches(batch.to_pandas(), keys):
+                key = _key_of(piece, keys)
+                if not started or key != current:
+                    current, started = key, True
+                    entry = piece["_entry"].iloc[0]
+                    state = json.loads(entry) if entry else None
+                columns, state = rule(piece, state)
+                for name in values:
+                    values[name].extend(columns[name])
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            arrays += [pa.array(values[f.name], type=f.type) for f in added]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *added.names])
+
+    return _in_order(df, keys, order).mapInArrow(run, schema)
+
+
 def apply_rule(
     rows: Scan, rule: Rule, outputs: str, first_guess: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Scan:
-    """Add the rule's ``outputs`` (a DDL list) to a scan. ``first_guess`` may turn the blocked input
-    into rows ``(group, block, _entry)`` of likely entry states, as JSON text."""
-    keys, order, cut = [*rows.group, BLOCK], list(rows.order), rows.df
-    fields = cut.schema.simpleString()[len("struct<"):-1]
-    extra = outputs.replace(" ", ":").replace(",:", ",")
-    names = [o.split()[0] for o in outputs.split(", ")]
-
-    def emit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        entry = part.pop("_entry").iloc[0] if "_entry" in part else None
-        columns, _ = rule(part, json.loads(entry) if entry else None)
-        return part.assign(**{name: columns[name] for name in names})
-
+    """Add the rule's ``outputs`` (a DDL list) to a scan. ``first_guess`` may turn the rows of cut
+    groups into ``(group, block, _entry)``, likely entry states of their blocks as JSON text."""
+    keys = [*rows.group, BLOCK]
+    fresh = F.lit(None).cast("string")
     if rows.blocks == 1:
-        return rows.map(lambda df: df.groupBy(*keys).applyInPandas(emit, f"struct<{fields},{extra}>"))
+        return rows.map(lambda df: _rule_rows(df.withColumn("_entry", fresh), keys, rows.order, rule, outputs))
 
     # the rounds read the rows several times: store them once instead of deriving them again
     rows = rows.map(lambda df: stored_copy(df, "scan"))
     large = rows.df.where(F.col(BLOCK) != UNCUT)
-    key_types = ",".join(f"{k}:{dict(cut.dtypes)[k]}" for k in keys)
-
-    def finish(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        entry = part.pop("_entry").iloc[0]
-        _, state = rule(part, json.loads(entry) if entry else None)
-        return part[keys].head(1).assign(_entry=entry, _exit=json.dumps(state))
 
     def run_from(entries: DataFrame) -> DataFrame:
-        ended = large.join(entries, keys).groupBy(*keys).applyInPandas(
-            finish, f"struct<{key_types},_entry:string,_exit:string>")
-        return cut_lineage(ended)
-
-    if first_guess is None:
-        entries = large.select(*keys).distinct().withColumn("_entry", F.lit(None).cast("string"))
-    else:
-        entries = first_guess(large)
-    exits = run_from(entries)
+        return cut_lineage(rule_ends(large.join(entries, keys), keys, rows.order, rule))
+
+    guessed = first_guess(large) if first_guess else large.select(*keys).distinct().withColumn("_entry", fresh)
+    exits = run_from(guessed)
     # one row per block of a group
     following = Window.partitionBy(*rows.group).orderBy(BLOCK)
     while True:
@@ -72,11 +128,4 @@ def apply_rule(
             break
         exits = cut_lineage(exits.join(changed.select(*keys), keys, "left_anti").unionByName(run_from(changed)))
     settled = exits.select(*keys, "_entry")
-    return rows.map(lambda df: df.join(settled, keys, "left").groupBy(*keys).applyInPandas(emit, f"struct<{fields},{extra}>"))
-
-
-def run_rule(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], rule: Rule, outputs: str,
-    blocks: int | None = None, first_guess: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
-    return apply_rule(scan(df, group, order, blocks), rule, outputs, first_guess).done()
+    return rows.map(lambda df: _rule_rows(df.join(settled, keys, "left"), keys, rows.order, rule, outputs))

@@ -11,13 +11,11 @@ from tidemark.operators.filters import at_or_after_redo
 from tidemark.operators.scale import neighbour
 from tidemark.session import small_side
 
-# The metrics shown first, in their order.
+# The metrics shown first, in their order, without the exporter's prefix.
 HEADLINE_METRICS = (
-    "glidefs_s3_batches_written_total", "glidefs_s3_bytes_written_total",
-    "glidefs_s3_bytes_read_total", "glidefs_s3_read_ops_total",
-    "glidefs_guest_bytes_written_total", "glidefs_guest_write_ops_total",
-    "glidefs_cache_hits_total", "glidefs_cache_misses_total",
-    "glidefs_write_amplification", "glidefs_coalesce_ratio", "glidefs_dirty_blocks",
+    "s3_batches_written_total", "s3_bytes_written_total", "s3_bytes_read_total", "s3_read_ops_total",
+    "guest_bytes_written_total", "guest_write_ops_total", "cache_hits_total", "cache_misses_total",
+    "write_amplification", "coalesce_ratio", "dirty_blocks",
 )
 
 
@@ -60,9 +58,11 @@ def metric_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def metric_rank(name: Column) -> Column:
-    """Place among the headline metrics from 1; null for the others."""
+    """Place among the headline metrics from 1; null for the others. The exporter's prefix, up to
+    the first underscore, does not count."""
     known = F.array(*[F.lit(m) for m in HEADLINE_METRICS])
-    return F.nullif(F.array_position(known, name), F.lit(0).cast("bigint"))
+    plain = F.regexp_replace(name, "^[^_]*_", "")
+    return F.nullif(F.array_position(known, plain), F.lit(0).cast("bigint"))
 
 
 def counter_rate(samples: DataFrame, blocks: int | None = None, every_sample: bool = False) -> DataFrame:

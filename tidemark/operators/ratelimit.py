@@ -11,7 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.decisions import apply_rule
+from tidemark.operators.decisions import apply_rule, rule_ends
 from tidemark.operators.scale import BLOCK, scan
 
 # Lines per second, burst depth and the notice text.
@@ -46,46 +46,45 @@ def _likely_states(cut: DataFrame, group: list[str], order: list[str], rate: int
     give the real value whenever that time is known; the caller verifies and repairs the rest."""
     full, top = burst * TOKEN, (burst - 1) * TOKEN
     keys = [*group, BLOCK]
-    types = dict(cut.dtypes)
-    key_types = ",".join(f"{k}:{types[k]}" for k in keys)
-
-    def summarise(rows: pd.DataFrame) -> pd.DataFrame:
-        times = rows.sort_values(order, kind="stable")["at_us"].tolist()
-        shift, low, high = 0, 0, top
-        floor, full_at, last = 0, None, times[0]
-        for i, at in enumerate(times):
-            refill = (at - last) * rate if i else 0
-            if i:
-                step = refill - TOKEN
-                shift += step
-                low, high = (min(max(v + step, 0), top) for v in (low, high))
-                if floor + refill >= full:
-                    full_at = at
-                floor = min(max(floor + step, 0), top)
+    key_types = ",".join(f"{k}:{dict(cut.dtypes)[k]}" for k in keys)
+
+    def summarise(rows: pd.DataFrame, state: dict | None):
+        times = rows["at_us"].tolist()
+        if state is None:
+            state = {"first": times[0], "last": times[0], "shift": 0, "low": 0, "high": top, "floor": 0, "full_at": None}
+            times = times[1:]
+        shift, low, high, floor, last, full_at = (state[k] for k in ("shift", "low", "high", "floor", "last", "full_at"))
+        for at in times:
+            refill = (at - last) * rate
+            step = refill - TOKEN
+            shift += step
+            low, high = min(max(low + step, 0), top), min(max(high + step, 0), top)
+            if floor + refill >= full:
+                full_at = at
+            floor = min(max(floor + step, 0), top)
             last = at
-        return rows[keys].head(1).assign(first_us=times[0], last_us=last, shift=shift, low=low, high=high, full_at=full_at)
+        return {}, {"first": state["first"], "last": last, "shift": shift, "low": low, "high": high, "floor": floor, "full_at": full_at}
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(BLOCK)
         out, level, last, full_at = [], None, None, None
-        for r in rows.sort_values(BLOCK).to_dict("records"):
-            first = int(r["first_us"])
+        for part in map(json.loads, rows["_exit"]):
             if level is None:
                 out.append(None)
-                level, full_at = top, first
+                level, full_at = top, part["first"]
             else:
                 short = (full + (last - full_at) * rate - level) % TOKEN
                 out.append(json.dumps({"tokens": level + short, "at": last}))
-                if level + (first - last) * rate >= full:
-                    full_at = first
-                level = min(max(level + (first - last) * rate - TOKEN, 0), top)
-            level = min(max(level + int(r["shift"]), int(r["low"])), int(r["high"]))
-            last = int(r["last_us"])
-            if pd.notna(r["full_at"]):
-                full_at = int(r["full_at"])
-        return rows.sort_values(BLOCK)[keys].assign(_entry=out)
-
-    per_block = cut.groupBy(*keys).applyInPandas(
-        summarise, f"struct<{key_types},first_us:bigint,last_us:bigint,shift:bigint,low:bigint,high:bigint,full_at:bigint>")
+                refill = (part["first"] - last) * rate
+                if level + refill >= full:
+                    full_at = part["first"]
+                level = min(max(level + refill - TOKEN, 0), top)
+            level = min(max(level + part["shift"], part["low"]), part["high"])
+            last = part["last"]
+            full_at = full_at if part["full_at"] is None else part["full_at"]
+        return rows[keys].assign(_entry=out)
+
+    per_block = rule_ends(cut.withColumn("_entry", F.lit(None).cast("string")), keys, order, summarise)
     # one row per block of a group
     return per_block.groupBy(*group).applyInPandas(chain, f"struct<{key_types},_entry:string>")
 

@@ -19,7 +19,10 @@ from tidemark.session import plan_bytes
 BLOCK = "_block"
 BLOCKS_CONF = "spark.tidemark.scanBlocks"
 BLOCK_BYTES = 64 << 20
-MAX_BLOCKS = 4096
+MAX_BLOCKS = 1 << 21
+
+# Quantile cuts, and so also groups that may be cut; more blocks divide the cuts evenly.
+MAX_CUTS = 4096
 
 # Block number of the rows of groups that are not cut.
 UNCUT = -1
@@ -41,7 +44,8 @@ def block_count(df: DataFrame) -> int:
 
 
 def _cut_points(df: DataFrame, number: Column, n: int) -> list[float]:
-    cuts = df.select(number.alias("_at")).approxQuantile("_at", [i / n for i in range(1, n)], 0.25 / n)
+    """Approximate quantiles from the smallest to the greatest value, without repeats."""
+    cuts = df.select(number.alias("_at")).approxQuantile("_at", [i / n for i in range(n + 1)], 0.25 / n)
     return sorted({c for c in cuts if abs(c) != float("inf")})
 
 
@@ -58,29 +62,36 @@ def _large_groups(df: DataFrame, group: Sequence[str], n: int) -> DataFrame:
 
 def with_blocks(df: DataFrame, group: Sequence[str], order: str, blocks: int | None = None) -> tuple[DataFrame, int]:
     """Add the block number, from 0, or UNCUT. Only groups above 1/n of all rows are cut, so fewer
-    than n groups; the cut points are n-1 approximate quantiles of the order column, so no block of a cut group is
-    much larger than 1/n of all rows. Any cut points give right results, since block numbers
-    rise with the order column."""
-    n = blocks or block_count(df)
-    if n <= 1:
+    than n groups; the cut points are approximate quantiles of the order column, at most MAX_CUTS,
+    and where more blocks are needed each cut is divided evenly. Any cut points give right results,
+    since block numbers rise with the order column."""
+    wanted = blocks or block_count(df)
+    if wanted <= 1:
         return df.withColumn(BLOCK, F.lit(UNCUT)), 1
+    n = min(wanted, MAX_CUTS)
     timed = dict(df.dtypes)[order].startswith("timestamp")
     number = F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
     number = F.coalesce(number.cast("double"), F.lit(float("-inf")))
-    cuts = _cut_points(df, number, n)
-    if not cuts:
+    bounds = _cut_points(df, number, n)
+    if len(bounds) < 3:
         return df.withColumn(BLOCK, F.lit(UNCUT)), 1
     cut_at = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_cut", handleInvalid="keep")
+        splits=[float("-inf"), *bounds[1:-1], float("inf")], inputCol="_at", outputCol="_cut", handleInvalid="keep")
     bucketed = cut_at.transform(df.withColumn("_at", number))
     cut = F.col("_cut").cast("int")
+    parts = -(-wanted // n)
+    if parts > 1:
+        low = F.get(F.lit(bounds[:-1]), cut)
+        share = (F.col("_at") - low) / (F.get(F.lit(bounds[1:]), cut) - low)
+        within = F.greatest(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0))
+        cut = (cut * parts + within).cast("int")
     if group:
         large = _large_groups(df, group, n)
         same = [F.col(g).eqNullSafe(F.col(f"_large_{g}")) for g in group]
         bucketed = bucketed.join(F.broadcast(large), same, "left")
         cut = F.when(F.col("_large"), cut).otherwise(F.lit(UNCUT))
     bucketed = bucketed.withColumn(BLOCK, cut).drop("_at", "_cut", "_large", *[f"_large_{g}" for g in group])
-    return bucketed, len(cuts) + 1
+    return bucketed, wanted
 
 
 def _orders(order: Sequence[str], descending: bool = False) -> list[Column]:

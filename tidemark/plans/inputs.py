@@ -63,7 +63,7 @@ SELECT event_id AS seq, concat('2024-01-01 00:00:00.000 UTC [', CAST(user_id AS
   ',user=u,client=10.0.0.1 LOG:  duration: ', CAST(CAST(floor(value * 10) AS bigint) AS varchar(20)), '.000 ms  statement: SELECT * FROM t', CAST(user_id % 4 AS varchar(9)), ' WHERE id = ', CAST(event_id AS varchar(20))) AS line FROM events
 """,
     "d6_metrics": r"""
-SELECT s_suppkey, concat('glidefs_m', CAST(s_suppkey % 7 AS varchar(9)), CASE WHEN s_suppkey % 2 = 0 THEN '_total' ELSE '' END,
+SELECT s_suppkey, concat('store_m', CAST(s_suppkey % 7 AS varchar(9)), CASE WHEN s_suppkey % 2 = 0 THEN '_total' ELSE '' END,
   '{export="e', CAST(s_suppkey AS varchar(9)), '"}') AS key, CAST(s_nationkey * 10 AS bigint) AS before_v,
   CAST(s_nationkey * 10 + s_suppkey AS bigint) AS after_v, (s_suppkey % 6 = 1) AS new_in_after FROM supplier
 """,

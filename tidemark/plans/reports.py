@@ -29,7 +29,7 @@ def metric_delta(spark, sf_dir):
 
 
 @query("rank_metrics", ["d6_metrics"], f"""
-SELECT key, CASE name WHEN 'glidefs_s3_bytes_written_total' THEN 2 WHEN 'glidefs_cache_misses_total' THEN 8 WHEN 'glidefs_dirty_blocks' THEN 11 END AS rank FROM (
+SELECT key, CASE name WHEN 'store_s3_bytes_written_total' THEN 2 WHEN 'store_cache_misses_total' THEN 8 WHEN 'store_dirty_blocks' THEN 11 END AS rank FROM (
  SELECT replace(replace(replace(key, 'm2_total', 's3_bytes_written_total'), 'm3{{', 'dirty_blocks{{'), 'm4_total', 'cache_misses_total') AS key,
   split_part(replace(replace(replace(key, 'm2_total', 's3_bytes_written_total'), 'm3{{', 'dirty_blocks{{'), 'm4_total', 'cache_misses_total'), '{{', 1) AS name FROM d6_metrics) q""")
 def rank_metrics(spark, sf_dir):

@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.segments import is_history, is_partial, is_segment, parse_segment_name
@@ -37,12 +39,33 @@ def scan_segment_catalog(spark: SparkSession, path: str) -> DataFrame:
     return catalog_rows(files)
 
 
+def _read_file(path: str) -> bytes | None:
+    """Content of a file on any file system pyarrow knows; nothing when it is gone."""
+    try:
+        if path.startswith("file:"):
+            with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as file:
+                return file.read()
+        system, inside = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(inside) as file:
+            return file.read()
+    except FileNotFoundError:
+        return None
+
+
 def fetch_segments(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
-    """Bytes of the named segments; a name that is not in the archive yields no row. Names join the
-    listing first, so only the wanted files are opened."""
-    files = spark.read.format("binaryFile").load(path)
-    named = files.withColumn("name", _file_name(F.col("path"))).where(is_segment(F.col("name")))
-    return named.join(names.select("name").distinct(), "name", "left_semi").select("name", "path", "length", "content")
+    """Bytes of the named segments; a name that is not in the archive yields no row. Names meet the
+    listing, which has no contents, and then the tasks open only the files that are wanted."""
+    listed = spark.read.format("binaryFile").load(path).select(_file_name(F.col("path")).alias("name"), "path", "length")
+    wanted = listed.where(is_segment(F.col("name"))).join(names.select("name").distinct(), "name", "left_semi")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                content = _read_file(row["path"])
+                if content is not None:
+                    yield pa.RecordBatch.from_pylist([{**row, "content": content}])
+
+    return wanted.select("name", "path", "length").mapInArrow(read, "name string, path string, length bigint, content binary")
 
 
 def copy_missing_segments(spark: SparkSession, archive: str, local: str, redo: str, per_timeline: bool = False) -> DataFrame:
