@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.lines import parse_pg_log_prefix
 from tidemark.operators.scale import neighbour
 
 # Fixed value: statements of this many milliseconds or more are slow.
@@ -108,12 +107,15 @@ def normalise_statement(text: Column) -> Column:
 
 
 def slow_queries(lines: DataFrame, column: str = "line", slow_ms: float = SLOW_MS) -> DataFrame:
-    """Slow statements by normalised text: calls, total, mean and greatest duration."""
-    parsed = lines.select(parse_pg_log_prefix(F.col(column)).alias("p"))
-    slow = parsed.where((F.col("p.duration_ms") >= slow_ms) & F.col("p.statement").isNotNull())
-    return slow.groupBy(normalise_statement(F.col("p.statement")).alias("statement")).agg(
-        F.count("*").alias("calls"), F.sum("p.duration_ms").alias("total_ms"),
-        F.avg("p.duration_ms").alias("mean_ms"), F.max("p.duration_ms").alias("max_ms"))
+    """Slow statements by normalised text: calls, total, mean and greatest duration. A plain text
+    search leaves out most lines before any expression runs."""
+    reports = lines.where(F.col(column).contains(" LOG:  duration: ")).select(F.col(column).alias("line"))
+    logged = r"(?s) LOG:  duration: ([0-9.]+) ms  (?:statement|execute [^:]*): (.*)$"
+    duration = F.regexp_extract("line", logged, 1).try_cast("double")
+    slow = reports.where(duration >= slow_ms).select(
+        normalise_statement(F.regexp_extract("line", logged, 2)).alias("statement"), duration.alias("ms"))
+    return slow.groupBy("statement").agg(
+        F.count("*").alias("calls"), F.sum("ms").alias("total_ms"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"))
 
 
 def partition_report(
