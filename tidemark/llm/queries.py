@@ -10,6 +10,8 @@ from tidemark.llm import mixing
 from tidemark.llm.decontaminate import benchmark_hits
 from tidemark.llm.line_dedup import drop_repeated_lines
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.partial_matching import score_texts
+from tidemark.llm.quality import score_quality, train_quality
 from tidemark.llm.toxicity import score_toxicity, train_toxicity
 from tidemark.llm.training import held_out
 
@@ -60,3 +62,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col("score").cast("double").alias("score"),
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_partial_matching")
+def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 7, 2))
