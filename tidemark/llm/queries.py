@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, revisits
 from tidemark.llm.decontaminate import benchmark_hits
 from tidemark.llm.line_dedup import drop_repeated_lines
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.neighbours import nearest
 from tidemark.llm.partial_matching import score_texts
+from tidemark.llm.personal_data import find_personal_data
 from tidemark.llm.quality import score_quality, train_quality
 from tidemark.llm.toxicity import score_toxicity, train_toxicity
 from tidemark.llm.training import held_out
@@ -74,3 +76,20 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_partial_matching")
 def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 7, 2))
+
+
+@query("op2_neighbours")
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op5_revisits", revisits.ORACLE_SQL)
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = revisits.resolve_revisits(revisits.records_of_pages(table(spark, sf_dir, "pages")))
+    pairs = F.array_sort(F.transform(F.map_entries("merged_headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return out.select("record_id", "canonical_url", "outcome", "refers_to", F.array_join(pairs, ";").alias("merged_headers"), "payload_digest", "payload_length")
+
+
+@query("op9_personal_data")
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
