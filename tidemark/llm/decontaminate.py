@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.batches import bound_batches
 from tidemark.llm.words import row_starts, shingle_hashes, word_chunks
 from tidemark.session import stored_copy
 
@@ -185,6 +186,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     ignored; no items or no rows give no rows.
     """
     spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     found = spark.createDataFrame([], FOUND)
     for part in build_index(items):

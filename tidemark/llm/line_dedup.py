@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.llm.batches import bound_batches
 from tidemark.llm.near_dedup import _whole_groups
 from tidemark.llm.words import row_chunks, span_hashes, spans, text_buffers
 from tidemark.session import stored_copy
@@ -122,6 +123,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows count as one document and are cut alike. Other columns pass through, whatever their names, but
     for one called like ``removed_col``, which is replaced. An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     key = F.xxhash64(F.col(text_col))
     source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), key.alias("text_key"), F.col(text_col).alias("text"))

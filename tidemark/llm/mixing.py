@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.training import free_name
 from tidemark.session import stored_copy
 
 ROUNDS = 20
@@ -65,18 +66,18 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     made = ["topic", "n_tokens", "weight", "probability", "sampled"]
     base = docs.drop(*made)
+    source, lang, s, g, t = (free_name(base, x) for x in ("mix_source", "mix_lang", "cell_source", "cell_lang", "cell_topic"))
     rows = base.withColumns({
         "topic": F.expr(TOPIC.replace("text", f"`{text_col}`")), "n_tokens": F.expr(TOKENS.replace("text", f"`{text_col}`")).cast("long"),
-        "_source": F.coalesce(F.col(source_col).cast("string"), F.lit("none")), "_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("none"))})
-    cells = rows.where("n_tokens > 0").groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(
+        source: F.coalesce(F.col(source_col).cast("string"), F.lit("none")), lang: F.coalesce(F.col(lang_col).cast("string"), F.lit("none"))})
+    cells = rows.where("n_tokens > 0").groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), "topic").agg(
         F.sum("n_tokens").alias("tokens"))
     cells = stored_copy(cells, "cells")
     raked = rake(cells, powers, rounds)
     every = cells.agg(F.sum("tokens")).first()[0] or 0
-    rates = raked.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), "weight",
+    rates = raked.select(F.col("source").alias(s), F.col("lang").alias(g), F.col("topic").alias(t), "weight",
                          F.least(F.lit(1.0), keep * F.col("weight") * float(every) / F.col("tokens")).alias("probability"))
-    joined = rows.join(rates, (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (rows["topic"] == F.col("_t"))
-                       & (F.col("n_tokens") > 0), "left")
+    joined = rows.join(rates, (F.col(source) == F.col(s)) & (F.col(lang) == F.col(g)) & (F.col("topic") == F.col(t)) & (F.col("n_tokens") > 0), "left")
     joined = joined.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "probability": F.coalesce("probability", F.lit(0.0))})
     return joined.withColumn("sampled", uniform(F.col(id_col), seed) < F.col("probability")).select(*base.columns, *made)
 

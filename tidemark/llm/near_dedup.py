@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.batches import bound_batches
 from tidemark.llm.components import connected_components
 from tidemark.llm.words import mix, row_starts, shingle_hashes, union_labels, word_chunks
 from tidemark.session import stored_copy
@@ -212,6 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component where their sets are equal or linked. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stored_copy(source.mapInArrow(
         lambda batches: _signed(batches, size), "doc_id long, n_shingles long, set_key long, signature binary"), "signed")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.batches import bound_batches
 from tidemark.llm.words import mix, row_chunks, text_buffers, word_chunks
 from tidemark.session import stored_copy
 
@@ -181,6 +182,7 @@ def score_texts(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_co
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                          F.coalesce(learns, F.lit(False)).alias("learns"))
+    bound_batches(docs.sparkSession)
     size = source.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     source = source.withColumn("held_out", ~F.col("learns")).withColumn(

@@ -11,18 +11,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.batches import bound_batches
+
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 6
 # Weight of agreement between like tokens; marginal that an added span needs.
-SKIP, SURE = 2.5, 0.8
-# The patterns of the four kinds.
+SKIP, SURE = 4.0, 0.8
+# The patterns of the four kinds. An address part is a whole run of digits, which is never taken back.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_MARK = re.compile(r"[0-9@]")
 _TRIM = ".,;:!?()[]{}<>\"'"
 
 Span = tuple[int, int, int]
@@ -95,8 +98,10 @@ def chain(text: str, base: list[Span]) -> Chain:
     spans, shapes, tokens, labels, linked = [], [], [], [], []
     last, upto = -2, 0
     ordered = sorted(base)
-    for m in _NODE.finditer(text):
+    for m in _TOKEN.finditer(text):
         raw = m[0]
+        if not _MARK.search(raw):
+            continue
         left, right = len(raw) - len(raw.lstrip(_TRIM)), len(raw.rstrip(_TRIM))
         if right <= left:
             continue
@@ -238,6 +243,7 @@ def find_personal_data(docs: DataFrame, field: Field | None = None, id_col: str
     marginal SURE at least. Null and empty texts have no spans, null ids stay null, rows that repeat are
     each reported, other columns are ignored; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field or train_field(docs, text_col))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(lambda batches: _found(batches, shared),

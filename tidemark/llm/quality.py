@@ -17,6 +17,8 @@ SAMPLE = 10_000
 HASHED = 1 << 12
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.01, 1e-5
+# A small sample is gone through more often, until so many batches have been seen.
+LEAST_STEPS = 800
 _STATISTICS = 21
 
 
@@ -101,7 +103,7 @@ def _fit(inputs: pa.Table) -> tuple[float, np.ndarray, np.ndarray]:
     weights = np.zeros((HASHED + _STATISTICS + 1, FACTORS + 1))  # column 0: linear, the last row: intercept
     weights[:-1, 1:] = rng.normal(0, 0.05, (HASHED + _STATISTICS, FACTORS))
     first, second, step = np.zeros_like(weights), np.zeros_like(weights), 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(label)))):
         order = rng.permutation(len(label))
         for low in range(0, len(order), BATCH):
             rows = order[low:low + BATCH]

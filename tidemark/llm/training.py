@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.llm.batches import bound_batches
+
 # Classes of bytes whose shares describe a text; bytes of letters beyond ASCII are class 1.
 _CLASSES = ("other", "beyond", "upper", "lower", "digit", "space", "newline", "stop", "exclaim", "question", "comma", "symbol", "pipe", "bracket")
 _CLASS_OF = np.zeros(256, np.int64)
@@ -45,6 +47,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 def with_column(docs: DataFrame, text_col: str, name: str, kind: T.DataType,
                 of: Callable[[pa.Array], Iterator[pa.Array]]) -> DataFrame:
     """The rows with one more column, which ``of`` gives for a text column in consecutive pieces."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
