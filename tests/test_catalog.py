@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, filters, joins, ordering, sets
@@ -29,6 +30,22 @@ def test_retention(spark):
     assert ordering.retention_plan(kept, 32).where("action = 'delete'").isEmpty()
 
 
+@pytest.mark.parametrize("blocks", ["1", "5"])
+def test_retention_compares_names_as_text(spark, blocks):
+    spark.conf.set("spark.tidemark.scanBlocks", blocks)
+    try:
+        listed = [f"00000001{0:08X}{i:06X}{end}" for i in range(3) for end in ("aa", "F8", "0b", "F8")]
+        kept = sorted(set(listed))[-4:]
+        assert deleted(spark, listed, 4) == sorted(n for n in listed if n not in kept)
+    finally:
+        spark.conf.unset("spark.tidemark.scanBlocks")
+
+
+def test_retention_keeps_at_least_one(spark):
+    with pytest.raises(ValueError):
+        ordering.retention_plan(names(spark, []), 0)
+
+
 def test_retention_beyond_the_window_limit(spark, blocks):
     many = [seg(t, i) for t in (1, 2) for i in range(1300)]
     assert deleted(spark, many, 1200) == [seg(1, i) for i in range(100)] + [seg(2, i) for i in range(100)]

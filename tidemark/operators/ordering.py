@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.lsn import HIGH_WORD, lsn_parse
+from tidemark.functions.lsn import lsn_parse
 from tidemark.functions.segments import SEGMENT_BYTES, is_segment, parse_segment_name, segment_no_of_name
 from tidemark.operators.joins import metric_rank
 from tidemark.operators.scale import neighbour, row_numbers, running, scan
@@ -15,9 +15,6 @@ from tidemark.session import small_side
 # Fixed value: the smallest number of segments a retention job may be set to keep.
 MIN_KEEP = 8
 
-# Spark limits a window group before the shuffle only up to this rank.
-GROUP_LIMIT = 1000
-
 
 def complete_segments(catalog: DataFrame) -> DataFrame:
     return catalog.where(is_segment(F.col("name")))
@@ -34,20 +31,18 @@ def highest_segment(catalog: DataFrame) -> DataFrame:
 
 
 def retention_plan(catalog: DataFrame, keep: int) -> DataFrame:
-    """``keep`` or ``delete`` for each complete segment: the newest ``keep`` names of each timeline
-    stay. Partial and history files are never in the plan. Up to 1,000 kept names, only the newest
-    of each task travel (a top-k limited before the shuffle) and the rest compare with the cut-off
-    name; more than that are numbered by a blocked scan."""
+    """``keep`` or ``delete`` for each complete segment: the ``keep`` greatest names of each timeline
+    stay, compared as text; rows that repeat a name share its action. Partial and history files are
+    never in the plan. A blocked scan numbers the names, and all rows compare with the name at ``keep``."""
+    if keep < 1:
+        raise ValueError("keep must be at least 1")
     segments = complete_segments(catalog).withColumn("_tl", F.substring("name", 1, 8))
-    if keep > GROUP_LIMIT:
-        s = parse_segment_name(F.col("name"))
-        placed = segments.withColumn("_newest", -(s["hi"] * F.lit(HIGH_WORD) + s["lo"]))
-        ranked = row_numbers(placed, ["_tl"], ["_newest", "name"], "_rank")
-        action = F.when(F.col("_rank") > keep, "delete").otherwise("keep")
-        return ranked.select(*catalog.columns, action.alias("action"))
-    newest = Window.partitionBy("_tl").orderBy(F.desc("name"))
-    top = segments.select("_tl", "name").withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= keep)
-    cutoff = top.groupBy("_tl").agg(F.min("name").alias("_cutoff"))
+    # 22 digits in text order: a name's 16 characters after the timeline as two numbers
+    digits = F.translate(F.substring("name", 9, 16), "abcdef", "GHIJKL")
+    place = lambda at, n: -F.conv(F.substring(digits, at, n), 22, 10).cast("bigint")
+    placed = segments.select("_tl", "name", place(1, 14).alias("_high"), place(15, 2).alias("_low")).distinct()
+    ranked = row_numbers(placed, ["_tl"], ["_high", "_low"], "_rank")
+    cutoff = ranked.where(F.col("_rank") <= keep).groupBy("_tl").agg(F.min("name").alias("_cutoff"))
     action = F.when(F.col("name") < F.col("_cutoff"), "delete").otherwise("keep")
     return segments.join(small_side(cutoff), "_tl").select(*catalog.columns, action.alias("action"))
 

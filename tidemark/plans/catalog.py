@@ -95,8 +95,7 @@ SELECT name, CASE WHEN regexp_full_match(name, '[0-9A-Fa-f]{{24}}') THEN 'comple
  CASE WHEN NOT suffix(name, '.history') AND regexp_full_match(name, '[0-9A-Fa-f]{{24}}(\\.partial)?') THEN CAST(concat('0x', substr(name, 9, 8)) AS BIGINT) * 256 + CAST(concat('0x', substr(name, 17, 8)) AS BIGINT) END AS seg_no
 FROM ({NAMED}) n WHERE regexp_full_match(name, '[0-9A-Fa-f]{{24}}') OR suffix(name, '.partial') OR regexp_full_match(name, '[0-9A-Fa-f]{{8}}\\.history')""")
 def scan_catalog(spark, sf_dir):
-    names = _mixed_names(spark, sf_dir).where(~F.col("name").rlike("partial0$"))
-    return catalog_rows(names).select("name", "state", F.coalesce("timeline", F.conv(F.substring("name", 1, 8), 16, 10).cast("bigint")).alias("timeline"), "seg_no")
+    return catalog_rows(_mixed_names(spark, sf_dir)).select("name", "state", F.coalesce("timeline", F.conv(F.substring("name", 1, 8), 16, 10).cast("bigint")).alias("timeline"), "seg_no")
 
 
 @query("list_segments", ["d2_catalog"], "SELECT name FROM d2_catalog WHERE length(name) = 24 ORDER BY name")

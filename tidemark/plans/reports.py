@@ -213,11 +213,10 @@ def slow_queries(spark, sf_dir):
 
 
 @query("partition_report", [], """
-WITH p AS (SELECT date_trunc('month', o_orderdate) AS part_start, count(*) AS rows, min(o_orderdate) AS first_value, max(o_orderdate) AS last_value
- FROM orders WHERE month(o_orderdate) NOT IN (3, 4) GROUP BY 1)
-SELECT part_start::TIMESTAMP AS part_start, rows, first_value, last_value, (part_start + INTERVAL 1 MONTH)::TIMESTAMP AS part_end,
- coalesce(date_diff('month', lag(part_start) OVER (ORDER BY part_start), part_start) - 1, 0) AS gap_before,
- date_diff('month', part_start, (SELECT max(part_start) FROM p)) >= 24 AS expired FROM p""")
+WITH p AS (SELECT date_trunc('day', o_orderdate) AS part_start, count(*) AS rows, min(o_orderdate) AS first_value, max(o_orderdate) AS last_value
+ FROM orders GROUP BY 1)
+SELECT part_start::TIMESTAMP AS part_start, rows, first_value, last_value, (part_start + INTERVAL 1 DAY)::TIMESTAMP AS part_end,
+ coalesce(date_diff('day', lag(part_start) OVER (ORDER BY part_start), part_start) - 1, 0) AS gap_before,
+ date_diff('day', part_start, (SELECT max(part_start) FROM p)) >= 730 AS expired FROM p""")
 def partition_report(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(~F.month("o_orderdate").isin(3, 4))
-    return extras.partition_report(o, "o_orderdate", "month", retain=24)
+    return extras.partition_report(table(spark, sf_dir, "orders"), "o_orderdate", "day", retain=730)

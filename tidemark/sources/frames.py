@@ -20,9 +20,6 @@ from tidemark.session import stored_copy
 RELATION_SCHEMA = "seq bigint, rel_oid bigint, schema string, table string, columns array<struct<name:string,type_oid:bigint>>"
 DML_SCHEMA = "seq bigint, lsn bigint, rel_oid bigint, op string, old_kinds string, old_cells array<string>, new_kinds string, new_cells array<string>"
 
-# Fixed value: frames above this size are refused before parsing.
-MAX_FRAME_BYTES = 16 * 1024 * 1024 + 256
-
 
 class Malformed(ValueError):
     """The message does not follow the layout; it yields no event."""
@@ -133,8 +130,7 @@ def relation_messages(frames: DataFrame) -> DataFrame:
 
 
 def dml_messages(frames: DataFrame) -> DataFrame:
-    sized = dml_only(frames).where(F.octet_length("data") <= MAX_FRAME_BYTES)
-    return sized.select("seq", "lsn", "data").mapInArrow(_parsed(parse_dml, _DML_ARROW, True), DML_SCHEMA)
+    return dml_only(frames).select("seq", "lsn", "data").mapInArrow(_parsed(parse_dml, _DML_ARROW, True), DML_SCHEMA)
 
 
 def _image(kinds: str, cells: str) -> Column:
