@@ -75,9 +75,10 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Shortest runs from each line onward and up to each line together cover every longer run.
     """
     lines = stored_copy(docs.mapInArrow(_lines, "doc_id long, text_key long, idx int, pos int, line long, words int"), "lines")
-    again = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
-    windowed = (lines.join(again, "line").select(*_DOC, "idx", "pos", "line", "words").distinct()
-                .repartition(*_DOC).sortWithinPartitions(*_DOC, "idx")
+    # Stored, and rows that repeat fall together only after the next shuffle: so the join may split a very common line.
+    again = stored_copy(lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "again")
+    windowed = (lines.join(again, "line").select(*_DOC, "idx", "pos", "line", "words")
+                .repartition(*_DOC).dropDuplicates().sortWithinPartitions(*_DOC, "idx")
                 .mapInArrow(lambda batches: _windows(batches, min_words), "doc_id long, text_key long, idx int, pos int, line long, "
                             "stretch int, onward int, upto int"))
     suffixes = stored_copy(windowed.withColumnRenamed("line", "rank0"), "suffixes")
