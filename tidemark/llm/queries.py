@@ -12,10 +12,13 @@ from tidemark.llm.line_dedup import drop_repeated_lines
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.neighbours import nearest
 from tidemark.llm.partial_matching import score_texts
+from tidemark.llm.periodic_runs import find_runs
 from tidemark.llm.personal_data import find_personal_data
 from tidemark.llm.quality import score_quality, train_quality
+from tidemark.llm.token_counts import count_tokens, read_vocabulary
 from tidemark.llm.toxicity import score_toxicity, train_toxicity
 from tidemark.llm.training import held_out
+from tidemark.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +96,49 @@ def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_personal_data")
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = count_tokens(docs, read_vocabulary(vocabulary_path("word_bpe_49k.json")))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: where crc32(doc_id) ends in 0, the words from the a-th on repeat the p words that begin there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    some = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.filter(
+        F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")).alias("words"))
+    some = some.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    some = some.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    place = F.expr("transform(sequence(0, n - 1), i -> cast(if(i < a, i, a + (i - a) % p) as int))")
+    planted = F.array_join(F.transform(place, lambda i: F.get(F.col("words"), i)), " ")
+    return some.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # Exact order of length / period: cross products of whole numbers; the first of equals by start, then period.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(
+        r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    rows = found.withColumn("best", best)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
