@@ -158,7 +158,53 @@ def test_decontamination(spark):
     assert decontaminate.benchmark_hits(frame(spark, []), items).collect() == []
 
 
-def test_retrieval_equals_plain_scores(spark):
+def test_repeated_items_change_nothing(spark):
+    """Items listed twice, or under two ids, are found as often as single ones."""
+    sf = "/root/testdata/sf0.01"
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    once = {tuple(r) for r in decontaminate.benchmark_hits(docs, items).collect()}
+    twice = {tuple(r) for r in decontaminate.benchmark_hits(docs, items.union(items)).collect()}
+    renamed = items.union(items.select((F.col("item_id") + 1000).alias("item_id"), "text"))
+    both = {tuple(r) for r in decontaminate.benchmark_hits(docs, renamed).collect()}
+    assert len(once) > 20 and twice == once
+    assert both == once | {(r[0], r[1] + 1000, *r[2:]) for r in once}
+
+
+def test_short_items_and_two_texts_of_one_id(spark):
+    other = "a quite different question about rivers and the long way they run to the sea at last"
+    items = spark.createDataFrame([(1, "Zebra crossing ahead"), (2, "yes"), (3, ITEM), (3, other), (4, " \t"), (5, "to be or not"), (6, " ".join(["w%d" % i for i in range(200)]))],
+                                  "item_id long, text string")
+    texts = ["we saw a zebra crossing ahead of us", "a crossing zebra ahead", "oh YES", "yesterday", f"x {ITEM} y", f"x {other} y", "to be or not to be", "to be or maybe not",
+             "f " * 150 + " ".join(["w%d" % i for i in range(200)]), "f " * 70 + ITEM]
+    bad = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_hits(frame(spark, texts), items).where("contaminated").collect()}
+    assert bad == {(0, 1), (2, 2), (4, 3), (5, 3), (6, 5), (8, 6), (9, 3)}
+
+
+def test_block_max_wand_equals_plain_sums(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    import pyarrow as pa
+    for _ in range(60):
+        n, terms = int(rng.integers(1, 60)), int(rng.integers(1, 12))
+        pairs = np.argwhere(rng.random((n, terms)) < rng.choice([0.1, 0.5, 0.9]))
+        if not len(pairs):
+            continue
+        impact = np.round(rng.random(len(pairs)) ** 3, 2)
+        chosen = [type("R", (), {"key": i, "length": 9, "question": [], "answer": []}) for i in range(n)]
+        part = decontaminate._part(chosen, pa.table({"key": pairs[:, 0], "term": pairs[:, 1], "impact": impact}), 64)
+        asked = [t for t in range(len(part.terms)) if rng.random() < 0.7]
+        wanted = set(part.terms[asked].tolist())
+        totals = collections.Counter()
+        for (i, t), v in zip(pairs.tolist(), impact.tolist()):
+            if t in wanted:
+                totals[i] += v
+        for score in (0.05, 0.6, 1.5):
+            got = dict(decontaminate.block_max_wand(part, asked, score))
+            assert {i: round(v, 9) for i, v in got.items()} == {i: round(v, 9) for i, v in totals.items() if v >= score - 1e-9}
+
+
+def test_retrieval_equals_plain_scores(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_POSTINGS", 100)
     rng = random.Random(2)
     vocabulary = ["t%d" % i for i in range(40)]
     items = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 12))) for _ in range(30)]
@@ -326,8 +372,76 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.nearest(frame_.limit(0), F.lit(True)).collect() == []
 
 
-def test_revisits(spark, monkeypatch):
-    monkeypatch.setattr(revisits, "STRETCH_ROWS", 3)
+def test_equal_distances_go_to_smaller_ids(spark):
+    rng = random.Random(6)
+    for _ in range(3):
+        ids = rng.sample(range(64), 64)
+        rows = [(i, [float(j == place) for j in range(64)]) for place, i in enumerate(ids)]
+        got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+        assert sorted((r["rank"], r.vec_id) for r in got) == [(n, n) for n in range(1, 11)]
+    few = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "vec_id long, embedding array<double>")
+    assert sorted((r["rank"], r.vec_id) for r in neighbours.nearest(few, F.col("vec_id") == 0).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+@pytest.mark.parametrize("percent", [50, 60, 95, 100])
+def test_links_at_other_similarities(spark, percent):
+    rng = random.Random(percent)
+    texts = corpus(percent, 60)[:-1]
+    base = ["b%d" % i for i in range(77)]
+    texts += [" ".join(base), " ".join(base[:60] + ["c%d" % i for i in range(18)]), " ".join(rng.sample(base, 77))]
+    got = near_dedup.near_duplicates(frame(spark, texts), size=2, percent=percent).collect()
+    expected = linked_by_hand(texts, 2, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == expected
+
+
+def test_matches_asked_for():
+    assert [near_dedup.least_matches(p) for p in (60, 80, 100)] == [21, 36, 64]
+
+
+def test_toxicity_is_linear_in_long_words_and_repeats_itself(spark):
+    import time
+    start = time.time()
+    toxicity.features("a" * 1_000_000, np.zeros(99), {})
+    assert time.time() - start < 2
+    docs, labels = labelled(spark)
+    docs = docs.union(docs.where("doc_id < 40"))
+    first, second = ({r.doc_id: r.score for r in toxicity.score_toxicity(d, toxicity.train_toxicity(d.select("doc_id", "text"), labels)).collect()}
+                     for d in (docs.repartition(3), docs.orderBy(F.desc("doc_id")).coalesce(1)))
+    assert first == second and len(first) == 400
+
+
+def test_addresses(spark):
+    forms = {"http://A.com/Doc": "a.com/Doc", "HTTPS://www.a.com:443/doc/": "a.com/doc", "a.com/x?utm_source=q&b=C": "a.com/x?b=C",
+             "ftp://u:p@m.B.org./": "b.org", "http://a.com:8080/p#F": "a.com:8080/p", "": "", None: None}
+    import duckdb
+    con = duckdb.connect()
+    for url, expected in forms.items():
+        given = "NULL::VARCHAR" if url is None else f"'{url}'"
+        assert con.execute(f"SELECT {revisits._canonical_sql(given)}").fetchone()[0] == expected, url
+    made = spark.createDataFrame([(u,) for u in forms], "u string").select("u", revisits.canonical_url(F.col("u")).alias("c"))
+    assert {r.u: r.c for r in made.collect()} == forms
+
+
+def test_revisits_of_times_and_repeats(spark):
+    """Timestamps, one address over many partitions, equal times and repeated records, long headers."""
+    long = "v" * 100_000
+    rows = [(i, "http://hot.com/Doc", f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", "response" if i % 50 == 0 else "revisit", {"etag": f"e{i // 50 % 2}", "x": long if i == 7 else "s"}, "d", i)
+            for i in range(300)] + [(900, "http://hot.com/doc", "2024-01-01 00:01:00", "revisit", {}, "d", None)]
+    rows += [(1000 + i, "http://tie.com", "2024-01-01 00:00:00", kind, {"etag": "e"}, "d", 1) for i, kind in enumerate(["response", "revisit", "response", "revisit"])]
+    schema = "record_id long, url string, at string, kind string, headers map<string,string>, digest string, length long"
+    made = spark.createDataFrame(rows + rows[:3], schema).withColumn("captured_at", F.to_timestamp("at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = revisits.resolve_revisits(made).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows) + 3
+    of = {r.record_id: r for r in got}
+    assert all(of[i].refers_to == i // 50 * 50 for i in range(300)) and of[900].outcome == "no_earlier_response"
+    assert (of[1001].refers_to, of[1003].refers_to) == (1000, 1002) and of[7].merged_headers["x"] == "s"
+
+
+def test_revisits(spark):
     made = [(1, "http://A.com/x", 1, "response", {"etag": "e1", "server": "s"}, "d1", 10), (2, "https://www.a.com/x/", 2, "revisit", {"etag": "e1", "date": "z", "via": "v"}, None, None),
             (3, "http://a.com/x#f", 3, "revisit", {"etag": "e2"}, "d1", None), (4, "http://b.com", 3, "revisit", {}, None, None),
             (5, "a.com/x?utm_source=q", 9, "revisit", None, "d1", None), (6, None, 4, "revisit", {}, None, None), (7, "http://a.com/x", None, "response", {}, "d", 1),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ from tidemark.llm.words import mix, row_starts, shingle_hashes, union_labels, wo
 from tidemark.session import stored_copy
 
 COORDINATES = 64
-# A link of similarity 0.8 agrees in 51 of 64 coordinates on average, in fewer than 36 about once in 200,000.
-MATCHES = 36
+# The share of links that may agree in fewer coordinates than are asked for (at 80 percent: 36 of 64, where 51 agree on average).
+MISSED = 5e-6
 # Rarity is judged by counts in so many buckets; any order of the postings gives whole results.
 BUCKETS = 1 << 18
 # Longer posting lists and larger candidate groups are compared in pairs of chunks of this size.
@@ -27,6 +28,16 @@ _FACTORS = _rng.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2
 _MASKS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
+def least_matches(percent: int) -> int:
+    """How many coordinates sets of that similarity agree in, but for a share of MISSED of them at most."""
+    p, below = percent / 100, 0.0
+    for n in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, n) * p ** n * (1 - p) ** (COORDINATES - n)
+        if below > MISSED:
+            return max(1, n)
+    return COORDINATES
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The minimum of each of the hash functions over a set of shingles."""
     low = np.full(COORDINATES, 0xFFFFFFFF, np.uint64)
@@ -76,14 +87,14 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "n"])
 
 
-def _postings(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], counts, matches: int) -> Iterator[pa.RecordBatch]:
     frequency = counts.value
     for batch in batches:
         if not batch.num_rows:
             continue
         tokens = _tokens(batch.column(1))
         rarity = frequency[(tokens % np.uint64(BUCKETS)).astype(np.int64)]
-        order = np.lexsort((tokens, rarity), axis=1)[:, :COORDINATES - MATCHES + 1]
+        order = np.lexsort((tokens, rarity), axis=1)[:, :COORDINATES - matches + 1]
         kept = np.take_along_axis(tokens, order, 1)
         keys = np.repeat(batch.column(0).to_numpy(), kept.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(kept.ravel().view(np.int64)), pa.array(keys)], ["token", "set_key"])
@@ -110,8 +121,10 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that span the groups of documents of each list that agree in enough coordinates."""
+def _colliding(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Edges that span the groups of documents of each list that agree in enough coordinates. Sets whose
+    sizes differ too much for a link aren't compared."""
+    matches = least_matches(percent)
     for table in _whole_groups(batches):
         token, part = table.column(0).to_numpy(), table.column(1).to_numpy()
         keys, sizes = table.column(2).to_numpy(), table.column(3).to_numpy()
@@ -123,9 +136,9 @@ def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 1
         while len(rows):
             a, b = rows, rows + step
-            near = (5 * sizes[a] >= 4 * sizes[b]) & (5 * sizes[b] >= 4 * sizes[a])
+            near = (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
             a, b = a[near], b[near]
-            enough = (values[a] == values[b]).sum(1) >= MATCHES
+            enough = (values[a] == values[b]).sum(1) >= matches
             a_all.append(a[enough])
             b_all.append(b[enough])
             step += 1
@@ -202,8 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept for each row, linked where 100 * |A & B| >= percent * |A | B|.
 
     Sets are the distinct runs of ``size`` words (all words as one run if there are fewer). Equal sets
-    are taken as one. Each set posts its rarest COORDINATES - MATCHES + 1 coordinate-value pairs: two
-    sets that agree in MATCHES coordinates share one of these in any common order of rarity. The other
+    are taken as one. Sets that are linked agree in least_matches(percent) coordinates, but for a share of
+    MISSED of those at the very limit. Each set posts its rarest COORDINATES - least_matches + 1
+    coordinate-value pairs: two sets that agree in so many share one of these in any common order of rarity. The other
     coordinates are skipped in the lists and only counted for sets that meet in one. What passes is
     confirmed on full sets. Long lists are compared in pairs of chunks, and lists hand on spanning
     edges in place of all pairs.
@@ -225,11 +239,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for row in counted.toLocalIterator():  # at most BUCKETS rows, however many documents
         counts[row.bucket] = row.n
     shared_counts = spark.sparkContext.broadcast(counts)
-    postings = sets.select("set_key", "signature").mapInArrow(lambda batches: _postings(batches, shared_counts), "token long, set_key long")
+    postings = sets.select("set_key", "signature").mapInArrow(lambda batches: _postings(batches, shared_counts, least_matches(percent)), "token long, set_key long")
     lists = postings.groupBy("token").agg(F.count("*").alias("group_rows"))
     listed = _in_chunks(postings, "token", lists, LIST_CHUNK).join(sets.select("set_key", "n_shingles", "signature"), "set_key")
     candidates = (listed.select("token", "part", "set_key", "n_shingles", "signature").repartition("token", "part")
-                  .sortWithinPartitions("token", "part").mapInArrow(_colliding, "u long, v long"))
+                  .sortWithinPartitions("token", "part").mapInArrow(lambda batches: _colliding(batches, percent), "u long, v long"))
     groups = stored_copy(connected_components(candidates), "groups")
 
     chosen = groups.join(sets.select(F.col("set_key").alias("node"), "first_id"), "node").select(

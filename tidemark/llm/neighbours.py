@@ -104,7 +104,28 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, rel
                     fewer = robust_prune(vectors, other, np.r_[held, point], degree, relax)
                     graph[other] = -1
                     graph[other, :len(fewer)] = fewer
-    return graph, start
+    return _all_reached(vectors, graph, start), start
+
+
+def _all_reached(vectors: np.ndarray, graph: np.ndarray, start: int) -> np.ndarray:
+    """Pruning may cut off a node (of many equally near ones the last goes): its nearest reached node gets an edge more."""
+    reached = np.zeros(len(graph) + 1, bool)
+    reached[-1] = True  # stands for -1
+    front = np.array([start])
+    while True:
+        while len(front):
+            reached[front] = True
+            front = np.unique(graph[front])
+            front = front[~reached[front]]
+        lost = np.flatnonzero(~reached[:-1])
+        if not len(lost):
+            return graph
+        here = np.flatnonzero(reached[:-1])
+        near = here[((vectors[here] - vectors[lost[0]]) ** 2).sum(1).argmin()]
+        if (graph[near] >= 0).all():
+            graph = np.c_[graph, np.full(len(graph), -1)]
+        graph[near, np.flatnonzero(graph[near] < 0)[0]] = lost[0]
+        front = lost[:1]
 
 
 def _first_ids(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
@@ -161,7 +182,8 @@ def _ask(index: pa.Table, queries: pa.Table, k: int, beam: int) -> pa.Table:
     for q, own in enumerate(queries.column("query_id").to_pylist()):
         near = nodes[q][nodes[q] >= 0]
         far = np.sqrt(((vectors[near] - asked[q]) ** 2).sum(1))
-        order = np.argsort(far, kind="stable")[:k + 1]
+        # All nodes as near as the (k + 1)-th: the query's own may be one of them, and ids decide between equals.
+        order = np.flatnonzero(far <= np.partition(far, min(k, len(far) - 1))[min(k, len(far) - 1)])
         found = sorted((float(far[j]), i) for j in order for i in ids[near[j]] if i != own)[:k]
         out += [(own, i, d) for d, i in found]
     if not out:

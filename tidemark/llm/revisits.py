@@ -6,31 +6,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.session import stored_copy
 
-# Records of one URL are scanned in stretches of time that hold about so many records of all URLs.
-STRETCH_ROWS = 200_000
 # Headers that a 304 response may bring up to date.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 # Query parameters that don't tell pages apart.
 _TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
 
 # The text runs unchanged in Spark and in the checking engine, but for the global flag of the replacing function.
-_CANONICAL = (
-    ("#.*$", ""), ("^[a-zA-Z]+://", ""), ("^(www|m)[.]", ""), ("[?&](%s)=[^&]*" % _TRACKING, ""), ("^([^?&]*)&", "\\1?"), ("[?]$", ""), ("/+$", ""))
+_STRIPPED = (("#.*$", ""), ("^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), ("^[^/?@]*@", ""))
+_HOST = "^[^/?]*"
+_HOST_FORM = (("^(www|m)[.]", ""), (":(80|443)?$", ""), ("[.]$", ""))
+_REST_FORM = (("[?&](%s)=[^&]*" % _TRACKING, ""), ("^([^?&]*)&", "\\1?"), ("[?]$", ""), ("/+$", ""))
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-cased host and path without scheme, www. or m., fragment, tracking parameters and last slash; null stays null."""
-    out = F.lower(F.trim(url))
-    for pattern, by in _CANONICAL:
-        out = F.regexp_replace(out, pattern, by.replace("\\1", "$1"))
-    return out
+    """Host in lower case, then path and query as they are (these may tell capitals apart); without scheme,
+    user, www. or m., port 80 or 443, fragment, tracking parameters and last slash. Null stays null."""
+    def replaced(out: Column, by: tuple) -> Column:
+        for pattern, text in by:
+            out = F.regexp_replace(out, pattern, text.replace("\\1", "$1"))
+        return out
+
+    bare = replaced(F.trim(url), _STRIPPED)
+    host = F.regexp_extract(bare, _HOST, 0)
+    return F.concat(replaced(F.lower(host), _HOST_FORM), replaced(F.substr(bare, F.length(host) + 1), _REST_FORM))
 
 
 def _canonical_sql(url: str) -> str:
-    out = f"lower(trim({url}))"
-    for pattern, by in _CANONICAL:
-        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
-    return out
+    def replaced(out: str, by: tuple) -> str:
+        for pattern, text in by:
+            out = f"regexp_replace({out}, '{pattern}', '{text}', 'g')"
+        return out
+
+    bare = replaced(f"trim({url})", _STRIPPED)
+    host = f"regexp_extract({bare}, '{_HOST}', 0)"
+    return replaced(f"lower({host})", _HOST_FORM) + " || " + replaced(f"substr({bare}, length({host}) + 1)", _REST_FORM)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -46,16 +55,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     itself ('response'). Records with null url or time have the outcome 'unusable'. Rows that repeat a
     record are each resolved alike. An empty table gives no rows.
 
-    The scan runs by URL and stretch of time, and one row for each hands the last response on to the
-    next stretch, so a URL with a large share of the records is spread over many tasks.
+    captured_at may have any type that can be ordered. Records are dealt out by range of (URL, time,
+    record_id) and scanned by URL and partition; one row for each hands the last response on to the URL's
+    next partition, so a URL with a large share of the records is spread over many tasks.
     """
     rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "captured_at", "kind", "headers", "digest", "length")
     usable = rows.where(F.col("canonical_url").isNotNull() & F.col("captured_at").isNotNull())
-    n = usable.count()
-    stretches = max(1, -(-n // STRETCH_ROWS))
-    cuts = usable.approxQuantile("captured_at", [i / stretches for i in range(1, stretches)], 0.1 / stretches) if stretches > 1 else []
-    stretch = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c < F.col("captured_at"))) if cuts else F.lit(0)
-    usable = usable.withColumn("stretch", stretch)
+    # Stored: where the ranges are cut must be the same for every reader.
+    usable = stored_copy(usable.repartitionByRange("canonical_url", "captured_at", "record_id").withColumn("stretch", F.spark_partition_id()), "stretches")
     response = F.when(F.col("kind") == "response", F.struct("captured_at", "record_id", "headers", "digest", "length"))
     usable = usable.withColumn("own", response)
     last = usable.where(F.col("own").isNotNull()).groupBy("canonical_url", "stretch").agg(
@@ -98,34 +105,46 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """Archive records derived from pages: a response for each, and a later revisit of every second page.
+    """Archive records derived from pages: several captures of each address.
 
-    Of the revisits, some carry a changed etag, some only a last-modified, some no validator at all.
+    A page has a response at ten times its id. Every second page has a revisit five later; of these some
+    carry a changed etag, some only a last-modified, some no validator at all. Every third page has a second
+    response, with another body, seven later, and a revisit of that one eight later. Every seventh page has
+    a revisit earlier than any response.
     """
     pages = stored_copy(pages.select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("digest"), F.length("html").cast("long").alias("length")), "captures")
-    etag, modified = F.substring("digest", 1, 16), F.concat(F.lit("day-"), (F.col("page_id") % 28).cast("string"))
-    date = F.concat(F.lit("t"), F.col("captured_at").cast("string"))
-    responses = pages.withColumns({"record_id": F.col("page_id") * 2, "captured_at": F.col("page_id") * 10, "kind": F.lit("response")}).withColumn(
-        "headers", F.map_from_arrays(F.array(*[F.lit(x) for x in ("content-type", "date", "etag", "last-modified")]),
-                                     F.array(F.lit("text/html"), date, etag, modified)))
     m = F.col("page_id") % 10
-    revisits = pages.where("page_id % 2 = 0").withColumns(
-        {"record_id": F.col("page_id") * 2 + 1, "captured_at": F.col("page_id") * 10 + 5, "kind": F.lit("revisit")}).withColumn(
-        "headers", F.when(m == 2, F.create_map(F.lit("date"), date, F.lit("etag"), F.lit("other")))
-        .when(m == 4, F.create_map(F.lit("date"), date, F.lit("last-modified"), modified))
-        .when(m == 6, F.create_map(F.lit("date"), date, F.lit("server"), F.lit("s")))
-        .otherwise(F.create_map(F.lit("date"), date, F.lit("etag"), etag, F.lit("server"), F.lit("s")))).withColumn(
-        "digest", F.when(m != 6, F.col("digest"))).withColumn("length", F.lit(None).cast("long"))
-    columns = ["record_id", "url", "captured_at", "kind", "headers", "digest", "length"]
-    return responses.select(columns).unionByName(revisits.select(columns))
+
+    def captures(which: str, number: int, later: int, kind: str, digest: Column, etag: Column, modified: Column, server: Column) -> DataFrame:
+        at = F.col("page_id") * 10 + later
+        given = F.create_map(F.lit("content-type"), F.when(F.lit(kind) == "response", F.lit("text/html")), F.lit("date"), F.concat(F.lit("t"), at.cast("string")),
+                             F.lit("etag"), etag, F.lit("last-modified"), modified, F.lit("server"), server)
+        return pages.where(which).select(
+            (F.col("page_id") * 5 + number).alias("record_id"), "url", at.alias("captured_at"), F.lit(kind).alias("kind"),
+            F.map_filter(given, lambda _, v: v.isNotNull()).alias("headers"), digest.alias("digest"),
+            F.when(F.lit(kind) == "response", F.col("length")).cast("long").alias("length"))
+
+    digest, none = F.col("digest"), F.lit(None).cast("string")
+    etag, modified = F.substring("digest", 1, 16), F.concat(F.lit("day-"), (F.col("page_id") % 28).cast("string"))
+    second = F.reverse("digest")
+    return (captures("true", 0, 0, "response", digest, etag, modified, none)
+            .unionByName(captures("page_id % 2 = 0", 1, 5, "revisit", F.when(m != 6, digest), F.when(m == 2, F.lit("other")).when(~m.isin(4, 6), etag),
+                                  F.when(m == 4, modified), F.when(m.isin(6, 8, 0), F.lit("s"))))
+            .unionByName(captures("page_id % 3 = 0", 2, 7, "response", second, F.substring(second, 1, 16), modified, none))
+            .unionByName(captures("page_id % 3 = 0", 3, 8, "revisit", second, F.when(m < 5, F.substring(second, 1, 16)).otherwise(etag), none, none))
+            .unionByName(captures("page_id % 7 = 0", 4, -5, "revisit", digest, etag, none, none)))
 
 
 ORACLE_SQL = f"""
-WITH p AS (SELECT page_id, {_canonical_sql('url')} AS u, md5(html) AS digest, length(html) AS n, 'day-' || (page_id % 28) AS lm FROM pages),
-a AS (SELECT page_id * 2 AS record_id, u, page_id * 10 AS t, 'response' AS kind, substr(digest, 1, 16) AS etag, lm, digest, n, page_id % 10 AS m FROM p
- UNION ALL SELECT page_id * 2 + 1, u, page_id * 10 + 5, 'revisit',
-  CASE page_id % 10 WHEN 2 THEN 'other' WHEN 4 THEN NULL WHEN 6 THEN NULL ELSE substr(digest, 1, 16) END,
-  CASE page_id % 10 WHEN 4 THEN lm END, CASE WHEN page_id % 10 <> 6 THEN digest END, NULL, page_id % 10 FROM p WHERE page_id % 2 = 0),
+WITH p AS (SELECT page_id, {_canonical_sql('url')} AS u, md5(html) AS digest, length(html) AS n, 'day-' || (page_id % 28) AS lm, page_id % 10 AS m FROM pages),
+a AS (SELECT page_id * 5 AS record_id, u, page_id * 10 AS t, 'response' AS kind, substr(digest, 1, 16) AS etag, lm, digest, n, NULL AS server FROM p
+ UNION ALL SELECT page_id * 5 + 1, u, page_id * 10 + 5, 'revisit',
+  CASE m WHEN 2 THEN 'other' WHEN 4 THEN NULL WHEN 6 THEN NULL ELSE substr(digest, 1, 16) END,
+  CASE m WHEN 4 THEN lm END, CASE WHEN m <> 6 THEN digest END, NULL, CASE WHEN m IN (6, 8, 0) THEN 's' END FROM p WHERE page_id % 2 = 0
+ UNION ALL SELECT page_id * 5 + 2, u, page_id * 10 + 7, 'response', substr(reverse(digest), 1, 16), lm, reverse(digest), n, NULL FROM p WHERE page_id % 3 = 0
+ UNION ALL SELECT page_id * 5 + 3, u, page_id * 10 + 8, 'revisit', substr(CASE WHEN m < 5 THEN reverse(digest) ELSE digest END, 1, 16), NULL, reverse(digest), NULL, NULL
+  FROM p WHERE page_id % 3 = 0
+ UNION ALL SELECT page_id * 5 + 4, u, page_id * 10 - 5, 'revisit', substr(digest, 1, 16), NULL, digest, NULL, NULL FROM p WHERE page_id % 7 = 0),
 j AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN struct_pack(r := record_id, t := t, etag := etag, lm := lm, digest := digest, n := n) END IGNORE NULLS)
   OVER (PARTITION BY u ORDER BY t, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM a),
 c AS (SELECT *, CASE WHEN etag IS NOT NULL AND o.etag IS NOT NULL THEN etag <> o.etag WHEN lm IS NOT NULL AND o.lm IS NOT NULL THEN lm <> o.lm
@@ -137,7 +156,7 @@ SELECT record_id, u AS canonical_url, outcome,
  CASE WHEN kind = 'response' THEN 'content-type=text/html;date=t' || t || ';etag=' || etag || ';last-modified=' || lm
   WHEN outcome IN ('resolved', 'unverified') THEN 'content-type=text/html;date=t' || t || ';etag=' || coalesce(etag, o.etag) || ';last-modified=' || coalesce(lm, o.lm)
   ELSE 'date=t' || t || CASE WHEN etag IS NULL THEN '' ELSE ';etag=' || etag END || CASE WHEN lm IS NULL THEN '' ELSE ';last-modified=' || lm END
-   || CASE WHEN m IN (6, 8, 0) THEN ';server=s' ELSE '' END END AS merged_headers,
+   || CASE WHEN server IS NULL THEN '' ELSE ';server=' || server END END AS merged_headers,
  CASE WHEN kind = 'response' THEN digest WHEN outcome IN ('resolved', 'unverified') THEN o.digest END AS payload_digest,
  CASE WHEN kind = 'response' THEN n WHEN outcome IN ('resolved', 'unverified') THEN o.n END AS payload_length
 FROM d

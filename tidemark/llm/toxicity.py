@@ -22,7 +22,8 @@ LEXICON = 2_000
 _PREFIXES = (4, 5)
 _NEAR = 3
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+[*@$!0134578][^\W_][^\s]*")
+# A match begins where a run of letters begins, and the run is never taken back: linear in the length of a text.
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[*@$!0134578][^\W_][^\s]*")
 # Words of address in the second person.
 _SECOND = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 _UNMASK = str.maketrans("013457@$!8", "oieastasib", "*")
@@ -94,10 +95,12 @@ def _one_of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
     """Terms of (text, label) rows with their log odds for label 1, at most ``size`` of them.
 
-    Copies and most near copies count once: of rows with the same smallest shingle one is kept.
+    Copies and most near copies count once: of rows (doc_id, label, text) with the same smallest shingle the
+    one with the smallest doc_id is kept.
     """
-    single = (sample.select("label", "text").mapInArrow(_one_of_copies, "label double, text string, low1 long, low2 long")
-              .dropDuplicates(["low1"]).dropDuplicates(["low2"]))
+    single = sample.select("label", "text", "doc_id").mapInArrow(_one_of_copies, "label double, text string, doc_id long, low1 long, low2 long")
+    for low in ("low1", "low2"):
+        single = single.groupBy(low).agg(F.min(F.struct("doc_id", "label", "text", *{"low1", "low2"} - {low})).alias("kept")).select(low, "kept.*")
     single = stored_copy(single.select("text", "label"), "single")
     toxic, total = single.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (total - toxic + 1))
@@ -130,8 +133,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     if min(ones, n - ones) < 5 or len({c for late, c in counts if late}) < 2 or len({c for late, c in counts if not late}) < 2:
         return ToxicityModel(None, None, None, ones / n if n else 0.0)
     lexicon = spark.sparkContext.broadcast(learn_lexicon(sample.where("part < 2")))
-    seen = with_column(sample.where("part >= 2").select("text", "label", "part"), "text", "f", T.ArrayType(T.DoubleType()), _feature_pieces(lexicon))
-    seen = stored_copy(seen.select("label", "part", "f").coalesce(4), "features").withColumn("features", array_to_vector("f")).coalesce(4)
+    seen = with_column(sample.where("part >= 2").select("doc_id", "text", "label", "part"), "text", "f", T.ArrayType(T.DoubleType()), _feature_pieces(lexicon))
+    seen = stored_copy(seen.select("doc_id", "label", "part", "f"), "features")
+    # The trees draw rows by their place: a fixed place for every row makes the model the same in every run.
+    seen = seen.repartition(4, "doc_id").sortWithinPartitions("doc_id", "label", "f").withColumn("features", array_to_vector("f"))
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=30, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, seed=11
                           ).fit(seen.where("part < 4").select("label", "features"))
     margins = trees.transform(seen.where("part = 4")).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
