@@ -200,6 +200,11 @@ def test_block_max_wand_equals_plain_sums(monkeypatch):
                 totals[i] += v
         for score in (0.05, 0.6, 1.5):
             got = dict(decontaminate.block_max_wand(part, asked, score))
+            groups = [decontaminate.GROUPS] * decontaminate.GROUPS
+            for g in {i // part.width for i, v in totals.items() if v >= score - 1e-9}:
+                groups[:g + 1] = [min(g, x) if x >= g else x for x in groups[:g + 1]]
+            groups = [min([g for g in range(j, decontaminate.GROUPS) if groups[g] == g], default=decontaminate.GROUPS) for j in range(decontaminate.GROUPS)]
+            assert dict(decontaminate.block_max_wand(part, asked, score, groups)) == got
             assert {i: round(v, 9) for i, v in got.items()} == {i: round(v, 9) for i, v in totals.items() if v >= score - 1e-9}
 
 

@@ -18,7 +18,7 @@ K1, B = 1.2, 0.75
 # Share of an item's own score that a passage must reach, and of the shingles of question and answer it must hold.
 SCORE, OVERLAP = 0.6, 0.5
 SHINGLE = 5
-BLOCK = 32
+BLOCK, GROUPS = 32, 64
 # Half a passage holds any item of its part; longer items have parts with a step of twice, four times ... as many words.
 PASSAGE_STEP = 64
 # An index part holds so many postings on average; a task takes one part after the other over the same texts.
@@ -29,7 +29,8 @@ _SLACK = 1e-9
 @dataclass
 class Part:
     """Inverted index of some items: for each term its postings (item, impact) in order of items, with
-    the last item and the largest impact of each BLOCK of them, and the largest of all."""
+    the last item and the largest impact of each BLOCK of them, and the largest of all. Items are also
+    dealt in order to GROUPS groups of ``width`` items; a term has its largest impact for each of its groups."""
 
     terms: np.ndarray
     starts: list[int]
@@ -39,6 +40,10 @@ class Part:
     last_items: list[int]
     maxima: list[float]
     term_maxima: np.ndarray
+    width: int
+    group_starts: np.ndarray
+    groups: np.ndarray
+    group_maxima: np.ndarray
     keys: np.ndarray
     sizes: list[int]
     questions: list[np.ndarray]
@@ -124,15 +129,21 @@ def _part(chosen: list, table: pa.Table, step: int) -> Part:
     block_starts = np.r_[0, np.cumsum(blocks)]
     heads = np.repeat(starts[:-1], blocks) + BLOCK * (np.arange(block_starts[-1]) - np.repeat(block_starts[:-1], blocks))
     ends = np.minimum(heads + BLOCK, np.repeat(starts[1:], blocks))
+    width = -(-len(keys) // GROUPS)
+    of_term, group = np.repeat(np.arange(len(terms)), np.diff(starts)), item // width
+    begins = np.flatnonzero(np.r_[True, (of_term[1:] != of_term[:-1]) | (group[1:] != group[:-1])])
     return Part(terms, starts.tolist(), item.tolist(), impact.tolist(), block_starts.tolist(), item[ends - 1].tolist(),
-                np.maximum.reduceat(impact, heads).tolist(), np.maximum.reduceat(impact, starts[:-1]), keys,
+                np.maximum.reduceat(impact, heads).tolist(), np.maximum.reduceat(impact, starts[:-1]),
+                width, np.searchsorted(of_term[begins], np.arange(len(terms) + 1)), group[begins], np.maximum.reduceat(impact, begins), keys,
                 [min(SHINGLE, r.length) for r in chosen], [np.array(r.question, np.int64).view(np.uint64) for r in chosen],
                 [np.array(r.answer, np.int64).view(np.uint64) for r in chosen], step)
 
 
-def block_max_wand(part: Part, terms: list[int], score: float) -> list[tuple[int, float]]:
+def block_max_wand(part: Part, terms: list[int], score: float, next_open: list[int] | None = None) -> list[tuple[int, float]]:
     """(item, total) of all items whose impacts on the terms (places in part.terms) add up to ``score``.
 
+    next_open: for each group itself, or the next one that may hold such an item; others are jumped over.
+
     Cursors, one for each term, are kept in order of their items. The pivot is the first item that the
     largest impacts of the terms up to it could lift to the score; if the maxima of the blocks that hold
     it can't, all cursors move behind the first of these blocks. Else the cursors before it catch up, and
@@ -153,6 +164,14 @@ def block_max_wand(part: Part, terms: list[int], score: float) -> list[tuple[int
         if bound < bar:
             break
         item = cursors[pivot][0]
+        if next_open is not None and next_open[item // part.width] != item // part.width:
+            target = next_open[item // part.width] * part.width
+            for cursor in cursors:
+                if cursor[0] < target:
+                    cursor[1] = bisect_left(items, target, cursor[1], cursor[2])
+                    cursor[0] = items[cursor[1]] if cursor[1] < cursor[2] else -1
+            cursors = [c for c in cursors if c[0] >= 0]
+            continue
         while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
             pivot += 1
         bound, target = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(part.keys)
@@ -177,10 +196,18 @@ def block_max_wand(part: Part, terms: list[int], score: float) -> list[tuple[int
     return found
 
 
+def _expand(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions starts[w] .. starts[w + 1] for every w, and the entry each one comes from."""
+    count = starts[which + 1] - starts[which]
+    entry = np.repeat(np.arange(len(which)), count)
+    return starts[which][entry] + np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count), entry
+
+
 def _retrieve(part: Part, words: np.ndarray, rows: np.ndarray, at: np.ndarray, first: int, score: float) -> tuple[np.ndarray, list]:
     """(first passage of each row, (passage, item, score) of every passage and item that reach the score).
 
-    A passage whose terms' largest impacts don't add up to the score has no pivot and isn't searched.
+    The largest impacts of a passage's terms are added up for each group of items first; only passages
+    with a group that may reach the score are searched, and in them only such groups.
     """
     step, place = part.step, np.arange(len(words)) - at[rows - first]
     passages = np.maximum(1, -(-np.diff(at) // step))
@@ -192,11 +219,15 @@ def _retrieve(part: Part, words: np.ndarray, rows: np.ndarray, at: np.ndarray, f
     earlier = known & (place >= step)
     pairs = np.unique(np.r_[own[known] * len(part.terms) + term[known], (own[earlier] - 1) * len(part.terms) + term[earlier]])
     passage, term = pairs // len(part.terms), pairs % len(part.terms)
-    bound = np.bincount(passage, weights=part.term_maxima[term], minlength=int(passages.sum()))
+    spots, entry = _expand(part.group_starts, term)
+    bound = np.bincount(passage[entry] * GROUPS + part.groups[spots], weights=part.group_maxima[spots], minlength=int(passages.sum()) * GROUPS)
+    open_ = (bound >= score - _SLACK).reshape(-1, GROUPS)
     found = []
-    for number in np.flatnonzero(bound >= score - _SLACK).tolist():
+    for number in np.flatnonzero(open_.any(1)).tolist():
         low, high = np.searchsorted(passage, [number, number + 1])
-        found += [(number, item, total) for item, total in block_max_wand(part, term[low:high].tolist(), score)]
+        places = np.where(open_[number], np.arange(GROUPS), GROUPS)
+        following = np.minimum.accumulate(places[::-1])[::-1].tolist()
+        found += [(number, item, total) for item, total in block_max_wand(part, term[low:high].tolist(), score, following)]
     return base, found
 
 
