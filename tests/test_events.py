@@ -50,30 +50,31 @@ def decode(spark, frames):
     return [json.loads(r.value) for r in event_io.events_as_json(events).orderBy("lsn").collect()]
 
 
-def test_golden_messages(spark):
+def test_messages_of_every_kind(spark):
     out = decode(spark, [
-        (1 << 32, relation(42, "public", "users", [("id", 23), ("name", 25), ("active", 16)])),
-        (0, relation(10, "public", "t", [("id", 23), ("val", 25)])),
-        (0, relation(11, "public", "toast", [("id", 23), ("body", 25)])),
-        (0, relation(12, "public", "typed", [("flag", 16), ("score", 701), ("amount", 1700), ("small", 700), ("count", 21)])),
-        (0, relation(7, "public", "gone", [("id", 23)])),
-        (0x123456780, insert(42, ["7", "alice", "t"])),
-        (1, update(10, b"O", ["7", "before"], ["7", "after"])),
-        (2, update(11, b"K", ["3", "<unchanged>"], ["3", "new body"])),
-        (3, insert(12, ["t", "3.14", "99.99", "1.5", "42"])),
-        (4, insert(10, ["1", None])),
-        (5, delete(7, b"O", ["9"])),
-        (6, update(10, b"", [], ["7", "<unchanged>"])),
+        (0, relation(301, "port", "berths", [("no", 21), ("name", 25), ("depth", 700)])),
+        (0, relation(302, "port", "calls", [("call", 20), ("note", 25)])),
+        (0, relation(303, "yard", "cranes", [("crane", 23), ("up", 16), ("load", 701), ("cost", 1700)])),
+        (0x2A0C0FFEE0, insert(301, ["12", "north pier", "8.5"])),
+        (10, insert(302, ["900000000000", None])),
+        (20, insert(303, ["4", "f", "-0.625", "1200.500"])),
+        (30, update(302, b"O", ["900000000000", None], ["900000000000", "late"])),
+        (40, update(301, b"K", ["12", "<unchanged>", "<unchanged>"], ["13", "<unchanged>", "9.25"])),
+        (50, update(303, b"", [], ["4", "t", "<unchanged>", "<unchanged>"])),
+        (60, delete(302, b"O", ["900000000000", "late"])),
+        (70, delete(303, b"K", ["4", None, None, None])),
     ])
+    calls = {"schema": "port", "table": "calls"}
+    cranes = {"schema": "yard", "table": "cranes"}
     assert out == [
-        {"lsn": "0/00000001", "op": "update", "schema": "public", "table": "t", "old": {"id": 7, "val": "before"}, "new": {"id": 7, "val": "after"}},
-        {"lsn": "0/00000002", "op": "update", "schema": "public", "table": "toast", "old": {"id": 3}, "new": {"id": 3, "body": "new body"}},
-        {"lsn": "0/00000003", "op": "insert", "schema": "public", "table": "typed",
-         "new": {"flag": True, "score": 3.14, "amount": "99.99", "small": 1.5, "count": 42}},
-        {"lsn": "0/00000004", "op": "insert", "schema": "public", "table": "t", "new": {"id": 1, "val": None}},
-        {"lsn": "0/00000005", "op": "delete", "schema": "public", "table": "gone", "old": {"id": 9}},
-        {"lsn": "0/00000006", "op": "update", "schema": "public", "table": "t", "new": {"id": 7}},
-        {"lsn": "1/23456780", "op": "insert", "schema": "public", "table": "users", "new": {"id": 7, "name": "alice", "active": True}},
+        {"lsn": "0/0000000A", "op": "insert", **calls, "new": {"call": 900000000000, "note": None}},
+        {"lsn": "0/00000014", "op": "insert", **cranes, "new": {"crane": 4, "up": False, "load": -0.625, "cost": "1200.500"}},
+        {"lsn": "0/0000001E", "op": "update", **calls, "old": {"call": 900000000000, "note": None}, "new": {"call": 900000000000, "note": "late"}},
+        {"lsn": "0/00000028", "op": "update", "schema": "port", "table": "berths", "old": {"no": 12}, "new": {"no": 13, "depth": 9.25}},
+        {"lsn": "0/00000032", "op": "update", **cranes, "new": {"crane": 4, "up": True}},
+        {"lsn": "0/0000003C", "op": "delete", **calls, "old": {"call": 900000000000, "note": "late"}},
+        {"lsn": "0/00000046", "op": "delete", **cranes, "old": {"crane": 4, "up": None, "load": None, "cost": None}},
+        {"lsn": "2A/0C0FFEE0", "op": "insert", "schema": "port", "table": "berths", "new": {"no": 12, "name": "north pier", "depth": 8.5}},
     ]
 
 

@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ def lit(v):
 
 
 @pytest.mark.parametrize("text,value", [
-    ("1/23456780", 0x123456780), ("0/00000000", 0), ("0/0", 0), ("noslash", None), ("X/GGGGGGGG", None),
+    ("2A/0C0FFEE0", 0x2A0C0FFEE0), ("0/1F", 31), ("00/0", 0), ("2A-0C", None), ("Z1/0000000Q", None),
     ("1/2/3", None), ("80000000/0", None), ("7FFFFFFF/FFFFFFFF", 2**63 - 1), ("123456789/0", None), ("", None),
     ("FFFFFFFFFFFFFFFFFFFFFFFFFF/0", None),
 ])
@@ -24,15 +25,15 @@ def test_lsn_parse(spark, text, value):
     assert one(spark, fn.lsn_parse(lit(text))) == value
 
 
-@pytest.mark.parametrize("value,text", [(0x123456780, "1/23456780"), (0, "0/00000000"), (2**63 - 1, "7FFFFFFF/FFFFFFFF"), (15, "0/0000000F")])
+@pytest.mark.parametrize("value,text", [(0x2A0C0FFEE0, "2A/0C0FFEE0"), (1 << 40, "100/00000000"), (2**63 - 1, "7FFFFFFF/FFFFFFFF"), (171, "0/000000AB")])
 def test_lsn_format(spark, value, text):
     assert one(spark, fn.lsn_format(lit(value).cast("bigint"))) == text
 
 
 def test_lsn_bytes(spark):
-    assert one(spark, fn.lsn_from_bytes(lit(bytes.fromhex("0000000123456780")))) == 0x123456780
+    assert one(spark, fn.lsn_from_bytes(lit(bytes.fromhex("0000002A0C0FFEE0")))) == 0x2A0C0FFEE0
     assert one(spark, fn.lsn_from_bytes(lit(b"\xff" * 8))) is None
-    assert bytes(one(spark, fn.lsn_to_bytes(lit(258).cast("bigint")))) == bytes.fromhex("0000000000000102")
+    assert bytes(one(spark, fn.lsn_to_bytes(lit(51966).cast("bigint")))) == bytes.fromhex("000000000000CAFE")
 
 
 def test_clock(spark):
@@ -42,16 +43,16 @@ def test_clock(spark):
 
 
 @pytest.mark.parametrize("pos,timeline,naming,name", [
-    (32 << 20, 1, "postgres", "000000010000000000000002"), (1 << 32, 1, "postgres", "000000010000000100000000"),
-    (1 << 32, 1, "flat", "000000010000000000000100"), ((1 << 62) + 5, 3, "postgres", "000000034000000000000000"),
+    ((7 << 24) + 99, 18, "by_word", "000000120000000000000007"), ((5 << 32) + (3 << 24), 2, "by_word", "000000020000000500000003"),
+    ((5 << 32) + (3 << 24), 2, "flat", "000000020000000000000503"), ((1 << 61) + 5, 9, "by_word", "000000092000000000000000"),
 ])
 def test_segment_name(spark, pos, timeline, naming, name):
     assert one(spark, fn.segment_name(lit(pos).cast("bigint"), lit(timeline), naming)) == name
 
 
 @pytest.mark.parametrize("name,end", [
-    ("000000010000000000000001", 32 << 20), ("000000010000000100000000", (1 << 32) + (16 << 20)),
-    ("000000010000000000000100", (1 << 32) + (16 << 20)), ("0000000100000000000000011", None), ("zz", None),
+    ("000000120000000000000007", 8 << 24), ("000000020000000500000003", (5 << 32) + (4 << 24)),
+    ("000000020000000000000503", (5 << 32) + (4 << 24)), ("0000000200000005000000037", None), ("segment", None),
 ])
 def test_parse_segment_name(spark, name, end):
     parsed = one(spark, fn.parse_segment_name(lit(name)))
@@ -60,37 +61,38 @@ def test_parse_segment_name(spark, name, end):
 
 def test_name_kinds(spark):
     kinds = [one(spark, F.concat_ws(",", fn.is_segment(lit(n)).cast("string"), fn.is_partial(lit(n)).cast("string"), fn.is_history(lit(n)).cast("string")))
-             for n in ("00000001000000000000000a", "000000010000000000000001.partial", "00000002.history", "0000000100000000000000011")]
+             for n in ("0000001200000000000000bc", "000000120000000000000007.partial", "0000000C.history", "00000012000000000000000701")]
     assert kinds == ["true,false,false", "false,true,false", "false,false,true", "false,false,false"]
 
 
 @pytest.mark.parametrize("text,oid,value", [
-    ("t", 16, True), ("f", 16, False), ("yes", 16, None), ("42", 21, 42), ("70000", 21, None), ("x", 23, None), ("3.14", 701, 3.14),
-    ("NaN", 701, None), ("Infinity", 701, None), ("1e400", 701, None), ("1.5d", 701, None), ("1.5", 700, 1.5), ("99.99", 1700, "99.99"), ("{1}", 1007, "{1}"),
+    ("t", 16, True), ("f", 16, False), ("on", 16, None), ("-317", 21, -317), ("40000", 21, None), ("12 ", 23, None), ("-0.625", 701, -0.625),
+    ("NaN", 701, None), ("-Infinity", 701, None), ("2e309", 701, None), ("7d", 701, None), ("0.25", 700, 0.25), ("1200.500", 1700, "1200.500"), ("[4,5]", 3802, "[4,5]"),
 ])
 def test_coerce(spark, text, oid, value):
     assert one(spark, fn.coerce_pg(lit(text), oid)) == value
 
 
 @pytest.mark.parametrize("text,oid,json", [
-    ("t", 16, "true"), ("x", 16, '"x"'), ("7", 23, "7"), ("9223372036854775808", 20, '"9223372036854775808"'), ("3.14", 701, "3.14"),
-    ("NaN", 701, '"NaN"'), ("99.99", 1700, '"99.99"'), ("alice", 25, '"alice"'), (None, 25, "null"),
+    ("f", 16, "false"), ("maybe", 16, '"maybe"'), ("-12", 23, "-12"), ("10000000000000000000", 20, '"10000000000000000000"'), ("-0.625", 701, "-0.625"),
+    ("Infinity", 701, '"Infinity"'), ("1200.500", 1700, '"1200.500"'), ("harbour", 25, '"harbour"'), (None, 23, "null"),
 ])
 def test_json_value(spark, text, oid, json):
     assert one(spark, fn.json_value(lit(text).cast("string"), lit(oid))) == json
 
 
 def test_json_quote(spark):
-    text = 'tab\there\nnewline\\back"quote\r\x01\x1f é'
-    assert one(spark, fn.json_quote(lit(text))) == '"tab\\there\\nnewline\\\\back\\"quote\\r\\u0001\\u001f é"'
+    text = 'C:\\dir\t"two"\r\n\x02 ß\x1e'
+    assert json.loads(one(spark, fn.json_quote(lit(text)))) == text
+    assert one(spark, fn.json_quote(lit(text))) == '"C:\\\\dir\\t\\"two\\"\\r\\n\\u0002 ß\\u001e"'
 
 
 def test_event_json_keeps_null_and_omits_absent(spark):
-    image = F.map_from_entries(F.array(F.struct(lit("id"), lit("7")), F.struct(lit("val"), F.lit(None).cast("string"))))
-    types = F.create_map(lit("id"), lit(23), lit("val"), lit(25), lit("body"), lit(25))
+    image = F.map_from_entries(F.array(F.struct(lit("berth"), lit("31")), F.struct(lit("ship"), F.lit(None).cast("string"))))
+    types = F.create_map(lit("berth"), lit(21), lit("ship"), lit(25), lit("cargo"), lit(25))
     none = F.lit(None).cast("map<string,string>")
-    text = one(spark, fn.event_json(lit("1/23456780"), lit("insert"), lit("public"), lit("t"), none, image, types))
-    assert text == '{"lsn":"1/23456780","op":"insert","schema":"public","table":"t","new":{"id":7,"val":null}}'
+    text = one(spark, fn.event_json(lit("2A/0C0FFEE0"), lit("update"), lit("port"), lit("calls"), none, image, types))
+    assert text == '{"lsn":"2A/0C0FFEE0","op":"update","schema":"port","table":"calls","new":{"berth":31,"ship":null}}'
 
 
 @pytest.mark.parametrize("raw,text", [(b"a\xffb", "a�b"), (b"a\xe2\x82b", "a�b"), ("é".encode(), "é")])

@@ -14,8 +14,8 @@ def _hex8(value: Column) -> Column:
     return F.lpad(F.hex(value.cast("bigint")), 8, "0")
 
 
-def segment_name(pos: Column, timeline: Column, naming: str = "postgres") -> Column:
-    """Name of the segment holding a position. ``postgres`` puts the high word of the position
+def segment_name(pos: Column, timeline: Column, naming: str = "by_word") -> Column:
+    """Name of the segment holding a position. ``by_word`` puts the high word of the position
     in the middle; ``flat`` splits the running segment number at bit 32 instead."""
     return segment_name_of(segment_no(pos), timeline, naming)
 
@@ -25,9 +25,9 @@ def segment_no(pos: Column) -> Column:
     return F.call_function("div", pos, F.lit(SEGMENT_BYTES))
 
 
-def segment_name_of(seg_no: Column, timeline: Column, naming: str = "postgres") -> Column:
+def segment_name_of(seg_no: Column, timeline: Column, naming: str = "by_word") -> Column:
     """Name from a running segment number (position divided by the segment size)."""
-    per_word = {"postgres": SEGMENTS_PER_WORD, "flat": HIGH_WORD}[naming]
+    per_word = {"by_word": SEGMENTS_PER_WORD, "flat": HIGH_WORD}[naming]
     seg_no = seg_no.cast("bigint")
     low = F.pmod(seg_no, F.lit(per_word))
     high = F.call_function("div", seg_no, F.lit(per_word))

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.operators.decisions import apply_rule, rule_ends
 from tidemark.operators.scale import BLOCK, scan
 
-# Lines per second, burst depth and the notice text.
+# Lines per second and burst depth.
 RATE_LINES_PER_SECOND = 500
 BURST_LINES = 1000
-NOTICE_TEXT = "[beyond: dropped %d log lines]"
+NOTICE_TEXT = "[dropped %d log lines]"
 
 TOKEN = 1_000_000
 

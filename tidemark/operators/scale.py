@@ -1,9 +1,11 @@
 """Ordered scans over groups of any size.
 
 A window partitioned by a slot, stream, host or timeline puts a whole group in one task, and one
-group may hold a third of all rows. The scans here cut large groups into blocks along the order
-column, run the window per (group, block) and carry one summary row per block across. Small inputs
-use one block, which is the plain window.
+group may hold a third of all rows. The scans here deal the rows out by range of their whole order
+(group columns, then order columns), so a block holds about as many rows as any other whatever the
+groups and ties are. Only groups that lie in several blocks are cut; the window runs per (group,
+block), and one summary row per block is carried across. Small inputs use one block, which is the
+plain window.
 """
 
 from __future__ import annotations
@@ -11,18 +13,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.session import plan_bytes
+from tidemark.session import UNKNOWN_BYTES, plan_bytes, source_bytes, stored_copy
 
 BLOCK = "_block"
 BLOCKS_CONF = "spark.tidemark.scanBlocks"
 BLOCK_BYTES = 64 << 20
-MAX_BLOCKS = 1 << 21
-
-# Quantile cuts, and so also groups that may be cut; more blocks divide the cuts evenly.
-MAX_CUTS = 4096
 
 # Block number of the rows of groups that are not cut.
 UNCUT = -1
@@ -34,64 +31,44 @@ _MERGE = {
 }
 
 
-def block_count(df: DataFrame) -> int:
-    """Blocks for an input: its estimated size over the block size, within [1, MAX_BLOCKS].
-    The session setting ``spark.tidemark.scanBlocks`` overrides it."""
+def block_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """The input and the number of blocks for it: its size over the block size, 1 at least. The size is
+    that of the sources where the optimiser guesses more (it takes a join for a product); rows whose
+    size nobody knows are stored, which tells it. The setting ``spark.tidemark.scanBlocks`` overrides it."""
     fixed = df.sparkSession.conf.get(BLOCKS_CONF, "")
     if fixed:
-        return max(1, int(fixed))
-    return min(MAX_BLOCKS, 1 + plan_bytes(df) // BLOCK_BYTES)
-
-
-def _cut_points(df: DataFrame, number: Column, n: int) -> list[float]:
-    """Approximate quantiles from the smallest to the greatest value, without repeats."""
-    cuts = df.select(number.alias("_at")).approxQuantile("_at", [i / n for i in range(n + 1)], 0.25 / n)
-    return sorted({c for c in cuts if abs(c) != float("inf")})
-
-
-def _large_groups(df: DataFrame, group: Sequence[str], n: int) -> DataFrame:
-    """Groups with more than 1/n of all rows, so fewer than n; found in one pass."""
-    seen = Observation()
-    counted = df.select(*group).observe(seen, F.count(F.lit(1)).alias("rows"))
-    top = counted.groupBy(*group).count().orderBy(F.desc("count")).limit(n)
-    rows = top.collect()
-    large = [tuple(r)[:-1] for r in rows if r["count"] * n > seen.get["rows"]]
-    schema = df.select(*[F.col(g).alias(f"_large_{g}") for g in group]).schema
-    return df.sparkSession.createDataFrame(large, schema).withColumn("_large", F.lit(True))
-
-
-def with_blocks(df: DataFrame, group: Sequence[str], order: str, blocks: int | None = None) -> tuple[DataFrame, int]:
-    """Add the block number, from 0, or UNCUT. Only groups above 1/n of all rows are cut, so fewer
-    than n groups; the cut points are approximate quantiles of the order column, at most MAX_CUTS,
-    and where more blocks are needed each cut is divided evenly. Any cut points give right results,
-    since block numbers rise with the order column."""
-    wanted = blocks or block_count(df)
+        return df, max(1, int(fixed))
+    size = min(plan_bytes(df), source_bytes(df))
+    if size >= UNKNOWN_BYTES:
+        df = stored_copy(df, "sized")
+        size = plan_bytes(df)
+    return df, 1 + size // BLOCK_BYTES
+
+
+def _cut_groups(dealt: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Groups that lie in more than one block. Blocks are ranges of the group columns first, so such a
+    group is the first or the last one of each of its blocks: two candidates per block."""
+    one = F.struct(*group)
+    ends = dealt.groupBy(BLOCK).agg(F.array_distinct(F.array(F.min(one), F.max(one))).alias("_ends"))
+    spread = ends.select(F.explode("_ends").alias("_g")).groupBy("_g").count().where("count > 1")
+    return spread.select(*[F.col("_g")[g].alias(f"_cut_{g}") for g in group], F.lit(True).alias("_cut"))
+
+
+def with_blocks(df: DataFrame, group: Sequence[str], order: Sequence[str], blocks: int | None = None) -> tuple[DataFrame, int]:
+    """Add the block number, from 0, or UNCUT for rows of groups that lie in one block. Block numbers
+    rise with the order. The dealt rows are stored: sampling might cut them elsewhere the next time."""
+    df, wanted = (df, blocks) if blocks else block_count(df)
     if wanted <= 1:
         return df.withColumn(BLOCK, F.lit(UNCUT)), 1
-    n = min(wanted, MAX_CUTS)
-    timed = dict(df.dtypes)[order].startswith("timestamp")
-    number = F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
-    number = F.coalesce(number.cast("double"), F.lit(float("-inf")))
-    bounds = _cut_points(df, number, n)
-    if len(bounds) < 3:
-        return df.withColumn(BLOCK, F.lit(UNCUT)), 1
-    cut_at = Bucketizer(
-        splits=[float("-inf"), *bounds[1:-1], float("inf")], inputCol="_at", outputCol="_cut", handleInvalid="keep")
-    bucketed = cut_at.transform(df.withColumn("_at", number))
-    cut = F.col("_cut").cast("int")
-    parts = -(-wanted // n)
-    if parts > 1:
-        low = F.get(F.lit(bounds[:-1]), cut)
-        share = (F.col("_at") - low) / (F.get(F.lit(bounds[1:]), cut) - low)
-        within = F.greatest(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0))
-        cut = (cut * parts + within).cast("int")
-    if group:
-        large = _large_groups(df, group, n)
-        same = [F.col(g).eqNullSafe(F.col(f"_large_{g}")) for g in group]
-        bucketed = bucketed.join(F.broadcast(large), same, "left")
-        cut = F.when(F.col("_large"), cut).otherwise(F.lit(UNCUT))
-    bucketed = bucketed.withColumn(BLOCK, cut).drop("_at", "_cut", "_large", *[f"_large_{g}" for g in group])
-    return bucketed, wanted
+    dealt = df.repartitionByRange(wanted, *[F.col(c).asc_nulls_first() for c in dict.fromkeys([*group, *order])])
+    dealt = stored_copy(dealt.withColumn(BLOCK, F.spark_partition_id()), "blocks")
+    if not group:
+        return dealt, wanted
+    # at most two rows per block
+    cut = F.broadcast(_cut_groups(dealt, group))
+    same = [F.col(g).eqNullSafe(F.col(f"_cut_{g}")) for g in group]
+    marked = dealt.join(cut, same, "left").withColumn(BLOCK, F.when(F.col("_cut"), F.col(BLOCK)).otherwise(F.lit(UNCUT)))
+    return marked.drop("_cut", *[f"_cut_{g}" for g in group]), wanted
 
 
 def _orders(order: Sequence[str], descending: bool = False) -> list[Column]:
@@ -102,7 +79,7 @@ def _orders(order: Sequence[str], descending: bool = False) -> list[Column]:
 class Scan:
     """Rows in order within groups. Steps of one scan share the same blocks, shuffle and sort.
 
-    ``order[0]`` is numeric or a timestamp; all of ``order`` together is unique within a group."""
+    All of ``order`` together is unique within a group; its columns may have any type that sorts."""
 
     df: DataFrame
     group: tuple[str, ...]
@@ -114,9 +91,9 @@ class Scan:
         return replace(self, df=change(self.df))
 
     def _carry(self, carried: DataFrame) -> DataFrame:
-        """Attach block summaries; rows of first blocks, and so all of uncut groups, have none."""
+        """Attach block summaries, as many as cut groups have blocks; rows of uncut groups have none."""
         keys = [*self.group, BLOCK]
-        renamed = carried.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+        renamed = F.broadcast(carried).select(*[F.col(k).alias(f"_k_{k}") for k in keys],
                                  *[c for c in carried.columns if c not in keys])
         same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
         return self.df.join(renamed, same, "left").drop(*[f"_k_{k}" for k in keys])
@@ -132,14 +109,14 @@ class Scan:
         if self.blocks > 1:
             position = F.struct(*self.order)
             total = {**_SCAN, "last": lambda c: F.max_by(c, F.when(c.isNotNull(), position))}
-            per_block = given.groupBy(*self.group, BLOCK).agg(
+            per_block = given.where(F.col(BLOCK) != UNCUT).groupBy(*self.group, BLOCK).agg(
                 *[total[k](F.col(f"_in_{o}")).alias(f"_b_{o}") for o, (k, _) in outputs.items()])
             # one row per block of a group
             before = Window.partitionBy(*self.group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
             carried = per_block.select(
                 *self.group, BLOCK,
                 *[_SCAN[k](F.col(f"_b_{o}")).over(before).alias(f"_p_{o}") for o, (k, _) in outputs.items()],
-            ).where(F.col(BLOCK) > 0)
+            )
             scanned = replace(self, df=scanned)._carry(carried).withColumns(
                 {o: _MERGE[k](F.col(f"_p_{o}"), F.col(o)) for o, (k, _) in outputs.items()}
             ).drop(*[f"_p_{o}" for o in outputs])
@@ -159,7 +136,7 @@ class Scan:
             return replace(self, df=given.withColumns(shifted).drop(*inputs))
         scanned = given.withColumns({**shifted, "_edge": F.row_number().over(local) == 1})
         edge = F.min_by if following else F.max_by
-        per_block = given.groupBy(*self.group, BLOCK).agg(edge(F.struct(*inputs), F.struct(*self.order)).alias("_b"))
+        per_block = given.where(F.col(BLOCK) != UNCUT).groupBy(*self.group, BLOCK).agg(edge(F.struct(*inputs), F.struct(*self.order)).alias("_b"))
         # one row per block of a group
         across = Window.partitionBy(*self.group).orderBy(*_orders([BLOCK], following))
         carried = per_block.select(*self.group, BLOCK, F.lag("_b").over(across).alias("_p")).where(F.col("_p").isNotNull())
@@ -173,7 +150,7 @@ class Scan:
 
 
 def scan(df: DataFrame, group: Sequence[str], order: Sequence[str], blocks: int | None = None) -> Scan:
-    cut, n = with_blocks(df, group, order[0], blocks)
+    cut, n = with_blocks(df, group, order, blocks)
     return Scan(cut, tuple(group), tuple(order), n)
 
 

@@ -56,10 +56,18 @@ def as_of_sql(target: str, source: str = LOG_SQL) -> str:
     return AS_OF_SQL.format(source=source, target=target)
 
 
-@query("table_as_of", ["d1_changes"], as_of_sql(f"lsn <= {BASE + 500 * STEP}"))
+# A position in the middle of the log.
+HALF_SQL = f"lsn <= {BASE} + (SELECT (max(lsn) - {BASE}) // 2 FROM d1_changes)"
+
+
+def half_way(log: DataFrame) -> int:
+    return BASE + (log.agg(F.max("lsn")).first()[0] - BASE) // 2
+
+
+@query("table_as_of", ["d1_changes"], as_of_sql(HALF_SQL))
 def table_as_of(spark, sf_dir):
     log = event_log(spark, sf_dir)
-    return _typed_state(history.table_as_of(log, ["k"], until_lsn=BASE + 500 * STEP, columns=["k", "c_type", "c_value", "c_props"]))
+    return _typed_state(history.table_as_of(log, ["k"], until_lsn=half_way(log), columns=["k", "c_type", "c_value", "c_props"]))
 
 
 @query("table_as_of_latest", ["d1_changes"], as_of_sql("1 = 1"))
@@ -69,10 +77,10 @@ def table_as_of_latest(spark, sf_dir):
     return _typed_state(state.select("k", image("c_type"), image("c_value"), image("c_props")))
 
 
-@query("table_as_of_time", ["d1_changes"], as_of_sql("commit_ts <= (SELECT max(commit_ts) FROM d1_changes WHERE seq <= 800)"))
+@query("table_as_of_time", ["d1_changes"], as_of_sql("commit_ts <= (SELECT max(commit_ts) FROM d1_changes WHERE seq <= (SELECT max(seq) // 2 FROM d1_changes))"))
 def table_as_of_time(spark, sf_dir):
     log = event_log(spark, sf_dir)
-    target = log.where(F.col("seq") <= 800).agg(F.max("commit_ts")).first()[0]
+    target = log.where(F.col("seq") <= log.agg(F.call_function("div", F.max("seq"), F.lit(2))).scalar()).agg(F.max("commit_ts")).first()[0]
     return _typed_state(history.table_as_of(log, ["k"], until_ts=target, columns=["k", "c_type", "c_value", "c_props"]))
 
 
@@ -87,10 +95,11 @@ SNAPSHOT_SQL = f"""SELECT -1 AS seq, {BASE} AS lsn, NULL AS commit_ts, 'insert'
  SELECT seq, lsn, commit_ts, op, tbl, k, c_type, CAST(floor(c_value * 100) AS BIGINT), c_props, props_unchanged FROM d1_changes WHERE lsn > {BASE}"""
 
 
-@query("apply_changes", ["d1_changes"], as_of_sql(f"lsn <= {BASE + 700 * STEP}", SNAPSHOT_SQL))
+@query("apply_changes", ["d1_changes"], as_of_sql(HALF_SQL, SNAPSHOT_SQL))
 def apply_changes(spark, sf_dir):
+    log = event_log(spark, sf_dir)
     state = history.apply_changes(
-        _snapshot(spark, sf_dir), event_log(spark, sf_dir), ["k"], BASE, BASE + 700 * STEP,
+        _snapshot(spark, sf_dir), log, ["k"], BASE, half_way(log),
         columns=["k", "c_type", "c_value", "c_props"])
     return _typed_state(state)
 

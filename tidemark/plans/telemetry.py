@@ -187,7 +187,7 @@ def rate_limit(spark, sf_dir):
 
 @query("limited_stream", ["d5_lines"], RATE_LIMIT_SQL + """
 SELECT r.stream, r.seq, 1 AS part, o.line FROM r JOIN o ON o.stream = r.stream AND o.rn = r.rn WHERE passed UNION ALL
-SELECT stream, seq, 0, concat('[beyond: dropped ', notice, ' log lines]') FROM r WHERE notice > 0""")
+SELECT stream, seq, 0, concat('[dropped ', notice, ' log lines]') FROM r WHERE notice > 0""")
 def limited_stream(spark, sf_dir):
     sent = ratelimit.limited_stream(ratelimit.rate_limit(derived(spark, sf_dir, "d5_lines")))
     return sent.select("stream", "seq", "part", "line")

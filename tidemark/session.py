@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A side is broadcast only when the optimiser's size estimate is below this.
 BROADCAST_LIMIT_BYTES = 64 << 20
+# Rows that come from no table have an estimate of this size or more.
+UNKNOWN_BYTES = 1 << 60
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,12 +36,19 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one where unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where that is unset, a session on this
+    machine alone uses a temporary folder, which it removes at its end; on a cluster that is an error,
+    because executors could not see the folder."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-"))
+        if not configured:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        context.setCheckpointDir(configured)
         current = context._jsc.sc().getCheckpointDir()
     return (configured or current.get()).rstrip("/")
 
@@ -58,6 +69,12 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def source_bytes(df: DataFrame) -> int:
+    """The sizes of the tables a plan reads, added up."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def stored_copy(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table written to the shared folder: computed once, and of known size."""
     path = scratch_path(df.sparkSession, label)
