@@ -1,10 +1,12 @@
 import os
+import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, extras, joins
+from tidemark.operators import aggregates, extras, joins, similarity
 from tidemark.sources import archive, statistics, telemetry
 
 SEG = 16 << 20
@@ -141,6 +143,43 @@ def test_trigrams(spark):
     assert got == {"word": 1.0, "Word!": 1.0, "two words": 0.363636}
 
 
+def trigrams_of(text):
+    out = set()
+    for w in re.findall(r"[^\W_]+", (text or "").lower()):
+        w = f"  {w} "
+        out |= {w[i:i + 3] for i in range(len(w) - 2)}
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.3, 0.5, 0.75, 1.0])
+def test_trigram_join_equals_brute_force(spark, threshold):
+    rng = random.Random(int(threshold * 100))
+    words = ["north", "northern", "pier", "piers", "crane", "cranes", "hot", "hat", "x", "yz", "12", "123", "Straße"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(150)] + ["", None, "!?", "North  PIER", "north pier"]
+    left = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "a int, left_text string")
+    right = spark.createDataFrame([(i, t) for i, t in enumerate(reversed(texts))], "b int, right_text string")
+    got = {(r.a, r.b): round(r.similarity, 9) for r in similarity.trigram_join(left, right, "left_text", "right_text", threshold).collect()}
+    want = {}
+    for i, x in enumerate(texts):
+        for j, y in enumerate(reversed(texts)):
+            p, q = trigrams_of(x), trigrams_of(y)
+            if p and q and len(p & q) / len(p | q) >= threshold - 1e-9:
+                want[i, j] = round(len(p & q) / len(p | q), 9)
+    assert got == want and len(want) > 100
+    assert similarity.similar_texts(left.select("left_text").limit(0), right.select("right_text")).count() == 0
+
+
+def test_texts_meet_only_under_rare_trigrams(spark):
+    """A trigram that all texts share is in no prefix: texts with nothing else in common never meet."""
+    texts = [f"the {c * 3}{d * 3}" for c in "abcdefgh" for d in "ijklmnop"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    sets = similarity._ranked_sets(df.select(F.col("t").alias("text"), F.lit("l").alias("side"), extras.trigrams(F.col("t")).alias("grams")), 0.8)
+    rows = sets.collect()
+    assert all(set(r.grams) == trigrams_of(r.text) and not {"  t", " th", "the", "he "} & set(r.grams[:r.prefix]) for r in rows)
+    with pytest.raises(ValueError):
+        similarity.similar_texts(df, df, 0)
+
+
 def test_slow_statements(spark):
     head = "2024-01-01 00:00:00.000 UTC [1] [a] db=d,user=u,client=h LOG:  duration: %s ms  statement: %s"
     lines = [head % ("1500.0", "SELECT *  FROM t WHERE a = 'x''y' AND b=10"), head % ("2500.5", "SELECT * FROM t WHERE a = 'z' AND b=7.5"),

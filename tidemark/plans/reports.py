@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators import aggregates, extras, joins, ordering
+from tidemark.operators import aggregates, extras, joins, ordering, similarity
 from tidemark.plans.inputs import derived, table
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
@@ -194,7 +194,7 @@ def knn_l2(spark, sf_dir):
 
 @query("trigram_similarity", [], """
 WITH w AS (SELECT p_partkey AS id, p_name AS name, concat('  ', unnest(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')), ' ') AS w FROM part
-  UNION ALL SELECT -1, '', concat('  ', unnest(['green', 'steel']), ' ')),
+  UNION ALL SELECT -1, '', concat('  ', unnest(['hot', 'plates']), ' ')),
 g AS (SELECT DISTINCT id, name, substr(w, i, 3) AS g FROM (SELECT id, name, w, unnest(generate_series(1, length(w) - 2)) AS i FROM w) q),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
 s AS (SELECT a.id, a.name, count(*) AS shared FROM g a JOIN g b ON b.id = -1 AND a.id <> -1 AND a.g = b.g GROUP BY a.id, a.name)
@@ -202,7 +202,26 @@ SELECT s.id AS p_partkey, s.name AS p_name, shared::DOUBLE / (n.n + (SELECT n FR
 FROM s JOIN n ON n.id = s.id WHERE shared::DOUBLE / (n.n + (SELECT n FROM n WHERE id = -1) - shared) >= 0.2::DOUBLE""")
 def trigram_similarity(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return extras.trigram_similarity(p, "p_name", "green steel", 0.2)
+    return extras.trigram_similarity(p, "p_name", "hot plates", 0.2)
+
+
+@query("trigram_join", [], """
+WITH t AS (SELECT concat(p_name, ' ', p_brand, ' ', p_size) AS text, count(*) AS n FROM part GROUP BY 1),
+w AS (SELECT text, concat('  ', unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')), ' ') AS w FROM t),
+g AS (SELECT DISTINCT text, substr(w, i, 3) AS g FROM (SELECT text, w, unnest(generate_series(1, length(w) - 2)) AS i FROM w) q),
+c AS (SELECT text, count(*) AS n FROM g GROUP BY 1),
+s AS (SELECT a.text AS left_text, b.text AS right_text, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.text < b.text GROUP BY 1, 2)
+SELECT left_text, right_text, shared::DOUBLE / (x.n + y.n - shared) AS similarity, u.n * v.n AS row_pairs
+FROM s JOIN c x ON x.text = left_text JOIN c y ON y.text = right_text JOIN t u ON u.text = left_text JOIN t v ON v.text = right_text
+WHERE shared::DOUBLE / (x.n + y.n - shared) >= 0.7::DOUBLE""")
+def trigram_join(spark, sf_dir):
+    """Part labels that are nearly alike, with the number of pairs of parts behind each pair of labels."""
+    label = F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string"))
+    labels = table(spark, sf_dir, "part").groupBy(label.alias("text")).agg(F.count("*").alias("n"))
+    left = labels.select(F.col("text").alias("left_text"), F.col("n").alias("left_n"))
+    right = labels.select(F.col("text").alias("right_text"), F.col("n").alias("right_n"))
+    joined = similarity.trigram_join(left, right, "left_text", "right_text", 0.7)
+    return joined.where("left_text < right_text").select("left_text", "right_text", "similarity", (F.col("left_n") * F.col("right_n")).alias("row_pairs"))
 
 
 @query("slow_queries", [], """
