@@ -1,3 +1,4 @@
+import datetime
 import json
 import random
 import struct
@@ -99,6 +100,107 @@ def test_relations_follow_arrival_and_rejects_say_why(spark):
     assert [(r.seq, r.reject) for r in bad.orderBy("seq").collect()] == [(0, "unknown relation"), (5, "column count mismatch"), (6, "unknown relation")]
 
 
+def bracket(tag, ts=0, xid=0):
+    return b"B" + struct.pack(">QqI", 0, ts, xid) if tag == "B" else b"C" + struct.pack(">bQQq", 0, 0, 0, ts)
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_transactions(spark, blocks):
+    """Closed, never closed and empty transactions, changes outside of any, and brackets of the wrong length."""
+    table = relation(7, "port", "berths", [("no", 23)])
+    log_a = [table, insert(7, ["1"]), bracket("B", 5, 70), insert(7, ["2"]), insert(7, ["3"]), bracket("C", 9), insert(7, ["4"]),
+             bracket("B", 11, 71), insert(7, ["5"]), bracket("B", 20, 72), bracket("C", 20), bracket("B", 30, 73), b"B\0", insert(7, ["6"]), bracket("C", 31),
+             bracket("B", 40, 74), insert(7, ["7"])]
+    frames = spark.createDataFrame([("a", i, i, d) for i, d in enumerate(log_a)] + [("b", i + 1, i, d) for i, d in enumerate(log_a[:4])],
+                                   "source string, seq bigint, lsn bigint, data binary")
+    one = frames.where("source = 'a'").drop("source")
+    got = frame_io.with_transactions(frame_io.decode_pgoutput(one), one, blocks=blocks).orderBy("seq").collect()
+    epoch = datetime.datetime(2000, 1, 1)
+    assert [(r.new["no"], r.xid, r.bracket, r.commit_ts and (r.commit_ts - epoch).microseconds) for r in got] == [
+        ("1", None, "outside", None), ("2", 70, "committed", 9), ("3", 70, "committed", 9), ("4", None, "outside", None), ("5", 71, "open", None),
+        ("6", 73, "committed", 31), ("7", 74, "open", None)]
+    assert [r.new["no"] for r in frame_io.committed_events(one, blocks=blocks).orderBy("seq").collect()] == ["2", "3", "6"]
+    marks = frame_io.transaction_brackets(frames, ["source"], blocks).where("kind = 'B'").collect()
+    assert sorted((r.source, r.xid, r.committed) for r in marks) == [
+        ("a", 70, True), ("a", 71, False), ("a", 72, True), ("a", 73, True), ("a", 74, False), ("b", 70, False)]
+
+
+def test_malformed_messages_are_rejected_with_a_reason(spark):
+    frames = [relation(5, "s", "t", [("a", 23)]), insert(5, ["1"]), insert(5, ["1"])[:-3], b"D\0\0\0\x05N\0\0", b"U", insert(5, [b"x".decode()])]
+    df = spark.createDataFrame([(i, i, d) for i, d in enumerate(frames)], "seq bigint, lsn bigint, data binary")
+    good, bad = filters.split_rejects(frame_io.resolve_events(frame_io.dml_messages(df), frame_io.relation_messages(df)))
+    assert [r.seq for r in good.orderBy("seq").collect()] == [1, 5]
+    assert [(r.seq, r.reject.split(":")[0]) for r in bad.orderBy("seq").collect()] == [(2, "malformed"), (3, "malformed"), (4, "malformed")]
+
+
+@pytest.mark.parametrize("blocks", [1, 6])
+def test_many_versions_of_a_relation(spark, blocks):
+    """Ten thousand versions: as the range join says, and no change meets more than its own version."""
+    relations = [(1, 3 * i, "s", "t", [f"c{i % 10_000 // 2}"]) for i in range(10_000)] + [(2, 50, "s", "u", ["x"])]
+    changes = [(1 if i % 4 else 2, 2 * i, f"v{i}") for i in range(15_000)] + [(9, 1, "nobody")]
+    r = spark.createDataFrame(relations, "rel_oid bigint, seq bigint, `schema` string, `table` string, columns array<string>").cache()
+    d = spark.createDataFrame(changes, "rel_oid bigint, seq bigint, v string").cache()
+    for unknown in (False, True):
+        got = {x.v: (x.table, x.columns) for x in joins.resolve_relations(d, r, unknown, blocks=blocks).collect()}
+        want = {}
+        for oid, seq, v in changes:
+            if oid == 1:
+                want[v] = ("t", [f"c{seq // 3 // 2}"])
+            elif oid == 2 and seq >= 50:
+                want[v] = ("u", ["x"])
+            elif unknown:
+                want[v] = (None, None)
+        assert got == want
+    assert joins.descriptor_versions(r).where("rel_oid = 1").count() == 5000
+    few = r.where("seq < 40")
+    assert sorted(map(str, joins.resolve_relations(d, few, few=99).collect())) == sorted(map(str, joins.resolve_relations(d, few, few=0, blocks=blocks).collect()))
+
+
+def test_events_keep_what_a_table_is_rebuilt_from(spark, tmp_path):
+    ts = datetime.datetime(2024, 2, 3, 4, 5, 6, 789012)
+    rows = [(7, 100, ts, "insert", "s", name, None, {"id": "1", "a": None}, {"id": 23, "a": 25}) for name in ("t", "u")]
+    events = spark.createDataFrame(rows, "seq bigint, lsn bigint, commit_ts timestamp, op string, `schema` string, `table` string, old map<string,string>, "
+                                         "new map<string,string>, types map<string,int>")
+    event_io.write_change_events(events, str(tmp_path / "lake"), rebuildable=True)
+    back = event_io.read_change_events(spark, str(tmp_path / "lake"), tables=[("s", "u")])
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "in_table" in plan.split("PartitionFilters")[1][:200]
+    assert [tuple(r[c] for c in events.columns) for r in back.collect()] == [rows[1]]
+    event_io.write_change_events(events.drop("commit_ts"), str(tmp_path / "plain"))
+    plain = event_io.read_change_events(spark, str(tmp_path / "plain")).collect()
+    assert {(r.seq, r.commit_ts, r.types) for r in plain} == {(100, None, None)} and len(plain) == 2
+    flat = spark.createDataFrame([('{"lsn":"0/9","op":"insert","schema":"s","table":"t","new":{"id":1}}',), ('{"lsn":"0/A","op":"insert","schema":"s","table":"x","new":{"id":1}}',)], "value string")
+    flat.write.text(str(tmp_path / "flat"))
+    assert [r.lsn for r in event_io.read_change_events(spark, str(tmp_path / "flat"), tables=[("s", "t")]).collect()] == [9]
+
+
+def test_redelivery_in_a_stream_equals_the_batch(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, 10 * (i // 2), start + datetime.timedelta(seconds=i // 2), "insert", "s", "t", None, {"id": str(i)}, {"id": 23}) for i in range(60)]
+    schema = "seq bigint, lsn bigint, commit_ts timestamp, op string, `schema` string, `table` string, old map<string,string>, new map<string,string>, types map<string,int>"
+    sent = [rows[:30], rows[20:50], rows[25:]]
+    for i, part in enumerate(sent):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    batch = history.dedupe_replay(spark.read.parquet(str(tmp_path / "in")))
+    assert sorted(r.new["id"] for r in batch.collect()) == sorted(str(i) for i in range(60))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError):
+        history.dedupe_replay(stream)
+    query = (history.dedupe_replay(stream, ["id"], delay="1 minute").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(str, out)) == sorted(map(str, batch.collect()))
+    # state: only what is within the delay of the newest commit time
+    late = spark.createDataFrame([(99, 990, start + datetime.timedelta(hours=1), "insert", "s", "t", None, {"id": "99"}, {"id": 23})], schema)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = (history.dedupe_replay(stream, ["id"], delay="1 minute").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    states = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert states[-1] == 1 and spark.read.parquet(str(tmp_path / "out")).count() == 61
+
+
 EVENT = "seq bigint, lsn bigint, op string, `schema` string, `table` string, old map<string,string>, new map<string,string>, types map<string,int>"
 TYPES = {"id": 23, "a": 25, "b": 25}
 

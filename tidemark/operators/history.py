@@ -272,9 +272,18 @@ def union_history(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def dedupe_replay(events: DataFrame, key: Sequence[str] = ("k",)) -> DataFrame:
-    """One copy of each redelivered event. A stream needs a watermark on ``commit_ts``."""
-    identity = ["lsn", "schema", "table", *key]
+def dedupe_replay(events: DataFrame, key: Sequence[str] | None = None, delay: str | None = None) -> DataFrame:
+    """One copy of each redelivered event: same position, table, operation and key. The key cells are
+    taken from the images; without ``key`` the whole images count (rows written in one go may share a
+    position). A stream keeps what it has seen for ``delay`` behind the newest ``commit_ts``; later
+    redeliveries are not recognised."""
+    cells = lambda image: F.array_sort(F.map_entries(image if key is None else F.map_filter(image, lambda c, _: c.isin(*key))))
+    told = events.withColumns({"_old": cells("old"), "_new": cells("new")})
+    identity = ["lsn", "schema", "table", "op", "_old", "_new"]
     if events.isStreaming:
-        return events.dropDuplicatesWithinWatermark(identity)
-    return events.dropDuplicates(identity)
+        if delay is None:
+            raise ValueError("a stream needs a delay after which redeliveries are no longer expected")
+        told = told.withWatermark("commit_ts", delay).dropDuplicatesWithinWatermark(identity)
+    else:
+        told = told.dropDuplicates(identity)
+    return told.drop("_old", "_new")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.segments import is_segment
 from tidemark.operators.filters import at_or_after_redo
-from tidemark.operators.scale import neighbour
-from tidemark.session import small_side
+from tidemark.operators.scale import neighbour, running
+from tidemark.session import small_side, stored_copy
 
 # The metrics shown first, in their order, without the exporter's prefix.
 HEADLINE_METRICS = (
@@ -19,18 +19,39 @@ HEADLINE_METRICS = (
 )
 
 
-def relation_intervals(relations: DataFrame) -> DataFrame:
-    """Descriptor versions ``(rel_oid, seq, schema, table, columns)`` with the half-open arrival
-    range in which each is the newest."""
-    versions = neighbour(relations, ["rel_oid"], ["seq"], {"to_seq": F.col("seq")}, following=True)
-    return versions.select("rel_oid", "schema", "table", "columns", F.col("seq").alias("from_seq"), "to_seq")
+# A change is compared with so many versions of its relation at most; where there are more, it is carried
+# past them in one ordered scan.
+FEW_VERSIONS = 16
+_DESCRIPTOR = ("schema", "table", "columns")
 
 
-def resolve_relations(dml: DataFrame, relations: DataFrame, keep_unknown: bool = False) -> DataFrame:
+def descriptor_versions(relations: DataFrame) -> DataFrame:
+    """Descriptors ``(rel_oid, seq, schema, table, columns)`` that differ from the one before: servers
+    announce the same one again and again."""
+    before = neighbour(relations, ["rel_oid"], ["seq"], {"_before": F.struct(*_DESCRIPTOR)})
+    return before.where(~F.col("_before").eqNullSafe(F.struct(*_DESCRIPTOR))).select("rel_oid", "seq", *_DESCRIPTOR)
+
+
+def relation_intervals(versions: DataFrame) -> DataFrame:
+    """Descriptor versions with the half-open arrival range in which each is the newest."""
+    ranged = neighbour(versions, ["rel_oid"], ["seq"], {"to_seq": F.col("seq")}, following=True)
+    return ranged.select("rel_oid", *_DESCRIPTOR, F.col("seq").alias("from_seq"), "to_seq")
+
+
+def resolve_relations(dml: DataFrame, relations: DataFrame, keep_unknown: bool = False, few: int = FEW_VERSIONS,
+                      blocks: int | None = None) -> DataFrame:
     """As-of join: each row change gets the newest descriptor that arrived before it. The order is
-    arrival, not log position. Unknown relations are dropped, or kept with a null table."""
+    arrival, not log position. Unknown relations are dropped, or kept with a null table.
+
+    Relations with ``few`` versions at most are joined by range with the small table of versions, which
+    moves no change. Else changes and versions are put in one order, and the newest version is handed
+    on from row to row: the cost doesn't depend on how many versions a relation has. Both give the same."""
+    versions = stored_copy(descriptor_versions(relations), "versions")
+    most = versions.groupBy("rel_oid").count().agg(F.max("count")).first()[0] or 0
+    if most > few:
+        return _carried_descriptors(dml, versions, keep_unknown, blocks)
     d = dml.alias("d")
-    r = small_side(relation_intervals(relations)).alias("r")
+    r = small_side(relation_intervals(versions)).alias("r")
     seen = (
         (F.col("d.rel_oid") == F.col("r.rel_oid")) & (F.col("d.seq") >= F.col("r.from_seq"))
         & (F.col("r.to_seq").isNull() | (F.col("d.seq") < F.col("r.to_seq")))
@@ -39,6 +60,15 @@ def resolve_relations(dml: DataFrame, relations: DataFrame, keep_unknown: bool =
     return joined.select("d.*", "r.schema", "r.table", "r.columns")
 
 
+def _carried_descriptors(dml: DataFrame, versions: DataFrame, keep_unknown: bool, blocks: int | None) -> DataFrame:
+    changes = dml.select("rel_oid", F.col("seq").cast("bigint").alias("seq"), F.lit(1).alias("_rank"), F.struct("*").alias("_change"))
+    marks = versions.select("rel_oid", F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("_rank"), F.struct(*_DESCRIPTOR).alias("_mark"))
+    line = changes.unionByName(marks, allowMissingColumns=True)
+    seen = running(line, ["rel_oid"], ["seq", "_rank"], {"_seen": ("last", F.col("_mark"))}, blocks)
+    resolved = seen.where((F.col("_rank") == 1) & (F.lit(keep_unknown) | F.col("_seen").isNotNull()))
+    return resolved.select("_change.*", "_seen.*")
+
+
 def missing_segments(archive: DataFrame, local: DataFrame, redo: str, per_timeline: bool = False) -> DataFrame:
     """Names of archived segments at or after redo that are not present locally."""
     wanted = at_or_after_redo(archive.where(is_segment(F.col("name"))), redo, per_timeline)

@@ -60,6 +60,15 @@ def as_of_sql(target: str, source: str = LOG_SQL) -> str:
 HALF_SQL = f"lsn <= {BASE} + (SELECT (max(lsn) - {BASE}) // 2 FROM d1_changes)"
 
 
+HALF_TIME_SQL = "commit_ts <= (SELECT max(commit_ts) FROM d1_changes WHERE seq <= (SELECT max(seq) // 2 FROM d1_changes))"
+
+
+def half_time(log: DataFrame):
+    """The newest commit time in the first half of the log."""
+    middle = log.agg(F.call_function("div", F.max("seq"), F.lit(2))).scalar()
+    return log.where(F.col("seq") <= middle).agg(F.max("commit_ts")).first()[0]
+
+
 def half_way(log: DataFrame) -> int:
     return BASE + (log.agg(F.max("lsn")).first()[0] - BASE) // 2
 
@@ -77,11 +86,10 @@ def table_as_of_latest(spark, sf_dir):
     return _typed_state(state.select("k", image("c_type"), image("c_value"), image("c_props")))
 
 
-@query("table_as_of_time", ["d1_changes"], as_of_sql("commit_ts <= (SELECT max(commit_ts) FROM d1_changes WHERE seq <= (SELECT max(seq) // 2 FROM d1_changes))"))
+@query("table_as_of_time", ["d1_changes"], as_of_sql(HALF_TIME_SQL))
 def table_as_of_time(spark, sf_dir):
     log = event_log(spark, sf_dir)
-    target = log.where(F.col("seq") <= log.agg(F.call_function("div", F.max("seq"), F.lit(2))).scalar()).agg(F.max("commit_ts")).first()[0]
-    return _typed_state(history.table_as_of(log, ["k"], until_ts=target, columns=["k", "c_type", "c_value", "c_props"]))
+    return _typed_state(history.table_as_of(log, ["k"], until_ts=half_time(log), columns=["k", "c_type", "c_value", "c_props"]))
 
 
 def _snapshot(spark, sf_dir) -> DataFrame:
@@ -132,7 +140,7 @@ def union_history(spark, sf_dir):
 def dedupe_replay(spark, sf_dir):
     log = event_log(spark, sf_dir)
     sent_twice = log.unionByName(log.where(F.col("seq") % 4 != 1))
-    return history.dedupe_replay(sent_twice).select("lsn", "op", F.col("table").alias("table_name"), "k")
+    return history.dedupe_replay(sent_twice, ["k"]).select("lsn", "op", F.col("table").alias("table_name"), "k")
 
 
 @query("change_event_json", ["d1_changes"], """
@@ -230,6 +238,49 @@ def stream_of_changes(spark, sf_dir):
     return _read_back(events, "seq", "lsn_text")
 
 
+# Five events make a transaction; of these the last one of the log and every thirteenth are never closed.
+BRACKETED_SQL = """SELECT seq, lsn, seq // 5 AS xid, max(commit_ts) OVER (PARTITION BY seq // 5) AS commit_ts, op, tbl, k, c_type,
+ CAST(floor(c_value * 100) AS BIGINT) AS cents, c_props, (props_unchanged OR (tbl = 'included' AND seq < 300)) AS props_unchanged,
+ CASE WHEN seq // 5 % 13 = 7 OR seq // 5 = (SELECT max(seq) // 5 FROM d1_changes) THEN 'open' ELSE 'committed' END AS bracket FROM d1_changes"""
+
+
+def bracketed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log as frames with transactions around the row changes, numbered by arrival."""
+    frames = frame_log(spark, sf_dir).withColumn("seq", F.col("seq") * 4 + 1)
+    d = derived(spark, sf_dir, "d1_changes")
+    xid = F.call_function("div", F.col("seq"), F.lit(5))
+    whole = d.groupBy(xid.alias("xid")).agg(
+        F.min("seq").alias("first"), F.max("seq").alias("last"), F.min("lsn").alias("lsn"), F.max("commit_ts").alias("commit_ts"))
+    last = d.agg(F.max(xid)).scalar()
+    opening = whole.select((F.col("first") * 4).alias("seq"), "lsn", F.lit("B").alias("tag"), "xid", "commit_ts")
+    closing = whole.where((F.col("xid") % 13 != 7) & (F.col("xid") != last)).select(
+        (F.col("last") * 4 + 2).alias("seq"), "lsn", F.lit("C").alias("tag"), "xid", "commit_ts")
+    return frames.unionByName(frame_io.encode_brackets(opening.unionByName(closing)))
+
+
+@query("with_transactions", ["d1_changes"], f"""SELECT lsn, xid, CASE WHEN bracket = 'committed' THEN commit_ts END AS commit_ts, bracket
+FROM ({BRACKETED_SQL}) q""")
+def with_transactions(spark, sf_dir):
+    frames = bracketed_log(spark, sf_dir)
+    return frame_io.with_transactions(frame_io.decode_pgoutput(frames), frames).select("lsn", "xid", "commit_ts", "bracket")
+
+
+@query("table_as_of_committed", ["d1_changes"], as_of_sql(HALF_TIME_SQL, f"SELECT * FROM ({BRACKETED_SQL}) b WHERE bracket = 'committed'"))
+def table_as_of_committed(spark, sf_dir):
+    """Frames to a table at a point in time: brackets give the time, open transactions don't count."""
+    events = frame_io.committed_events(bracketed_log(spark, sf_dir))
+    return _typed_state(history.table_as_of(events, ["k"], until_ts=half_time(event_log(spark, sf_dir)), columns=["k", "c_type", "c_value", "c_props"]))
+
+
+@query("table_as_of_from_lake", ["d1_changes"], as_of_sql(HALF_TIME_SQL + " AND tbl = 'included'"))
+def table_as_of_from_lake(spark, sf_dir):
+    """A table at a point in time from events that were written as JSON and read back: one folder of the lake."""
+    path, log = scratch_path(spark, "lake"), event_log(spark, sf_dir)
+    event_io.write_change_events(log, path, rebuildable=True)
+    events = event_io.read_change_events(spark, path, tables=[("public", "included")])
+    return _typed_state(history.table_as_of(events, ["k"], until_ts=half_time(log), columns=["k", "c_type", "c_value", "c_props"]))
+
+
 @query("dml_only", ["d1_changes"], """
 SELECT seq, CASE op WHEN 'insert' THEN 'I' WHEN 'update' THEN 'U' ELSE 'D' END AS tag FROM d1_changes WHERE seq % 9 <> 2""")
 def dml_only(spark, sf_dir):

@@ -7,18 +7,19 @@ join by arrival order, so no task needs another one's state.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.lsn import lsn_format
+from tidemark.functions.lsn import lsn_format, pg_micros_to_ts, ts_to_pg_micros
 from tidemark.operators.filters import dml_only, split_rejects
 from tidemark.operators.joins import resolve_relations
+from tidemark.operators.scale import neighbour, running
 from tidemark.session import stored_copy
 
 RELATION_SCHEMA = "seq bigint, rel_oid bigint, schema string, table string, columns array<struct<name:string,type_oid:bigint>>"
-DML_SCHEMA = "seq bigint, lsn bigint, rel_oid bigint, op string, old_kinds string, old_cells array<string>, new_kinds string, new_cells array<string>"
+DML_SCHEMA = "seq bigint, lsn bigint, rel_oid bigint, op string, old_kinds string, old_cells array<string>, new_kinds string, new_cells array<string>, malformed string"
 
 
 class Malformed(ValueError):
@@ -81,33 +82,36 @@ def parse_dml(data: bytes) -> tuple:
         raise Malformed("no row marker")
     if tag == b"I":
         kinds, cells, _ = parse_row(data, at)
-        return oid, "insert", *old, kinds, cells
+        return oid, "insert", *old, kinds, cells, None
     if marker in (b"O", b"K"):
         kinds, cells, at = parse_row(data, at)
         old = (kinds, cells)
     if tag == b"D":
         if old[0] is None:
             raise Malformed("delete without an old row")
-        return oid, "delete", *old, *new
+        return oid, "delete", *old, *new, None
     if old[0] is not None:
         marker, at = data[at:at + 1], at + 1
     if marker != b"N":
         raise Malformed("update without a new row")
     kinds, cells, _ = parse_row(data, at)
-    return oid, "update", *old, kinds, cells
+    return oid, "update", *old, kinds, cells, None
 
 
 def _parsed(parse, arrow: pa.Schema, with_lsn: bool):
+    """Parsed fields per message. Where the schema ends in ``malformed``, a message that can't be parsed
+    gives a row that says why; else it gives none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             seqs, lsns = batch.column("seq").to_pylist(), batch.column("lsn").to_pylist()
             for seq, lsn, data in zip(seqs, lsns, batch.column("data").to_pylist()):
+                place = (seq, lsn) if with_lsn else (seq,)
                 try:
-                    fields = parse(data)
-                except (Malformed, struct.error, UnicodeDecodeError):
-                    continue
-                rows.append((seq, lsn, *fields) if with_lsn else (seq, *fields))
+                    rows.append((*place, *parse(data)))
+                except (Malformed, struct.error, UnicodeDecodeError) as problem:
+                    if arrow.names[-1] == "malformed":
+                        rows.append((*place, *[None] * (len(arrow) - len(place) - 1), f"malformed: {type(problem).__name__}: {problem}"))
             columns = list(zip(*rows)) if rows else [[]] * len(arrow)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
@@ -120,7 +124,7 @@ _RELATION_ARROW = pa.schema([
 _DML_ARROW = pa.schema([
     ("seq", pa.int64()), ("lsn", pa.int64()), ("rel_oid", pa.int64()), ("op", pa.string()),
     ("old_kinds", pa.string()), ("old_cells", pa.list_(pa.string())),
-    ("new_kinds", pa.string()), ("new_cells", pa.list_(pa.string()))])
+    ("new_kinds", pa.string()), ("new_cells", pa.list_(pa.string())), ("malformed", pa.string())])
 
 
 def relation_messages(frames: DataFrame) -> DataFrame:
@@ -130,6 +134,7 @@ def relation_messages(frames: DataFrame) -> DataFrame:
 
 
 def dml_messages(frames: DataFrame) -> DataFrame:
+    """Parsed row changes; ``malformed`` says why a message holds none (it then has no other field)."""
     return dml_only(frames).select("seq", "lsn", "data").mapInArrow(_parsed(parse_dml, _DML_ARROW, True), DML_SCHEMA)
 
 
@@ -151,7 +156,7 @@ def resolve_events(dml: DataFrame, relations: DataFrame) -> DataFrame:
     width = F.size("columns")
     fits = lambda kinds: F.col(kinds).isNull() | (F.length(kinds) == width)
     reject = (
-        F.when(F.col("table").isNull(), "unknown relation")
+        F.when(F.col("malformed").isNotNull(), F.col("malformed")).when(F.col("table").isNull(), "unknown relation")
         .when(~(fits("old_kinds") & fits("new_kinds")), "column count mismatch")
     )
     types = F.map_from_entries(F.transform("columns", lambda c: F.struct(c["name"], c["type_oid"].cast("int"))))
@@ -171,6 +176,58 @@ def decode_pgoutput(frames: DataFrame, relations: DataFrame | None = None) -> Da
     return events
 
 
+# Lengths of the messages that open and close a transaction.
+BEGIN_BYTES, COMMIT_BYTES = 21, 26
+
+
+def transaction_brackets(frames: DataFrame, group: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+    """``(group, seq, kind, xid, commit_ts, committed)`` of the messages that open (B) and close (C) a
+    transaction. A transaction is committed if the next bracket of its log closes it; its time is the
+    closing one's. The fields stand at fixed places, so nothing is parsed in Python."""
+    number = lambda at, size: F.conv(F.hex(F.substring("data", at, size)), 16, 10).try_cast("bigint")
+    kind = F.substring("data", 1, 1).cast("string")
+    size = F.octet_length("data")
+    marks = frames.where(((kind == "B") & (size == BEGIN_BYTES)) | ((kind == "C") & (size == COMMIT_BYTES)))
+    opens = kind == "B"
+    marks = marks.select(*group, "seq", kind.alias("kind"), F.when(opens, number(18, 4)).alias("xid"),
+                         pg_micros_to_ts(F.when(opens, number(10, 8)).otherwise(number(19, 8))).alias("commit_ts"))
+    ahead = neighbour(marks, list(group), ["seq"], {"_kind": F.col("kind"), "_ts": F.col("commit_ts")}, following=True, blocks=blocks)
+    committed = (F.col("kind") == "B") & F.coalesce(F.col("_kind") == "C", F.lit(False))
+    return ahead.select(*group, "seq", "kind", "xid", F.when(committed, F.col("_ts")).otherwise(F.col("commit_ts")).alias("commit_ts"), committed.alias("committed"))
+
+
+def with_transactions(events: DataFrame, frames: DataFrame, group: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+    """Events with ``xid``, ``commit_ts`` and ``bracket``: committed, open (the log ends, or begins another
+    transaction, before it is closed) or outside. Brackets and events are put in one order of arrival,
+    and each event sees the newest bracket before it."""
+    marks = transaction_brackets(frames, group, blocks).select(
+        *group, "seq", F.lit(0).alias("_rank"), F.struct("kind", "xid", "commit_ts", "committed").alias("_mark"))
+    base = events.drop("xid", "commit_ts", "bracket")
+    rows = base.select(*group, F.col("seq").cast("bigint").alias("seq"), F.lit(1).alias("_rank"), F.struct("*").alias("_event"))
+    line = rows.unionByName(marks, allowMissingColumns=True)
+    seen = running(line, list(group), ["seq", "_rank"], {"_seen": ("last", F.col("_mark"))}, blocks).where("_rank = 1")
+    inside = F.col("_seen.kind") == "B"
+    bracket = F.when(inside & F.col("_seen.committed"), "committed").when(inside, "open").otherwise("outside")
+    return seen.select("_event.*", F.when(inside, F.col("_seen.xid")).alias("xid"),
+                       F.when(inside & F.col("_seen.committed"), F.col("_seen.commit_ts")).alias("commit_ts"), bracket.alias("bracket"))
+
+
+def committed_events(frames: DataFrame, relations: DataFrame | None = None, group: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+    """Decoded events of committed transactions, with ``commit_ts`` and ``xid``: what a table can be rebuilt
+    from at any position or time. Changes of transactions that are still open are left to a later read."""
+    events = with_transactions(decode_pgoutput(frames, relations), frames, group, blocks)
+    return events.where(F.col("bracket") == "committed").drop("bracket")
+
+
+def encode_brackets(rows: DataFrame) -> DataFrame:
+    """Frames that open and close transactions, from rows ``(seq, lsn, tag, xid, commit_ts)``."""
+    number = lambda value, digits: F.unhex(F.lpad(F.hex(value.cast("bigint")), digits, "0"))
+    ts, at = number(ts_to_pg_micros(F.col("commit_ts")), 16), number(F.col("lsn"), 16)
+    opening = F.concat(F.lit("B").cast("binary"), at, ts, number(F.col("xid"), 8))
+    closing = F.concat(F.lit("C").cast("binary"), F.unhex(F.lit("00")), at, at, ts)
+    return rows.select("seq", "lsn", F.when(F.col("tag") == "B", opening).otherwise(closing).alias("data"))
+
+
 def encode_frames(rows: DataFrame) -> DataFrame:
     """Frames from rows ``(seq, lsn, tag, rel_oid, old, new)`` whose images are arrays of
     ``struct(kind, value)``: the inverse of parsing, as expressions, for replays and tests."""

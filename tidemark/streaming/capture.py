@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators.filters import split_rejects
 from tidemark.operators.history import fold_cells, merge_cells, table_from_cells
 from tidemark.sources.events import events_as_json
+from tidemark.session import stored_copy
 from tidemark.sources.frames import RELATION_SCHEMA, dml_messages, relation_messages, resolve_events
 
 FRAME_SCHEMA = "seq bigint, lsn bigint, data binary"
@@ -29,15 +30,21 @@ def change_stream(
     also: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Decode a stream of frames into an event table under ``out/events`` (and rejects under
-    ``out/rejects``), both by batch. Descriptors are kept under ``out/relations``, also by batch,
-    so a later batch knows them. A batch that is run again overwrites its own folders."""
+    ``out/rejects``), both by batch. The newest descriptor of each relation is kept under
+    ``out/relations``, by batch, so the next batch reads one row per relation, however long the stream
+    has run. A batch that is run again overwrites its own folders."""
     spark = frames.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark_ = batch.sparkSession
-        relation_messages(batch).write.mode("overwrite").parquet(f"{out}/relations/batch={batch_id}")
-        known = stored(spark_, f"{out}/relations", RELATION_SCHEMA + ", batch bigint")
-        resolved = resolve_events(dml_messages(batch), known.where(F.col("batch") <= batch_id).drop("batch"))
+        known = stored_copy(relation_messages(batch), "relations")
+        older = stored(spark_, f"{out}/relations", RELATION_SCHEMA + ", batch bigint")
+        if older is not None:
+            older = older.where(F.col("batch") < batch_id)
+            known = known.unionByName(older.where(F.col("batch") == older.agg(F.max("batch")).scalar()).drop("batch"))
+        newest = known.groupBy("rel_oid").agg(F.max_by(F.struct("*"), "seq").alias("_r")).select("_r.*")
+        newest.write.mode("overwrite").parquet(f"{out}/relations/batch={batch_id}")
+        resolved = stored_copy(resolve_events(dml_messages(batch), known), "resolved")
         good, rejects = split_rejects(resolved)
         good.write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
         rejects.select("seq", "lsn", "op", "reject").write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
