@@ -1,10 +1,11 @@
+import json
 import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import advice, filters, flow, joins, ratelimit
+from tidemark.operators import advice, decisions, filters, flow, joins, ratelimit
 from tidemark.operators.scale import BLOCK, neighbour, running, scan, with_blocks
 
 MIB = 1024 * 1024
@@ -145,6 +146,82 @@ def test_rules_in_blocks_equal_one_pass(spark, n):
     assert one == many and {"up", "down"} <= {r[5] for r in one}
 
 
+def ends_like_the_rule(summary, rule, rows, entries):
+    """A block's map leads from every entry state to where the rule itself ends."""
+    made = json.loads(json.dumps(summary.of(rows)))
+    for entry in entries:
+        assert summary.follow(made, entry) == json.loads(json.dumps(rule(rows, entry)[1])), entry
+
+
+def test_maps_of_the_five_percent_rule():
+    rng = random.Random(5)
+    for trial in range(150):
+        n = rng.randint(1, 40)
+        x, kind = 1000.0, rng.choice(["walk", "rise", "noise", "jumps"])
+        values = []
+        for _ in range(n):
+            x = {"walk": x * rng.uniform(0.96, 1.04), "rise": x * 1.013, "noise": rng.uniform(950, 1050), "jumps": rng.choice([700.0, 1000.0, 1049.0, 1051.0, 2000.0])}[kind]
+            values.append(x)
+        rows = pd.DataFrame({"v": values})
+        entries = [None] + [{"kept": rng.uniform(500, 3000)} for _ in range(30)] + [{"kept": v} for v in values]
+        ends_like_the_rule(filters.keep_summary("v", 5), lambda r, s: filters.keep_rule(r, s, "v", 5), rows, entries)
+    long = pd.DataFrame({"v": [1000 + (i * 37) % 90 for i in range(5000)] + [2000]})
+    ends_like_the_rule(filters.keep_summary("v", 5), lambda r, s: filters.keep_rule(r, s, "v", 5), long, [None, {"kept": 1045}, {"kept": 10}])
+
+
+def test_maps_of_the_scaling_rule():
+    rng = random.Random(6)
+    for trial in range(60):
+        at, ticks = 1000, []
+        for _ in range(rng.randint(1, 30)):
+            at += rng.choice([1, 5, 5, 5, 7, 70])
+            live = rng.choice([0, 1, 2, 3, 4])
+            ticks.append((at, live, rng.choice([None, live * 0.9, live * 0.9, live * 0.2, live * 0.2, 0.1])))
+        rows = pd.DataFrame(ticks, columns=["at_s", "live", "cores"])
+        entries = [None] + [{"hot": rng.randint(0, 2), "cold": rng.randint(0, 6), "acted": rng.choice([None, ticks[0][0] - rng.randint(1, 59)])} for _ in range(60)]
+        ends_like_the_rule(advice.scale_summary(4), lambda r, s: advice.scale_rule(r, s, 4), rows, entries)
+
+
+def test_maps_of_the_restart_rule():
+    rng = random.Random(7)
+    for trial in range(80):
+        at, seen, moved, made = 1000, 735, 1000, []
+        for _ in range(rng.randint(1, 60)):
+            at += rng.choice([1, 5, 20, 60])
+            if rng.random() < 0.15:
+                seen, moved = rng.choice([735, 800, 1200, 2016, 4000]), at
+            made.append((at, seen * MIB, seen * MIB, moved))
+        rows = pd.DataFrame(made, columns=["at_s", "ram_bytes", "seen", "moved_at"])
+        entries = [None] + [{"tuned": rng.choice([735, 900, 1200, 2016, 9000]) * MIB, "restarted": rng.choice([None, made[0][0] - rng.randint(1, 119)])} for _ in range(60)]
+        ends_like_the_rule(advice.restart_summary(), advice.restart_rule, rows, entries)
+
+
+def test_a_rising_series_needs_no_rounds(spark, monkeypatch):
+    """Kept values of a steady rise differ with the start for ever: each block is read twice all the same."""
+    monkeypatch.setattr(decisions, "rule_ends", None)
+    rows = [(1, i, 5 * i, int(735 * MIB * 1.013 ** i)) for i in range(600)]
+    memory = spark.createDataFrame(rows, "host int, seq bigint, at_s bigint, ram_bytes bigint").cache()
+    for run in (lambda b: filters.significant_change(memory, "ram_bytes", ["host"], ["seq"], blocks=b), lambda b: advice.retune_advice(memory, blocks=b)):
+        one, many = (sorted(map(tuple, run(b).collect())) for b in (1, 12))
+        assert one == many and one
+    kept = sum(advice.memory_rule(memory.orderBy("seq").toPandas(), None)[0]["reload"])
+    assert kept == sum(r.reload for r in advice.retune_advice(memory, blocks=12).collect()) > 100
+
+
+def test_retuning_equals_the_rule_row_by_row(spark):
+    rng = random.Random(8)
+    at, ram, rows = 0, 735, []
+    for i in range(900):
+        at += rng.choice([5, 5, 30])
+        ram = rng.choice([735, 760, 800, 1200, 2016]) if rng.random() < 0.1 else ram
+        rows.append((1, i, at, ram * MIB))
+    memory = spark.createDataFrame(rows, "host int, seq bigint, at_s bigint, ram_bytes bigint").cache()
+    want, _ = advice.memory_rule(memory.orderBy("seq").toPandas(), None)
+    for blocks in (1, 7):
+        got = advice.retune_advice(memory, blocks=blocks).orderBy("seq").collect()
+        assert {c: [r[c] for r in got] for c in want} == want and any(want["restart"])
+
+
 @pytest.mark.parametrize("n", [1, 4, 11, 60])
 def test_scans_in_blocks(spark, n):
     rng = random.Random(n)

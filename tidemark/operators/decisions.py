@@ -1,16 +1,21 @@
 """Running a decision rule whose next step depends on its own last decision.
 
-Such a rule is a chain, so a group cannot simply be split. Each block of a group is run from a
-guessed state; the state each block ends in becomes the entry state of the next one, and only
-blocks whose entry state changed are run again, until nothing changes. By induction over the
-blocks the result equals one run over the whole group. Rules forget their start quickly, so few
-rounds are needed. Rows reach a rule in order and in Arrow batches, so no task holds a whole block.
+Such a rule is a chain, so a group cannot simply be split. A rule with a summary is split in two
+passes: each block of a group is summarised, by itself, as a map from every state it may be entered
+in to the state it ends in; the maps are followed from block to block, which gives each block's entry
+state; then every block runs from there.
+
+A rule without a summary is run from guessed states instead; the state each block ends in becomes the
+entry state of the next one, and only blocks whose entry state changed are run again, until nothing
+changes. By induction over the blocks both equal one run over the whole group. Rows reach a rule in
+order and in Arrow batches, so no task holds a whole block; a summary sees the block's own columns.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +29,16 @@ from tidemark.session import cut_lineage, stored_copy
 Rule = Callable[[pd.DataFrame, dict | None], tuple[dict[str, list], dict]]
 
 
+@dataclass(frozen=True)
+class Summary:
+    """``of(rows of a block)`` is a map that can be written as JSON; ``follow(map, state)`` is the state the
+    block ends in when entered in a state (None: a fresh start). ``columns`` are all that ``of`` reads."""
+
+    of: Callable[[pd.DataFrame], dict]
+    follow: Callable[[dict, dict | None], dict]
+    columns: tuple[str, ...]
+
+
 def _stretches(batch: pd.DataFrame, keys: Sequence[str]) -> Iterator[pd.DataFrame]:
     """Pieces of a sorted batch with equal keys."""
     fresh = pd.Series(False, index=batch.index)
@@ -70,6 +85,56 @@ def rule_ends(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Ru
     return _in_order(df, keys, order).mapInPandas(run, schema)
 
 
+def block_maps(df: DataFrame, keys: Sequence[str], order: Sequence[str], summary: Summary) -> DataFrame:
+    """``(keys, _map)``: one row per block, its summary as JSON text."""
+    keys = list(keys)
+    needed = list(dict.fromkeys([*keys, *order, *summary.columns]))
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _map string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = None, []
+
+        def made() -> pd.DataFrame:
+            block = pd.concat(held)
+            return block[keys].head(1).assign(_map=json.dumps(summary.of(block[list(summary.columns)])))
+
+        for batch in batches:
+            for piece in _stretches(batch, keys):
+                key = _key_of(piece, keys)
+                if held and key != current:
+                    yield made()
+                    held = []
+                current = key
+                held.append(piece)
+        if held:
+            yield made()
+
+    return _in_order(df.select(*needed), keys, order).mapInPandas(run, schema)
+
+
+def followed(maps: DataFrame, group: Sequence[str], summary: Summary) -> DataFrame:
+    """``(group, block, _entry)`` from the maps of the blocks, which are read one after the other."""
+    keys = [*group, BLOCK]
+    types = dict(maps.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _entry string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            entries = []
+            for place, text in enumerate(batch["_map"].tolist()):
+                key = _key_of(batch.iloc[place:place + 1], group) if group else ()
+                if key != current:
+                    current, state = key, None
+                entries.append(None if state is None else json.dumps(state))
+                state = summary.follow(json.loads(text), state)
+            yield batch[keys].assign(_entry=entries)
+
+    dealt = maps.repartition(*group) if group else maps.coalesce(1)
+    return dealt.sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def _rule_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule, outputs: str) -> DataFrame:
     """The rows with the rule's output columns, each group started from its ``_entry``. The input
     columns pass through as they are; only the rule sees them as pandas values."""
@@ -101,9 +166,11 @@ def _rule_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: R
 
 def apply_rule(
     rows: Scan, rule: Rule, outputs: str, first_guess: Callable[[DataFrame], DataFrame] | None = None,
+    summary: Summary | None = None,
 ) -> Scan:
-    """Add the rule's ``outputs`` (a DDL list) to a scan. ``first_guess`` may turn the rows of cut
-    groups into ``(group, block, _entry)``, likely entry states of their blocks as JSON text."""
+    """Add the rule's ``outputs`` (a DDL list) to a scan, by way of its ``summary``. Without one,
+    ``first_guess`` may turn the rows of cut groups into ``(group, block, _entry)``, likely entry states
+    of their blocks as JSON text."""
     keys = [*rows.group, BLOCK]
     fresh = F.lit(None).cast("string")
     if rows.blocks == 1:
@@ -113,6 +180,10 @@ def apply_rule(
     rows = rows.map(lambda df: stored_copy(df, "scan"))
     large = rows.df.where(F.col(BLOCK) != UNCUT)
 
+    if summary is not None:
+        entries = stored_copy(followed(stored_copy(block_maps(large, keys, rows.order, summary), "maps"), rows.group, summary), "entries")
+        return rows.map(lambda df: _rule_rows(df.join(F.broadcast(entries), keys, "left"), keys, rows.order, rule, outputs))
+
     def run_from(entries: DataFrame) -> DataFrame:
         return cut_lineage(rule_ends(large.join(entries, keys), keys, rows.order, rule))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.decisions import apply_rule
+from tidemark.operators.decisions import Summary, apply_rule
 from tidemark.operators.scale import scan
 from tidemark.session import small_side
 
@@ -62,7 +64,8 @@ def drop_control_payloads(pushes: DataFrame) -> DataFrame:
     return pushes.where(~F.col("payload").isin(*CONTROL_PAYLOADS))
 
 
-def _keep_rule(rows: pd.DataFrame, state: dict | None, column: str, pct: int):
+def keep_rule(rows: pd.DataFrame, state: dict | None, column: str, pct: int) -> tuple[dict[str, list], dict]:
+    """Which values differ by more than ``pct`` percent from the last kept one."""
     kept = state["kept"] if state else None
     flags = []
     for value in rows[column].tolist():
@@ -73,15 +76,93 @@ def _keep_rule(rows: pd.DataFrame, state: dict | None, column: str, pct: int):
     return {"kept": flags}, {"kept": kept}
 
 
+class _Moves:
+    """Where values of a block move away from a kept one. Up and down are strict records: the first value
+    to leave a band around any number is one of them."""
+
+    CHUNK = 512
+
+    def __init__(self, values: Sequence, pct: int):
+        self.x, self.pct = np.asarray(values), pct
+        heads = np.arange(0, len(self.x), self.CHUNK)
+        self.most, self.least = np.maximum.reduceat(self.x, heads), np.minimum.reduceat(self.x, heads)
+        self.known: dict[int, int] = {}
+
+    def _left(self, kept, low, high):
+        """Whether numbers (or the range from low to high) are outside of the band around ``kept``."""
+        return ((high - kept) * 100 > kept * self.pct) | ((kept - low) * 100 > kept * self.pct)
+
+    def next(self, i: int) -> int:
+        """The first row after i that is kept if row i was, or -1."""
+        kept, at = self.x[i], i + 1
+        stop = min(len(self.x), (at // self.CHUNK + 1) * self.CHUNK)
+        while at < len(self.x):
+            out = self._left(kept, self.x[at:stop], self.x[at:stop])
+            if out.any():
+                return at + int(out.argmax())
+            chunk = -(-stop // self.CHUNK)
+            ahead = self._left(kept, self.least[chunk:], self.most[chunk:])
+            if not ahead.any():
+                return -1
+            at = (chunk + int(ahead.argmax())) * self.CHUNK
+            stop = min(len(self.x), at + self.CHUNK)
+        return -1
+
+    def end(self, i: int) -> int:
+        """The last row that is kept if row i is."""
+        path = []
+        while i not in self.known:
+            path.append(i)
+            following = self.next(i)
+            if following < 0:
+                self.known[i] = i
+                break
+            i = following
+        last = self.known[i]
+        self.known.update(dict.fromkeys(path, last))
+        return last
+
+    def records(self, up: bool) -> np.ndarray:
+        best = np.maximum.accumulate(self.x) if up else np.minimum.accumulate(self.x)
+        return np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
+
+
+def keep_summary(column: str, pct: int) -> Summary:
+    """The five percent rule by blocks: for each record its value, its row and the value the block ends
+    with when that row is kept. The state a block is entered in is kept by the first record outside of
+    its band; a block without one passes it on."""
+    def of(rows: pd.DataFrame) -> dict:
+        moves = _Moves(rows[column].to_numpy(), pct)
+        out = {}
+        for name, up in (("up", True), ("down", False)):
+            at = moves.records(up)
+            out[name] = [moves.x[at].tolist(), at.tolist(), [moves.x[moves.end(i)].item() for i in at.tolist()]]
+        return out
+
+    def follow(made: dict, state: dict | None) -> dict:
+        if state is None:
+            return {"kept": made["up"][2][0]}
+        kept, firsts = state["kept"], []
+        for name, sign in (("up", 1), ("down", -1)):
+            values, rows, ends = made[name]
+            place = bisect_left(values, True, key=lambda x: (x - kept) * sign * 100 > kept * pct)
+            if place < len(values):
+                firsts.append((rows[place], ends[place]))
+        return {"kept": min(firsts)[1]} if firsts else state
+
+    return Summary(of, follow, (column,))
+
+
 def significant_change(
     series: DataFrame, column: str, group: Sequence[str], order: Sequence[str], pct: int = 5,
     blocks: int | None = None,
 ) -> DataFrame:
     """Rows whose value moved by more than ``pct`` percent from the last kept one; the first row of
     a group is its reference. A value equal to the one before it is never kept, so repeats are
-    dropped before the chain runs."""
+    dropped before the chain runs. Values are numbers; rows with a null are left out."""
+    series = series.where(F.col(column).isNotNull())
     moved = F.col("_before").isNull() | (F.col("_before") != F.col(column))
-    rule = lambda rows, state: _keep_rule(rows, state, column, pct)
+    rule = lambda rows, state: keep_rule(rows, state, column, pct)
     steps = scan(series, group, order, blocks).neighbour({"_before": F.col(column)})
     steps = steps.map(lambda df: df.where(moved).drop("_before"))
-    return apply_rule(steps, rule, "kept boolean").done().where("kept").drop("kept")
+    return apply_rule(steps, rule, "kept boolean", summary=keep_summary(column, pct)).done().where("kept").drop("kept")

@@ -8,7 +8,7 @@ from tidemark.functions import coerce_pg, event_json, json_quote, json_value, ls
 from tidemark.operators import aggregates, filters, flow, history, joins, ordering
 from tidemark.plans.inputs import derived, table
 from tidemark.plans.registry import query
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, stored_copy
 from tidemark.sources import events as event_io
 from tidemark.sources import frames as frame_io
 from tidemark.streaming.capture import LiveTable, change_stream
@@ -255,7 +255,7 @@ def bracketed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     opening = whole.select((F.col("first") * 4).alias("seq"), "lsn", F.lit("B").alias("tag"), "xid", "commit_ts")
     closing = whole.where((F.col("xid") % 13 != 7) & (F.col("xid") != last)).select(
         (F.col("last") * 4 + 2).alias("seq"), "lsn", F.lit("C").alias("tag"), "xid", "commit_ts")
-    return frames.unionByName(frame_io.encode_brackets(opening.unionByName(closing)))
+    return stored_copy(frames.unionByName(frame_io.encode_brackets(opening.unionByName(closing))), "frames")
 
 
 @query("with_transactions", ["d1_changes"], f"""SELECT lsn, xid, CASE WHEN bracket = 'committed' THEN commit_ts END AS commit_ts, bracket
