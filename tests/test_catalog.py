@@ -175,3 +175,11 @@ def test_divergence(spark):
     rows = {r.profile: (r.bytes, r.packs, r.dead_before, r.dead_after, r.bytes_ratio) for r in aggregates.divergence_report(flush, dead, after, "throttled").collect()}
     assert rows == {"aggressive": (3000, 7, 85, 0, 30.0), "throttled": (100, 1, 85, 85, 1.0)}
     assert aggregates.service_availability(spark.createDataFrame([("a", True), ("a", False)], "phase string, ok boolean")).first().error_rate == 0.5
+
+
+def test_path_without_history(spark):
+    listed = names(spark, [seg(2, 0), seg(2, 1), seg(3, 1)])
+    none = spark.createDataFrame([], "timeline bigint, parent_tli bigint, switch_lsn bigint")
+    assert sorted(r.name for r in ordering.timeline_path(listed, none).collect()) == [seg(2, 0), seg(2, 1)]
+    assert [r.name for r in ordering.timeline_path(listed, none, latest=3).collect()] == [seg(3, 1)]
+    assert ordering.timeline_path(listed.limit(0), none).count() == 0

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, extras, joins, similarity
-from tidemark.sources import archive, statistics, telemetry
+from tidemark.sources import archive, statistics, storage, telemetry
 
 SEG = 16 << 20
 
@@ -69,6 +69,35 @@ def test_apply_retention(spark, tmp_path):
         archive.apply_retention(spark, store, 7)
 
 
+def test_archive_jobs_on_another_scheme(spark, tmp_path):
+    """Rows say what happened: files of a scheme of its own, one of them locked, one replaced by another."""
+    root, locked = str(tmp_path), seg(1, 0)
+
+    def vault(path):
+        if path.endswith(locked):
+            raise OSError("locked")
+        from pyarrow import fs
+        return fs.SubTreeFileSystem(root, fs.LocalFileSystem()), path.removeprefix("vault://")
+
+    schemes = {"vault": vault}
+    for i in range(12):
+        write(f"{root}/store/{i // 4}/{seg(1, i)}", b"content %d" % i)
+    listed = archive.scan_segment_catalog(spark, "vault:///store", schemes).collect()
+    assert sorted((r.name, r.path) for r in listed) == [(seg(1, i), f"vault:///store/{i // 4}/{seg(1, i)}") for i in range(12)]
+    write(f"{root}/local/{seg(1, 11)}.partial", b"x")
+    copied = archive.copy_missing_segments(spark, "vault:///store", "vault:///local", seg(1, 9), schemes=schemes).collect()
+    assert sorted((r.name, r.fetched, r.error) for r in copied) == [(seg(1, i), True, None) for i in (9, 10, 11)]
+    assert open(f"{root}/local/{seg(1, 10)}", "rb").read() == b"content 10"
+    assert storage.store_file(f"{root}/local/{seg(1, 10)}", b"other") == "another file is there"
+    assert open(f"{root}/local/{seg(1, 10)}", "rb").read() == b"content 10"
+    done = archive.apply_retention(spark, "vault:///store", 8, dry_run=False, schemes=schemes).where("action = 'delete'").collect()
+    assert sorted((r.name, r.deleted, r.error) for r in done) == [(locked, False, "locked")] + [(seg(1, i), True, None) for i in (1, 2, 3)]
+    assert sorted(r.name for r in archive.scan_segment_catalog(spark, "vault:///store", schemes).collect()) == [locked] + [seg(1, i) for i in range(4, 12)]
+    assert archive.scan_segment_catalog(spark, f"{root}/nowhere").count() == 0
+    with pytest.raises(OSError):
+        storage.open_path("tape://reel/1")
+
+
 @pytest.mark.parametrize("data,expected", [
     (b"hello world\n", [("hello world", False)]), (b"one\r\ntwo\r\n", [("one", False), ("two", False)]), (b"a\nno end", [("a", False), ("no end", False)]),
     (b"x" * 20 + b"\n", [("x" * 16, True)]), (b"x" * 16 + b"\n", [("x" * 16, True)]), (b"a\n" + b"x" * 16, [("a", False), ("x" * 16, False)]),

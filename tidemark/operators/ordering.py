@@ -134,8 +134,15 @@ def timeline_ranges(history: DataFrame, latest: int | None = None) -> DataFrame:
 
 def timeline_path(catalog: DataFrame, history: DataFrame, latest: int | None = None) -> DataFrame:
     """Segments to replay, following ancestors up to their switch points and then the child. The
-    segment that holds a switch point is taken from the child, which starts with a copy of it."""
-    ranges = timeline_ranges(history, latest).withColumn("prefix", F.lpad(F.hex("timeline"), 8, "0"))
+    segment that holds a switch point is taken from the child, which starts with a copy of it. A timeline
+    without a history file has no ancestors: it is all of the path if it is asked for, or, where no
+    timeline has a file, if it is the catalog's oldest."""
+    ranges = timeline_ranges(history, latest)
+    if ranges.isEmpty():  # one row per ancestor
+        alone = F.lit(latest).cast("bigint") if latest is not None else F.conv(F.min(F.substring("name", 1, 8)), 16, 10).cast("bigint")
+        whole = [F.lit(0).cast("bigint").alias("from_lsn"), F.lit(None).cast("bigint").alias("to_lsn")]
+        ranges = complete_segments(catalog).agg(F.count("*"), alone.alias("timeline")).select("timeline", *whole)
+    ranges = ranges.withColumn("prefix", F.lpad(F.hex("timeline"), 8, "0"))
     ranges = small_side(ranges.select("prefix", "from_lsn", "to_lsn"))
     end = (segment_no_of_name(F.col("name")) + 1) * F.lit(SEGMENT_BYTES)
     named = complete_segments(catalog).withColumns({"end_lsn": end, "prefix": F.upper(F.substring("name", 1, 8))})

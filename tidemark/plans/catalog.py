@@ -11,7 +11,9 @@ from tidemark.functions import (
 from tidemark.operators import aggregates, filters, joins, ordering, sets
 from tidemark.plans.inputs import derived, table
 from tidemark.plans.registry import query
-from tidemark.sources.archive import catalog_rows
+from tidemark.session import cut_lineage, scratch_path
+from tidemark.sources.archive import apply_retention, catalog_rows, copy_missing_segments, fetch_segments, scan_segment_catalog
+from tidemark.sources.storage import open_path, store_file
 
 # Segment 1,024 of timeline 1 in the derived catalog.
 REDO = "000000010000000400000000"
@@ -193,3 +195,67 @@ SELECT timeline, seg_no, concat(lpad(hex(timeline), 8, '0'), lpad(hex(seg_no //
 FROM q GROUP BY timeline, seg_no""")
 def segment_coverage(spark, sf_dir):
     return aggregates.segment_coverage(derived(spark, sf_dir, "d15_chunks"))
+
+
+# Archive files on storage: one segment per supplier, on two timelines; every third one is there locally.
+STORED_SQL = """s AS (SELECT s_suppkey AS no, concat(lpad(hex(1 + s_suppkey % 2), 8, '0'), lpad(hex(s_suppkey // 256), 8, '0'), lpad(hex(s_suppkey % 256), 8, '0')) AS name,
+ s_name AS content, s_suppkey % 3 = 0 AS here FROM supplier)"""
+
+
+def stored_archive(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Folders of an archive and of a local copy with gaps, written by tasks."""
+    archive, local = (scratch_path(spark, x) for x in ("archive", "local"))
+    no = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(segment_name(no * (1 << 24), 1 + no % 2).alias("name"), F.col("s_name").alias("content"), (no % 3 == 0).alias("here"))
+
+    def write(batches):
+        for batch in batches:
+            for name, content, here in zip(batch["name"], batch["content"], batch["here"]):
+                for folder in (archive, local) if here else (archive,):
+                    system, inside = open_path(folder)
+                    system.create_dir(inside)
+                    store_file(f"{folder}/{name}", content.encode())
+            yield batch[["name"]]
+
+    rows.repartition(4).mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    return archive, local
+
+
+@query("scan_segment_catalog", [], f"WITH {STORED_SQL} SELECT name, 'complete' AS state, 1 + no % 2 AS timeline, no AS seg_no, length(content) AS length FROM s")
+def stored_catalog(spark, sf_dir):
+    return scan_segment_catalog(spark, stored_archive(spark, sf_dir)[0]).select("name", "state", "timeline", "seg_no", "length")
+
+
+@query("fetch_segments", [], f"WITH {STORED_SQL} SELECT name, length(content) AS length, md5(content) AS digest FROM s WHERE here")
+def fetched_segments(spark, sf_dir):
+    archive, local = stored_archive(spark, sf_dir)
+    found = fetch_segments(spark, archive, scan_segment_catalog(spark, local).select("name"))
+    return found.select("name", "length", F.md5("content").alias("digest"))
+
+
+@query("copy_missing_segments", [], f"""WITH {STORED_SQL} SELECT name, true AS fetched, CAST(NULL AS VARCHAR) AS error, md5(content) AS digest FROM s
+WHERE NOT here AND name >= '00000001000000000000000A'""")
+def copied_segments(spark, sf_dir):
+    """What was copied, with the digest of what is in the local folder afterwards."""
+    archive, local = stored_archive(spark, sf_dir)
+    report = cut_lineage(copy_missing_segments(spark, archive, local, "00000001000000000000000A"))
+    return report.join(fetch_segments(spark, local, report).select("name", F.md5("content").alias("digest")), "name")
+
+
+@query("apply_retention", [], f"""WITH {STORED_SQL}, r AS (SELECT name, row_number() OVER (PARTITION BY substr(name, 1, 8) ORDER BY name DESC) AS rn FROM s)
+SELECT name, CASE WHEN rn <= 8 THEN 'keep' ELSE 'delete' END AS action, rn > 8 AS deleted, rn <= 8 AS still_there FROM r""")
+def applied_retention(spark, sf_dir):
+    archive, _ = stored_archive(spark, sf_dir)
+    done = apply_retention(spark, archive, 8, dry_run=False)
+    left = scan_segment_catalog(spark, archive).select("name", F.lit(True).alias("there"))
+    return done.join(left, "name", "left").select("name", "action", "deleted", F.coalesce("there", F.lit(False)).alias("still_there"))
+
+
+@query("timeline_path_alone", ["d2_catalog"], """
+SELECT timeline, name, seg_no * 16777216 AS start_lsn, (seg_no + 1) * 16777216 AS end_lsn FROM d2_catalog
+WHERE name NOT LIKE '%.partial' AND timeline = (SELECT min(timeline) FROM d2_catalog WHERE name NOT LIKE '%.partial')""")
+def timeline_path_alone(spark, sf_dir):
+    """No history file: the oldest timeline from its beginning."""
+    none = spark.createDataFrame([], "timeline bigint, parent_tli bigint, switch_lsn bigint")
+    path = ordering.timeline_path(catalog(spark, sf_dir).select("timeline", "name"), none)
+    return path.select("timeline", "name", "start_lsn", "end_lsn")

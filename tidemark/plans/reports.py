@@ -8,7 +8,7 @@ from tidemark.operators import aggregates, extras, joins, ordering, similarity
 from tidemark.plans.inputs import derived, table
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
-from tidemark.sources import telemetry
+from tidemark.sources import statistics, telemetry
 
 
 def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -239,3 +239,28 @@ SELECT part_start::TIMESTAMP AS part_start, rows, first_value, last_value, (part
  date_diff('day', part_start, (SELECT max(part_start) FROM p)) >= 730 AS expired FROM p""")
 def partition_report(spark, sf_dir):
     return extras.partition_report(table(spark, sf_dir, "orders"), "o_orderdate", "day", retain=730)
+
+
+@query("read_bench_log", [], """
+WITH l AS (SELECT p_brand AS run, p_partkey AS no, CASE WHEN p_partkey % 4 = 0 OR p_brand = 'Brand#7' THEN NULL ELSE p_size + 0.5 END AS tps FROM part)
+SELECT run, coalesce(arg_max(tps, CASE WHEN tps IS NOT NULL THEN no END), 0.0)::DOUBLE AS tps FROM l GROUP BY run""")
+def read_bench_log(spark, sf_dir):
+    """Run logs written as one file per run and read back; one run never says how fast it was."""
+    path = scratch_path(spark, "bench")
+    quiet = (F.col("p_partkey") % 4 == 0) | (F.col("p_brand") == "Brand#7")
+    said = F.when(quiet, "starting vacuum").otherwise(F.concat(F.lit("tps = "), (F.col("p_size") + 0.5).cast("string"), F.lit(" (without initial connection time)")))
+    lines = table(spark, sf_dir, "part").select(F.regexp_replace("p_brand", "#", "-").alias("run"), "p_partkey", said.alias("value"))
+    lines.repartition("run").sortWithinPartitions("run", "p_partkey").select("run", "value").write.partitionBy("run").text(path)
+    runs = telemetry.read_bench_log(spark, path)
+    return runs.select(F.regexp_replace(F.regexp_extract("run", "run=([^/]+)", 1), "-", "#").alias("run"), "tps")
+
+
+@query("read_stat_tables", [], """
+SELECT user_id AS pid, 'client backend' AS backend_type, event_type AS state, count(*) AS n FROM events GROUP BY ALL""")
+def read_stat_tables(spark, sf_dir):
+    """Stored snapshots of the activity statistics; the table holds more than the reports read."""
+    path = scratch_path(spark, "stats")
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("pid"), F.lit("client backend").alias("backend_type"), F.col("event_type").alias("state"), "value")
+    seen.write.parquet(f"{path}/pg_stat_activity")
+    activity = statistics.read_stat_tables(spark, {"path": path}, ["activity"])["activity"]
+    return activity.groupBy(*activity.columns).agg(F.count("*").alias("n"))

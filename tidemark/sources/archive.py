@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.segments import is_history, is_partial, is_segment, parse_segment_name
 from tidemark.operators.joins import missing_segments
 from tidemark.operators.ordering import MIN_KEEP, retention_plan
 from tidemark.session import cut_lineage
-
-
-def _file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+from tidemark.sources.storage import Schemes, delete_file, list_files, read_file, store_file
 
 
 def catalog_rows(files: DataFrame) -> DataFrame:
@@ -32,95 +25,75 @@ def catalog_rows(files: DataFrame) -> DataFrame:
         "start_lsn": s["start_lsn"], "end_lsn": s["end_lsn"]})
 
 
-def scan_segment_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Listing of an archive folder; file contents are not read."""
-    files = spark.read.format("binaryFile").load(path).select(
-        _file_name(F.col("path")).alias("name"), "path", "length", "modificationTime")
-    return catalog_rows(files)
-
+def scan_segment_catalog(spark: SparkSession, path: str, schemes: Schemes | None = None) -> DataFrame:
+    """Listing of an archive folder and the folders in it, made by tasks; file contents are not read."""
+    return catalog_rows(list_files(spark, path, schemes).select("name", "path", "length", F.col("modified").alias("modificationTime")))
 
-def _read_file(path: str) -> bytes | None:
-    """Content of a file on any file system pyarrow knows; nothing when it is gone."""
-    try:
-        if path.startswith("file:"):
-            with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as file:
-                return file.read()
-        system, inside = fs.FileSystem.from_uri(path)
-        with system.open_input_stream(inside) as file:
-            return file.read()
-    except FileNotFoundError:
-        return None
 
-
-def fetch_segments(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
+def fetch_segments(spark: SparkSession, path: str, names: DataFrame, schemes: Schemes | None = None) -> DataFrame:
     """Bytes of the named segments; a name that is not in the archive yields no row. Names meet the
     listing, which has no contents, and then the tasks open only the files that are wanted."""
-    listed = spark.read.format("binaryFile").load(path).select(_file_name(F.col("path")).alias("name"), "path", "length")
+    listed = list_files(spark, path, schemes).select("name", "path", "length")
     wanted = listed.where(is_segment(F.col("name"))).join(names.select("name").distinct(), "name", "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                content = _read_file(row["path"])
+                content = read_file(row["path"], schemes)
                 if content is not None:
                     yield pa.RecordBatch.from_pylist([{**row, "content": content}])
 
     return wanted.select("name", "path", "length").mapInArrow(read, "name string, path string, length bigint, content binary")
 
 
-def copy_missing_segments(spark: SparkSession, archive: str, local: str, redo: str, per_timeline: bool = False) -> DataFrame:
-    """Store every missing segment at or after redo under ``local``, a folder all workers share,
-    and report ``(name, fetched, error)``. A file is written under another name and then linked in
-    place, which never overwrites; a failed item is reported and the others go on. Running the job
-    again, or a task again after a lost executor, copies nothing twice."""
-    missing = missing_segments(scan_segment_catalog(spark, archive), scan_segment_catalog(spark, local), redo, per_timeline)
+def copy_missing_segments(spark: SparkSession, archive: str, local: str, redo: str, per_timeline: bool = False,
+                          schemes: Schemes | None = None) -> DataFrame:
+    """Store every missing segment at or after redo under ``local``, a folder all workers reach, and
+    report ``(name, fetched, error)``: fetched only if the file is there with the archive's content. A
+    failed item is reported and the others go on. Running the job again, or a task again after a lost
+    executor, copies nothing twice and overwrites nothing. The missing set is fixed before the first copy."""
+    missing = missing_segments(scan_segment_catalog(spark, archive, schemes), scan_segment_catalog(spark, local, schemes), redo, per_timeline)
+    missing = cut_lineage(missing)
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            outcome = []
-            for name, content in zip(batch["name"], batch["content"]):
-                target, staged = os.path.join(local, name), os.path.join(local, f".{name}.{uuid.uuid4().hex}")
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    with open(staged, "wb") as out:
-                        out.write(content)
-                        out.flush()
-                        os.fsync(out.fileno())
-                    try:
-                        os.link(staged, target)
-                    except FileExistsError:
-                        pass
-                    finally:
-                        os.unlink(staged)
-                    outcome.append((name, True, None))
-                except OSError as problem:
-                    outcome.append((name, False, str(problem)))
-            yield pd.DataFrame(outcome, columns=["name", "fetched", "error"])
-
-    fetched = fetch_segments(spark, archive, missing)
-    return fetched.select("name", "content").mapInPandas(store, "name string, fetched boolean, error string")
-
-
-def apply_retention(spark: SparkSession, path: str, keep: int, dry_run: bool = True) -> DataFrame:
-    """Retention plan of an archive folder; with ``dry_run=False`` the workers also delete what the
-    plan says. The plan is a fixed table before anything is deleted."""
+                    problem = store_file(f"{local.rstrip('/')}/{name}", content, schemes)
+                except OSError as error:
+                    problem = str(error)
+                yield pa.RecordBatch.from_pylist([{"name": name, "fetched": problem is None, "error": problem}], schema=pa.schema(
+                    [("name", pa.string()), ("fetched", pa.bool_()), ("error", pa.string())]))
+
+    fetched = fetch_segments(spark, archive, missing, schemes)
+    return fetched.select("name", "content").mapInArrow(store, "name string, fetched boolean, error string")
+
+
+def apply_retention(spark: SparkSession, path: str, keep: int, dry_run: bool = True, schemes: Schemes | None = None) -> DataFrame:
+    """Retention plan of an archive folder ``(name, action, deleted, error)``; with ``dry_run=False`` the
+    workers also delete what the plan says. ``deleted`` means the file is gone; else ``error`` says what
+    kept it. The plan is a fixed table before anything is deleted."""
     if keep < MIN_KEEP:
         raise ValueError(f"keep must be at least {MIN_KEEP}")
-    catalog = scan_segment_catalog(spark, path).select("name", "path")
+    catalog = scan_segment_catalog(spark, path, schemes).select("name", "path")
     plan = retention_plan(catalog, keep)
     if dry_run:
-        return plan.select("name", "action", F.lit(False).alias("deleted"))
+        return plan.select("name", "action", F.lit(False).alias("deleted"), F.lit(None).cast("string").alias("error"))
     fixed = cut_lineage(plan)
 
-    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = []
-            for file, action in zip(batch["path"], batch["action"]):
+            rows = []
+            for name, file, action in zip(*(batch.column(c).to_pylist() for c in ("name", "path", "action"))):
+                problem = None
                 if action == "delete":
                     try:
-                        os.unlink(file.removeprefix("file:"))
-                    except FileNotFoundError:
-                        pass
-                gone.append(action == "delete")
-            yield pd.DataFrame({"name": batch["name"], "action": batch["action"], "deleted": gone})
-
-    return cut_lineage(fixed.mapInPandas(prune, "name string, action string, deleted boolean"))
+                        delete_file(file, schemes)
+                    except OSError as error:
+                        problem = str(error)
+                rows.append((name, action, action == "delete" and problem is None, problem))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.string()))],
+                                             ["name", "action", "deleted", "error"])
+
+    return cut_lineage(fixed.mapInArrow(prune, "name string, action string, deleted boolean, error string"))
