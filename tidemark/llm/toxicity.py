@@ -18,7 +18,8 @@ from tidemark.llm.words import row_starts, shingle_hashes, text_buffers, word_ch
 from tidemark.session import stored_copy
 
 SAMPLE = 12_000
-LEXICON = 2_000
+# A term of the lexicon occurs in so many toxic texts of the sample, with log odds of so much.
+LEAST_TEXTS, LEAST_ODDS = 2, 2.0
 _PREFIXES = (4, 5)
 _NEAR = 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -92,8 +93,9 @@ def _one_of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(low[:, 0]), pa.array(low[:, 1])], [*batch.schema.names, "low1", "low2"])
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Terms of (text, label) rows with their log odds for label 1, at most ``size`` of them.
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Terms of (text, label) rows with their log odds for label 1: all that LEAST_TEXTS and LEAST_ODDS
+    admit, which the bounded sample limits.
 
     Copies and most near copies count once: of rows (doc_id, label, text) with the same smallest shingle the
     one with the smallest doc_id is kept.
@@ -105,8 +107,8 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
     toxic, total = single.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (total - toxic + 1))
     counted = single.mapInArrow(_sample_terms, "term string, label double").groupBy("term").agg(
-        F.sum("label").alias("toxic"), F.count("*").alias("n")).where("toxic >= 2")
-    best = counted.withColumn("odds", odds).where("odds >= 2").orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(size)
+        F.sum("label").alias("toxic"), F.count("*").alias("n")).where(F.col("toxic") >= LEAST_TEXTS)
+    best = counted.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy("term")
     return {row.term: float(row.odds) for row in best.collect()}
 
 
