@@ -8,7 +8,7 @@ from test_events import EVENT, TYPES, as_dict, insert, relation, replay, update
 from tidemark.operators import advice, aggregates, ratelimit
 from tidemark.operators import history
 from tidemark.sources import events as event_io
-from tidemark.streaming import capture, retention, stateful
+from tidemark.streaming import capture, live, monitor, retention, stateful
 
 SEG = 16 << 20
 
@@ -73,8 +73,50 @@ def test_fan_out_isolates_a_failing_sink(spark, tmp_path):
     assert capture.progress_table(spark, f"{base}/progress").first().lsn == 5
 
 
-def test_live_table_equals_replay(spark, tmp_path):
-    rng = random.Random(8)
+def test_fan_out_goes_on_after_a_restart(spark, tmp_path):
+    base = str(tmp_path)
+    df = spark.createDataFrame([(i, i * 10, "insert", "public", "t", None, {"id": str(i)}, TYPES) for i in range(9)], EVENT)
+    parts(df, f"{base}/in", 3, ["seq"])
+    down, taken = {"b"}, {"a": {}, "b": {}}
+
+    def sink(name):
+        def write(batch, batch_id):
+            rows = sorted(r.seq for r in batch.collect())
+            if name in down and batch_id == 1:
+                raise RuntimeError("sink is down")
+            assert batch.count() == len(rows)
+            taken[name][batch_id] = rows
+        return write
+
+    watch = monitor.StreamMonitor(spark, f"{base}/seen")
+    spark.streams.addListener(watch)
+    try:
+        for again in (False, True):
+            running = capture.fan_out(lambda: stream(spark, f"{base}/in", EVENT), {"a": sink("a"), "b": sink("b")}, f"{base}/cp")
+            running["a"].awaitTermination()
+            if again:
+                running["b"].awaitTermination()
+            else:
+                with pytest.raises(Exception, match="sink is down"):
+                    running["b"].awaitTermination()
+                assert len(taken["a"]) == 3 and list(taken["b"]) == [0]
+            down.clear()
+            watch.settle()
+    finally:
+        spark.streams.removeListener(watch)
+    assert taken["a"] == taken["b"] and sorted(sum(taken["b"].values(), [])) == list(range(9))
+    seen = {r.consumer: (r.starts, r.running, r.batch, r.events, r.lsn) for r in watch.consumers().collect()}
+    assert seen == {"a": (2, False, 2, 9, 80), "b": (2, False, 2, 9, 80)}
+    # the files tell the same, and a new monitor goes on from them
+    assert sorted(map(tuple, monitor.progress_of(spark, f"{base}/seen").collect())) == sorted(map(tuple, watch.consumers().collect()))
+    assert sorted(map(tuple, monitor.StreamMonitor(spark, f"{base}/seen").consumers().collect())) == sorted(map(tuple, watch.consumers().collect()))
+    runs, nobody = spark.range(3), spark.range(0)
+    assert aggregates.running_stats(watch.consumers()).first().asDict() == aggregates.stream_stats(df, runs, nobody).first().asDict()
+    assert aggregates.running_stats(watch.consumers().limit(0)).first().last_flush_lsn == "0/00000000"
+
+
+def moving_steps(seed=8, moves=0.3):
+    rng = random.Random(seed)
     steps, live = [], {}
     for i in range(90):
         key = str(rng.randint(1, 6))
@@ -84,7 +126,7 @@ def test_live_table_equals_replay(spark, tmp_path):
         elif rng.random() < 0.2:
             live.pop(key)
             steps.append((i, "delete", {"id": key}, None))
-        elif rng.random() < 0.3 and (free := [str(k) for k in range(1, 7) if str(k) not in live]):
+        elif rng.random() < moves and (free := [str(k) for k in range(1, 7) if str(k) not in live]):
             new = {"id": free[0], "a": str(i)}
             steps.append((i, "update", {"id": key, "a": None, "b": None}, new))
             live[free[0]] = {**live.pop(key), **new}
@@ -92,15 +134,60 @@ def test_live_table_equals_replay(spark, tmp_path):
             new = {"id": key, "a": str(i)}
             steps.append((i, "update", None, new))
             live[key] = {**live[key], **new}
-    df = spark.createDataFrame([(i, lsn, op, "public", "t", old, new, TYPES) for i, (lsn, op, old, new) in enumerate(steps)], EVENT)
-    base = str(tmp_path)
+    return steps
+
+
+def step_events(spark, steps):
+    return spark.createDataFrame([(i, lsn, op, "public", "t", old, new, TYPES) for i, (lsn, op, old, new) in enumerate(steps)], EVENT)
+
+
+def test_live_table_equals_replay(spark, tmp_path):
+    steps = moving_steps()
+    df, base = step_events(spark, steps), str(tmp_path)
     parts(df, f"{base}/in", 3, ["seq"])
-    capture.live_table(stream(spark, f"{base}/in", EVENT), f"{base}/live", ["id"], f"{base}/cp").awaitTermination()
-    table = capture.LiveTable(spark, f"{base}/live", ["id"])
+    live.live_table(stream(spark, f"{base}/in", EVENT), f"{base}/live", ["id"], f"{base}/cp", buckets=3, fanout=2, keep=2).awaitTermination()
+    table = live.LiveTable(spark, f"{base}/live", ["id"], keep=2)
     assert as_dict(table.read()) == replay(steps) == as_dict(history.table_as_of(df, ["id"]))
-    table.compact(1)
+    # three batches at two parts a level: two in one part, one in another; options are those of the first batch
+    now = table.manifest()
+    assert [(p["level"], p["first"], p["last"]) for p in now["parts"]] == [(1, 0, 1), (0, 2, 2)] and (now["buckets"], now["fanout"]) == (3, 2)
+    # only the kept versions and their parts are there
+    assert len(table.versions()) == 2
+    listed = {"part=" + p["name"] for v in table.versions() for p in table.manifest(v)["parts"]}
+    assert set(table._names("parts")) == listed
+    # a batch that is run again changes nothing
     table.apply(df.where("seq >= 60"), 2)
+    assert table.manifest() == now
+    # a lookup reads the buckets of its keys
+    some = spark.createDataFrame([("3",), ("5",), ("no such key",)], "id string")
+    assert as_dict(table.lookup(some)) == {k: v for k, v in replay(steps).items() if k in ("3", "5")}
+    plan = table.lookup(some.limit(1))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_live_table_of_one_version(spark, tmp_path):
+    steps = moving_steps(3, moves=0)
+    df, path = step_events(spark, steps), str(tmp_path / "live")
+    table = live.LiveTable(spark, path, ["id"])
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    table.apply(df.where("seq < 40"), 0)
+    table.apply(df.where("false"), 1)
+    table.apply(df.where("seq >= 40"), 2)
+    before = table.read()
+    table.compact()
+    assert len(table.manifest()["parts"]) == 1
+    # what was opened before the fold still reads, older versions too, and a late writer is refused
+    assert as_dict(before) == as_dict(table.read()) == replay(steps)
+    assert as_dict(table.read(version=1)) == replay(steps[:40])
+    with pytest.raises(RuntimeError, match="another writer"):
+        table._commit(table.manifest(1), [], 9)
     assert as_dict(table.read()) == replay(steps)
+    # a part without a manifest is that of a failed attempt: never read, removed later
+    table._write(history.fold_cells(df, ["id"]), 0, 3, 3, 16)
+    assert as_dict(table.read()) == replay(steps)
+    table.vacuum()
+    assert len(table._names("parts")) == 4
 
 
 def test_segments_assemble_like_the_batch(spark, tmp_path):
@@ -118,6 +205,30 @@ def test_segments_assemble_like_the_batch(spark, tmp_path):
     assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_segments_leave_the_store(spark, tmp_path):
+    base = str(tmp_path)
+    chunks = [(1, 0, SEG), (1, SEG, 500), (1, SEG, 500), (1, 0, 10), (1, SEG - 1, 1), (2, 3 * SEG - 5, 5)]
+    df = spark.createDataFrame(chunks, "timeline int, start_lsn bigint, n_bytes bigint")
+    df.coalesce(1).write.parquet(f"{base}/in")
+    rows = []
+    whole = stateful.assemble_segments(stream(spark, f"{base}/in", df.schema), settle_seconds=4, give_up_seconds=4)
+    query = (whole.writeStream.outputMode("update").foreachBatch(lambda b, i: rows.extend(map(tuple, b.collect())))
+             .option("checkpointLocation", f"{base}/cp").trigger(processingTime="500 milliseconds").start())
+    state = lambda p: sum(o["numRowsTotal"] for o in p["stateOperators"])
+    sizes, deadline = [], time.time() + 90
+    try:
+        while time.time() < deadline and (len(rows) < 4 or not sizes or sizes[-1]):
+            time.sleep(0.3)
+            assert query.exception() is None
+            sizes = [state(p) for p in query.recentProgress]
+    finally:
+        query.stop()
+    assert max(sizes) > 0 and sizes[-1] == 0
+    name = lambda t, n: f"{t:08X}{0:08X}{n:08X}"
+    assert sorted(rows) == [(1, 0, SEG, True, True, False, name(1, 0)), (1, 1, 500, False, False, True, name(1, 1)),
+                            (2, 2, 5, True, False, False, name(2, 2)), (2, 2, 5, True, False, True, name(2, 2))]
+
+
 def test_rules_stream_like_the_batch(spark, tmp_path):
     base = str(tmp_path)
     lines = spark.range(900).select((F.col("id") % 2).cast("string").alias("stream"), F.col("id").alias("seq"), (F.col("id") * 300).alias("at_us"))

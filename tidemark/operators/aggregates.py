@@ -27,6 +27,17 @@ def stream_stats(events: DataFrame, runs: DataFrame, subscribers: DataFrame) ->
     )
 
 
+def running_stats(consumers: DataFrame) -> DataFrame:
+    """The same counters of a running system, from the rows of a ``StreamMonitor``: every consumer sees
+    every event, so the one that is ahead gives events and position, and starts after the first of each
+    are reconnects."""
+    return consumers.agg(
+        F.coalesce(F.max("events"), F.lit(0)).cast("bigint").alias("events_total"),
+        F.coalesce(F.sum(F.greatest(F.col("starts") - 1, F.lit(0))), F.lit(0)).cast("bigint").alias("reconnects_total"),
+        lsn_format(F.coalesce(F.max("lsn"), F.lit(0).cast("bigint"))).alias("last_flush_lsn"),
+        F.count_if("running").alias("subscribers"))
+
+
 def flush_scoreboard(flush: DataFrame, guest: DataFrame | None = None, after_line: str | None = None) -> DataFrame:
     """Per run: sums of the flush counters, flush cycles, write amplification, coalescing and pack
     fill. ``guest`` holds ``(run, guest_bytes, guest_ops)``. With ``after_line`` naming a line-number

@@ -14,6 +14,7 @@ from tidemark.plans.registry import query
 from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources.archive import apply_retention, catalog_rows, copy_missing_segments, fetch_segments, scan_segment_catalog
 from tidemark.sources.storage import open_path, store_file
+from tidemark.streaming.stateful import assemble_segments
 
 # Segment 1,024 of timeline 1 in the derived catalog.
 REDO = "000000010000000400000000"
@@ -185,18 +186,37 @@ def survivors(spark, sf_dir):
     return sets.survivors(names, names.where(~F.col("missing_locally")))
 
 
-@query("segment_coverage", ["d15_chunks"], """
+COVERAGE_SQL = """
 WITH p AS (SELECT CAST(timeline AS BIGINT) AS timeline, s.seg_no, greatest(start_lsn, s.seg_no * 16777216) AS lo, least(start_lsn + n_bytes, (s.seg_no + 1) * 16777216) AS hi
  FROM d15_chunks, LATERAL (SELECT unnest(generate_series(start_lsn // 16777216, (start_lsn + n_bytes - 1) // 16777216)) AS seg_no) s),
 q AS (SELECT *, max(hi) OVER (PARTITION BY timeline, seg_no ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p)
 SELECT timeline, seg_no, concat(lpad(hex(timeline), 8, '0'), lpad(hex(seg_no // 256), 8, '0'), lpad(hex(seg_no % 256), 8, '0')) AS name,
  CAST(sum(greatest(hi - greatest(lo, coalesce(reach, 0)), 0)) AS BIGINT) AS bytes, min(lo) AS first_lsn, max(hi) AS last_lsn,
  max(hi) = (seg_no + 1) * 16777216 AS sealed, sum(greatest(hi - greatest(lo, coalesce(reach, 0)), 0)) = 16777216 AS covered
-FROM q GROUP BY timeline, seg_no""")
+FROM q GROUP BY timeline, seg_no"""
+
+
+@query("segment_coverage", ["d15_chunks"], COVERAGE_SQL)
 def segment_coverage(spark, sf_dir):
     return aggregates.segment_coverage(derived(spark, sf_dir, "d15_chunks"))
 
 
+@query("assemble_segments", ["d15_chunks"], f"SELECT timeline, seg_no, name, bytes, sealed, covered FROM ({COVERAGE_SQL}) c WHERE sealed")
+def assembled_segments(spark, sf_dir):
+    """Segments put together by a stream over the chunks; the newest row of each."""
+    base, session = scratch_path(spark, "assembly"), spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = derived(spark, sf_dir, "d15_chunks").select("timeline", "start_lsn", "n_bytes")
+    chunks.repartition(2).write.parquet(f"{base}/chunks")
+    stream = session.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/chunks")
+    keep = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/states/part={batch}")
+    (assemble_segments(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    newest = F.max_by(F.struct("name", "bytes", "sealed", "covered"), "batch")
+    return spark.read.parquet(f"{base}/states").groupBy("timeline", "seg_no").agg(newest.alias("s")).select("timeline", "seg_no", "s.*")
+
+
 # Archive files on storage: one segment per supplier, on two timelines; every third one is there locally.
 STORED_SQL = """s AS (SELECT s_suppkey AS no, concat(lpad(hex(1 + s_suppkey % 2), 8, '0'), lpad(hex(s_suppkey // 256), 8, '0'), lpad(hex(s_suppkey % 256), 8, '0')) AS name,
  s_name AS content, s_suppkey % 3 = 0 AS here FROM supplier)"""

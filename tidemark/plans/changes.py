@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import coerce_pg, event_json, json_quote, json_value, lsn_format, typed_view
@@ -11,7 +12,9 @@ from tidemark.plans.registry import query
 from tidemark.session import scratch_path, stored_copy
 from tidemark.sources import events as event_io
 from tidemark.sources import frames as frame_io
-from tidemark.streaming.capture import LiveTable, change_stream
+from tidemark.streaming.capture import change_stream, confirmed, fan_out, json_sink, progress_table
+from tidemark.streaming.live import LiveTable, live_table as keep_table
+from tidemark.streaming.monitor import StreamMonitor
 
 BASE = 4261412864
 STEP = 65536
@@ -112,15 +115,82 @@ def apply_changes(spark, sf_dir):
     return _typed_state(state)
 
 
+def in_batches(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """The rows as a stream of about n batches, from files that hold ranges of an order."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "arrivals")
+    rows.repartitionByRange(n, order).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("live_table", ["d1_changes"], as_of_sql("1 = 1"))
 def live_table(spark, sf_dir):
-    log = event_log(spark, sf_dir)
-    live = LiveTable(spark, scratch_path(spark, "live"), ["k"])
-    for batch in range(3):
-        live.apply(log.where(F.pmod(F.col("seq"), F.lit(3)) == batch), batch)
-    live.compact(1)
+    """The whole log as a stream of three batches; two parts of a level become one."""
+    path, events = scratch_path(spark, "live"), in_batches(event_log(spark, sf_dir), 3, "seq")
+    keep_table(events, path, ["k"], scratch_path(spark, "checkpoint"), fanout=2).awaitTermination()
     image = lambda c: F.try_element_at("image", F.lit(c)).alias(c)
-    return _typed_state(live.read().select("k", image("c_type"), image("c_value"), image("c_props")))
+    return _typed_state(LiveTable(spark, path, ["k"]).read().select("k", image("c_type"), image("c_value"), image("c_props")))
+
+
+def _delivered(spark, sf_dir) -> tuple[str, StreamMonitor]:
+    """The log to two sinks of their own pace: one fails at its second batch and is started again."""
+    base, log = scratch_path(spark, "delivery"), stored_copy(event_log(spark, sf_dir), "log")
+    arrivals = f"{base}/arrivals"
+    log.repartitionByRange(3, "seq").write.parquet(arrivals)
+    failures = [1]
+
+    def failing(sink):
+        def write(batch, batch_id):
+            if batch_id == failures[0]:
+                failures[0] = None
+                raise ConnectionError("the sink is down")
+            sink(batch, batch_id)
+        return write
+
+    steady, shaky = (confirmed(json_sink(f"{base}/{n}", rebuildable=True), f"{base}/progress", n) for n in ("steady", "shaky"))
+    sinks = {"steady": steady, "shaky": failing(shaky)}
+    monitor = StreamMonitor(spark, f"{base}/seen")
+    spark.streams.addListener(monitor)
+    try:
+        for _ in range(2):
+            stream = lambda: spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+            for running in fan_out(stream, sinks, f"{base}/checkpoints").values():
+                try:
+                    running.awaitTermination()
+                except StreamingQueryException as e:
+                    if "the sink is down" not in str(e):
+                        raise
+            monitor.settle()
+    finally:
+        spark.streams.removeListener(monitor)
+    return base, monitor
+
+
+@query("fan_out", ["d1_changes"], """
+SELECT sink, seq, lsn, op, tbl AS table_name FROM d1_changes CROSS JOIN (SELECT unnest(['steady', 'shaky']) AS sink) s""")
+def fanned_out(spark, sf_dir):
+    """What two sinks hold after one of them failed and was started again: every event once."""
+    base, _ = _delivered(spark, sf_dir)
+    held = [event_io.read_change_events(spark, f"{base}/{n}").select(
+        F.lit(n).alias("sink"), "seq", "lsn", "op", F.col("table").alias("table_name")) for n in ("steady", "shaky")]
+    return held[0].unionByName(held[1])
+
+
+@query("confirmed_positions", ["d1_changes"], """
+SELECT consumer, max(lsn) AS lsn, count(*) AS events, CAST(2 AS BIGINT) AS starts, max(lsn) AS seen_lsn, count(*) AS seen_events
+FROM d1_changes CROSS JOIN (SELECT unnest(['steady', 'shaky']) AS consumer) s GROUP BY consumer""")
+def confirmed_positions(spark, sf_dir):
+    """What the consumers confirmed, beside what the listener saw pass."""
+    base, monitor = _delivered(spark, sf_dir)
+    seen = monitor.consumers().select("consumer", "starts", F.col("lsn").alias("seen_lsn"), F.col("events").alias("seen_events"))
+    return progress_table(spark, f"{base}/progress").join(seen, "consumer")
+
+
+@query("running_stats", ["d1_changes"], """
+SELECT count(*) AS events_total, CAST(2 AS BIGINT) AS reconnects_total,
+ concat(hex(max(lsn) // 4294967296), '/', lpad(hex(max(lsn) % 4294967296), 8, '0')) AS last_flush_lsn, CAST(0 AS BIGINT) AS subscribers FROM d1_changes""")
+def running_stats(spark, sf_dir):
+    """The counters of the two streams after both have ended."""
+    return aggregates.running_stats(_delivered(spark, sf_dir)[1].consumers())
 
 
 @query("union_history", ["d1_changes"], f"""

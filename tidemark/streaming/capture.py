@@ -1,17 +1,17 @@
-"""Continuous capture: decode, fan out, confirm positions, keep a table current."""
+"""Continuous capture: decode, fan out, confirm positions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.filters import split_rejects
-from tidemark.operators.history import fold_cells, merge_cells, table_from_cells
 from tidemark.sources.events import events_as_json
 from tidemark.session import stored_copy
 from tidemark.sources.frames import RELATION_SCHEMA, dml_messages, relation_messages, resolve_events
+from tidemark.streaming.monitor import observed
 
 FRAME_SCHEMA = "seq bigint, lsn bigint, data binary"
 
@@ -60,20 +60,31 @@ def fan_out(
     checkpoint: str, trigger: dict | None = None,
 ) -> dict[str, StreamingQuery]:
     """One query with its own checkpoint per sink: every sink gets every event, and one that fails
-    or lags does not hold up the others. Sinks get ``(batch, batch id)`` and should make a repeated
-    batch id harmless."""
+    or lags does not hold up the others; started again it goes on with the batch it failed at. Sinks get
+    ``(batch, batch id)`` and should make a repeated batch id harmless. A ``StreamMonitor`` that is
+    registered counts what each of them took; a batch is kept while its sink runs, so that what is read
+    several times counts once."""
+    def kept(sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch = batch.persist()
+            try:
+                sink(batch, batch_id)
+            finally:
+                batch.unpersist()
+        return write
+
     return {
-        name: (stream().writeStream.queryName(name).foreachBatch(sink)
+        name: (observed(stream()).writeStream.queryName(name).foreachBatch(kept(sink))
                .option("checkpointLocation", f"{checkpoint}/{name}")
                .trigger(**(trigger or {"availableNow": True})).start())
         for name, sink in sinks.items()
     }
 
 
-def json_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink of JSON lines, one folder per batch."""
+def json_sink(path: str, rebuildable: bool = False) -> Callable[[DataFrame, int], None]:
+    """Sink of JSON lines, one folder per batch; ``rebuildable`` as in ``events_as_json``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        events_as_json(batch).select("value").write.mode("overwrite").text(f"{path}/batch={batch_id}")
+        events_as_json(batch, rebuildable).select("value").write.mode("overwrite").text(f"{path}/batch={batch_id}")
     return write
 
 
@@ -98,49 +109,3 @@ def progress_table(spark: SparkSession, path: str) -> DataFrame:
     if rows is None:
         return spark.createDataFrame([], "consumer string, lsn bigint, events bigint")
     return rows.groupBy("consumer").agg(F.max("lsn").alias("lsn"), F.sum("events").alias("events"))
-
-
-class LiveTable:
-    """A table kept current from change batches.
-
-    Every batch adds its folded cells, so a batch costs what it brings and not the size of the
-    table. Reading folds the parts together, which gives the same as replaying the whole log.
-    ``compact`` folds the parts up to a batch into one; parts are never changed in place."""
-
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str]):
-        self.spark, self.path, self.key = spark, path, list(key)
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Sink for ``foreachBatch``; running a batch again overwrites its own part."""
-        before = self._parts(batch_id)
-        earlier = None if before is None else merge_cells(before)
-        fold_cells(batch, self.key, earlier).write.mode("overwrite").parquet(f"{self.path}/parts/upto={batch_id}/base=0")
-
-    def _parts(self, before: int | None = None) -> DataFrame | None:
-        parts = stored(self.spark, f"{self.path}/parts")
-        if parts is None:
-            return None
-        if before is not None:
-            parts = parts.where(F.col("upto") < before)
-        base = parts.where("base = 1").agg(F.max("upto")).scalar()
-        current = parts.where(((F.col("base") == 1) & (F.col("upto") == base))
-                              | ((F.col("base") == 0) & (base.isNull() | (F.col("upto") > base))))
-        return current.select("k", "kind", "col", "top")
-
-    def read(self) -> DataFrame:
-        parts = self._parts()
-        if parts is None:
-            raise FileNotFoundError(f"no batch has been applied to {self.path}")
-        return table_from_cells(merge_cells(parts)).select("k.*", "image", "complete")
-
-    def compact(self, upto: int) -> None:
-        """Fold all parts up to a finished batch into a new base part."""
-        parts = stored(self.spark, f"{self.path}/parts")
-        older = parts.where((F.col("upto") < upto) | ((F.col("upto") == upto) & (F.col("base") == 0)))
-        merge_cells(older.select("k", "kind", "col", "top")).write.mode("overwrite").parquet(f"{self.path}/parts/upto={upto}/base=1")
-
-
-def live_table(events: DataFrame, path: str, key: Sequence[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    table = LiveTable(events.sparkSession, path, key)
-    return (events.writeStream.foreachBatch(table.apply).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())

@@ -18,21 +18,60 @@ from tidemark.operators.aggregates import segment_pieces
 from tidemark.operators.ratelimit import BURST_LINES, RATE_LINES_PER_SECOND, spend
 
 
+SETTLE_SECONDS = 3600
+
+
 class SegmentState(StatefulProcessor):
-    """Merged byte ranges of one segment; never the bytes."""
+    """Merged byte ranges of one segment; never the bytes.
+
+    The ranges of a covered segment go at once; what stays is a mark that keeps redelivered bytes from
+    opening it again, until ``settle_ms`` after the last of them. A segment that gets no bytes for
+    ``give_up_ms`` is given up: its ranges go, and a row with ``expired`` tells what was there. Without
+    ``give_up_ms`` there are no timers: marks and open segments stay."""
+
+    def __init__(self, settle_ms: int, give_up_ms: int | None):
+        self._settle, self._give_up = settle_ms, give_up_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._ranges = handle.getValueState("ranges", "text string")
+        self._due = handle.getValueState("due", "ms bigint, covered boolean")
+
+    def _arm(self, timers, covered: bool) -> None:
+        if self._give_up is None:
+            self._due.update((None, covered))
+            return
+        if self._due.exists():
+            self._handle.deleteTimer(self._due.get()[0])
+        due = timers.getCurrentProcessingTimeInMs() + (self._settle if covered else self._give_up)
+        self._due.update((due, covered))
+        self._handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self._due.exists() and self._due.get()[1]:
+            for _ in rows:
+                pass
+            self._arm(timerValues, True)
+            return
         known = json.loads(self._ranges.get()[0]) if self._ranges.exists() else []
         before = _coverage(known)
         for part in rows:
             known = merge_ranges(known, list(zip(part["from_off"].tolist(), part["to_off"].tolist())))
         after = _coverage(known)
-        self._ranges.update((json.dumps(known),))
+        self._arm(timerValues, after["covered"])
+        if after["covered"]:
+            self._ranges.clear()
+        else:
+            self._ranges.update((json.dumps(known),))
         if after["sealed"] and after != before:
-            yield pd.DataFrame([{"timeline": key[0], "seg_no": key[1], **after}])
+            yield pd.DataFrame([{"timeline": key[0], "seg_no": key[1], **after, "expired": False}])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = json.loads(self._ranges.get()[0]) if self._ranges.exists() else None
+        self._ranges.clear()
+        self._due.clear()
+        if known is not None:
+            yield pd.DataFrame([{"timeline": key[0], "seg_no": key[1], **_coverage(known), "expired": True}])
 
     def close(self) -> None:
         pass
@@ -54,13 +93,20 @@ def _coverage(ranges: list) -> dict:
     return {"bytes": held, "sealed": bool(ranges) and ranges[-1][1] == SEGMENT_BYTES, "covered": held == SEGMENT_BYTES}
 
 
-def assemble_segments(chunks: DataFrame) -> DataFrame:
-    """Stream of segment states: a row when a segment's end is reached, and another one whenever
-    bytes that were missing arrive later. The newest row of a segment is its state."""
+def assemble_segments(chunks: DataFrame, give_up_seconds: int | None = None, settle_seconds: int = SETTLE_SECONDS) -> DataFrame:
+    """Stream of segment states: a row when a segment's end is reached, another one whenever bytes that
+    were missing arrive later, and one with ``expired`` when it is given up, its end reached or not. The
+    newest row of a segment is its state.
+
+    The store holds the ranges of open segments and a mark of covered ones. With ``give_up_seconds``, for
+    streams that run on, both leave it after that time, or ``settle_seconds``, without new bytes; later
+    bytes begin a new segment. A run over what is available would not end then, as Spark plans a further
+    batch for timers that may fall due; without it nothing expires."""
+    timed = give_up_seconds is not None
     assembled = segment_pieces(chunks).groupBy("timeline", "seg_no").transformWithStateInPandas(
-        statefulProcessor=SegmentState(),
-        outputStructType="timeline bigint, seg_no bigint, bytes bigint, sealed boolean, covered boolean",
-        outputMode="Update", timeMode="None")
+        statefulProcessor=SegmentState(settle_seconds * 1000, give_up_seconds * 1000 if timed else None),
+        outputStructType="timeline bigint, seg_no bigint, bytes bigint, sealed boolean, covered boolean, expired boolean",
+        outputMode="Update", timeMode="ProcessingTime" if timed else "None")
     return assembled.withColumn("name", segment_name_of(F.col("seg_no"), F.col("timeline")))
 
 
