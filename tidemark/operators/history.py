@@ -56,9 +56,17 @@ def _missing(changes: DataFrame, key: Sequence[str]) -> Column:
     return F.coalesce(F.array_except(F.map_keys("types"), sent), none)
 
 
-def has_moves(changes: DataFrame, key: Sequence[str]) -> bool:
-    """Whether any row changed its key; the scan is limited to updates with an old image."""
-    return not changes.where(_moves(key)).isEmpty()
+def _told(changes: DataFrame, key: Sequence[str]) -> tuple[Column, Column]:
+    """Whether a row changed its key, and whether it lacks columns then."""
+    moved = F.coalesce(_moves(key), F.lit(False))
+    return moved, moved & (F.size(_missing(changes, key)) > 0)
+
+
+def moved_rows(changes: DataFrame, key: Sequence[str]) -> tuple[bool, bool]:
+    """Whether any row changed its key, and whether any of these lacks columns: one scan."""
+    moved, lacking = _told(changes, key)
+    row = changes.agg(F.max(moved), F.max(lacking)).first()
+    return bool(row[0]), bool(row[1])
 
 
 def keyed_events(changes: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -84,12 +92,16 @@ def keyed_events(changes: DataFrame, key: Sequence[str]) -> DataFrame:
     return changes.select(F.inline(steps))
 
 
-def completed_events(changes: DataFrame, key: Sequence[str], earlier: DataFrame | None = None) -> DataFrame:
+def completed_events(
+    changes: DataFrame, key: Sequence[str], earlier: DataFrame | None = None, moves: tuple[bool, bool] | None = None,
+) -> DataFrame:
     """Rows ``(k, pos, op, image)`` with moved rows split and their images filled. Most logs have no
-    moved rows, and then each event is one row as it is."""
-    if has_moves(changes, key):
+    moved rows, and then each event is one row as it is. ``moves`` is what ``moved_rows`` tells, where
+    that is known."""
+    moved, lacking = moves or moved_rows(changes, key)
+    if moved:
         events = keyed_events(changes, key)
-        if not events.where(F.size("missing") > 0).isEmpty():
+        if lacking:
             events = complete_moves(events, earlier)
         return events.select("k", "pos", "op", "image")
     removed = F.col("op") == "delete"
@@ -151,11 +163,17 @@ def complete_moves(events: DataFrame, earlier: DataFrame | None = None) -> DataF
     return joined.withColumn("image", F.when(F.col("carried").isNotNull(), F.map_concat("image", "carried")).otherwise(F.col("image"))).drop("carried")
 
 
-def table_columns(changes: DataFrame) -> list[str] | None:
-    """Names of the columns the log holds, or nothing when they are more than WIDE_TABLE. At most
-    one name over that limit is brought to the driver, whatever the length of the log."""
-    found = changes.select(F.explode(F.map_keys("new")).alias("c")).distinct().limit(WIDE_TABLE + 1).collect()
-    return sorted(r.c for r in found) if len(found) <= WIDE_TABLE else None
+def survey(changes: DataFrame, key: Sequence[str]) -> tuple[list[str] | None, tuple[bool, bool]]:
+    """Names of the columns the log holds, or nothing when they are more than WIDE_TABLE, and what
+    ``moved_rows`` tells, in one scan. The driver gets a few more than WIDE_TABLE names at most; logs of
+    more columns are scanned once more."""
+    moved, lacking = _told(changes, key)
+    cells = changes.select(F.explode_outer(F.map_keys("new")).alias("c"), moved.alias("m"), lacking.alias("l"))
+    found = cells.groupBy("c").agg(F.max("m").alias("m"), F.max("l").alias("l")).limit(WIDE_TABLE + 2).collect()
+    names = sorted(r.c for r in found if r.c is not None)
+    if len(names) > WIDE_TABLE:
+        return None, moved_rows(changes, key)
+    return names, (any(r.m for r in found), any(r.l for r in found))
 
 
 def newest_per_key(events: DataFrame, key: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -171,7 +189,8 @@ def fold_cells(changes: DataFrame, key: Sequence[str], earlier: DataFrame | None
     """Newest cell per key and column, plus the newest operation and the newest insert per key:
     rows ``(k, kind, col, top(pos, value))``. Folding folds of parts again gives the fold of the
     whole, so the newest value survives partial aggregation, shuffles and incremental batches."""
-    events = completed_events(changes, key, earlier)
+    names, moves = survey(changes, key)
+    events = completed_events(changes, key, earlier, moves)
     no_value = F.lit(None).cast("string")
 
     def entry(kind: int, col: Column, top: Column) -> Column:
@@ -180,7 +199,6 @@ def fold_cells(changes: DataFrame, key: Sequence[str], earlier: DataFrame | None
     def top(pos: Column, value: Column) -> Column:
         return F.struct(pos.alias("pos"), value.alias("value"))
 
-    names = table_columns(changes)
     if names is not None:
         newest = newest_per_key(events, key, names)
         born = F.when(F.col("_born").isNotNull(), entry(LAST_INSERT, F.lit(""), top(F.col("_born"), no_value)))
@@ -226,10 +244,10 @@ def table_as_of(
     whatever columns the log holds. Partial aggregation runs before the shuffle, so a key with a
     long history costs no more than others. Logs of very many columns go through folded cells."""
     history = until(changes, until_lsn, until_ts)
-    names = columns if columns is not None else table_columns(history)
+    names, moves = (columns, None) if columns is not None else survey(history, key)
     if names is None:
         return table_from_cells(fold_cells(history, key)).select("k.*", "image", "complete")
-    newest = newest_per_key(completed_events(history, key), key, names).where(F.col("_last.value") != "delete")
+    newest = newest_per_key(completed_events(history, key, moves=moves), key, names).where(F.col("_last.value") != "delete")
     own_key = [F.col(f"_k{i}").alias(k) for i, k in enumerate(key)]
     complete = F.col("_born").isNotNull().alias("complete")
 
