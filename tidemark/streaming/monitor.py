@@ -25,8 +25,8 @@ class StreamMonitor(StreamingQueryListener):
     """Totals per named stream: starts, events, highest position, newest offset.
 
     Register it with ``spark.streams.addListener``. Each finished batch counts once, also one that is
-    run again after a restart. With ``path`` every consumer's totals are kept in one small file, moved
-    into place whole, and a monitor made later goes on from there. Progress arrives a little after a batch, so
+    run again after a restart. With ``path`` every consumer's totals are kept in one small file,
+    and a monitor made later goes on from there. Progress arrives a little after a batch, so
     ``settle`` waits for streams that have ended. What a consumer has confirmed (``capture.confirm``)
     is the record to restart from; this is the view of what goes on."""
 
@@ -43,7 +43,8 @@ class StreamMonitor(StreamingQueryListener):
         return self._spark._jvm.org.apache.hadoop.fs.Path(path)
 
     def _save(self, totals: dict) -> None:
-        """A file per consumer; readers skip hidden names, so they see the old totals or the new."""
+        """A file per consumer. Readers skip the hidden name; between removing the old file and moving the new
+        one into place there is none for a moment."""
         if not self._path:
             return
         name = re.sub(r"[^\w-]", lambda m: f"%{ord(m[0]):x}", totals["consumer"])
