@@ -130,6 +130,19 @@ def test_log_prefix(spark):
     assert (p.pid, p.app, p.db, p.usr, p.client, p.level, p.duration_ms, p.statement) == (42, "psql", "shop", "app", "10.0.0.1", "LOG", 1234.5, "SELECT 1")
     p = one(spark, fn.parse_pg_log_prefix(lit("2024-01-01 00:00:00.123 UTC [7] LOG:  checkpoint starting: time")))
     assert (p.pid, p.db, p.level, p.message, p.duration_ms) == (7, None, "LOG", "checkpoint starting: time", None)
+    stamp = "2024-01-01 00:00:00.123 UTC [7] "
+    for line in ("", "\tFROM t [7] LOG:  duration: 1.5 ms  statement: x", "x" * 1000 + stamp + "LOG:  late"):
+        assert set(one(spark, fn.parse_pg_log_prefix(lit(line))).asDict().values()) == {None}
+    assert set(one(spark, fn.parse_pg_log_prefix(lit(None).cast("string"))).asDict().values()) == {None}
+    p = one(spark, fn.parse_pg_log_prefix(lit(stamp + "[] db=,user=,client= ERROR:  duration: 3 ms\x01\nsecond $1")))
+    assert (p.app, p.db, p.usr, p.client, p.level, p.message, p.duration_ms) == ("", "", "", "", "ERROR", "duration: 3 ms\x01\nsecond $1", None)
+    p = one(spark, fn.parse_pg_log_prefix(lit(stamp + "LOG:  duration: 2.25 ms  execute s1: SELECT a,\n '\x01 ms  statement: '")))
+    assert (p.app, p.duration_ms, p.statement) == (None, 2.25, "SELECT a,\n '\x01 ms  statement: '")
+    p = one(spark, fn.parse_pg_log_prefix(lit(stamp + "LOG:  duration: 1.2.3 ms")))
+    assert (p.level, p.duration_ms, p.statement) == ("LOG", None, None)
+    assert one(spark, fn.parse_pg_log_prefix(lit(stamp + "no level"))).asDict() == {
+        "logged_at": "2024-01-01 00:00:00.123 UTC", "pid": 7, **dict.fromkeys(
+            ("app", "db", "usr", "client", "level", "message", "duration_ms", "statement"))}
 
 
 @pytest.mark.parametrize("kind,raw,expected", [

@@ -158,12 +158,17 @@ def test_knn_equals_brute_force(spark, metric, monkeypatch):
     else:
         d = np.linalg.norm(wanted[:, None] - vectors[None], axis=2)
     want = {q: sorted((round(x, 9), i) for i, x in enumerate(d[q]))[:4] for q in range(9)}
-    for per_pass in (4096, 3):
-        monkeypatch.setattr(extras, "QUERIES_PER_PASS", per_pass)
+    df = df.unionByName(spark.createDataFrame([(1000, None)], df.schema))
+    queries = queries.unionByName(spark.createDataFrame([(1000, None)], queries.schema))
+    monkeypatch.setattr(extras, "VECTORS_AT_ONCE", 70)
+    for at_once in (4096, 9, 8, 3):
+        monkeypatch.setattr(extras, "QUERIES_AT_ONCE", at_once)
         got = {}
         for r in extras.knn(df, queries, 4, metric).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((round(r.distance, 9), r.vec_id))
         assert got == want
+        assert extras.knn(df.limit(0), queries, 4, metric).collect() == []
+    assert extras.knn(df, queries.limit(0), 4, metric).columns == ["query_id", "vec_id", "distance", "rank"]
 
 
 def test_trigrams(spark):

@@ -7,9 +7,12 @@ from pyspark.sql import Column, functions as F
 # Fixed value: the longest log line kept, in bytes.
 MAX_LINE_BYTES = 262_144
 
-# Fixed value: the shipped prefix '%m [%p] %q[%a] db=%d,user=%u,client=%h '.
-_STAMP = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+ \S+) \[(\d+)\] "
-_SESSION = r"\[([^\]]*)\] db=([^,]*),user=([^,]*),client=(\S*) "
+# Fixed value: the shipped prefix '%m [%p] %q[%a] db=%d,user=%u,client=%h ', then level and message.
+_CUT = "\x01"
+_LINE = (r"(?s)^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+ \S+) \[(\d+)\] "
+         r"(?:\[([^\]\x01]*)\] db=([^,\x01]*),user=([^,\x01]*),(client=)([^\s\x01]*) )?"
+         r"(?:(LOG|ERROR|FATAL|PANIC|WARNING|NOTICE|STATEMENT|DETAIL|HINT):  )?(.*)$")
+_TIMED = r"(?s)^duration: ([0-9.]+) ms(?:  (statement|execute [^:]*): )?(.*)$"
 
 
 def utf8_lossy(raw: Column) -> Column:
@@ -28,25 +31,30 @@ def clip_line(raw: Column, had_newline: Column, max_bytes: int = MAX_LINE_BYTES)
     return F.struct(line.alias("line"), (consumed > max_bytes).alias("truncated"))
 
 
+def _fields(text: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern that spans the whole text, the last one unrestricted; null where it does not match."""
+    joined = _CUT.join(f"${i}" for i in range(1, groups + 1))
+    return F.split(F.when(text.rlike(pattern), F.regexp_replace(text, pattern, joined)), _CUT, groups)
+
+
 def parse_pg_log_prefix(line: Column) -> Column:
     """Struct of the prefix fields, the message level, the duration and the statement of a server
-    log line; session fields are null for lines of background processes."""
-    def pick(pattern: str, group: int) -> Column:
-        return F.when(line.rlike(pattern), F.regexp_extract(line, pattern, group))
-
-    session = _STAMP + _SESSION
-    message = r"(?s)(?:client=\S* |\[\d+\] )(LOG|ERROR|FATAL|PANIC|WARNING|NOTICE|STATEMENT|DETAIL|HINT):  (.*)$"
-    duration = r"(?s) LOG:  duration: ([0-9.]+) ms"
-    statement = r"(?s) ms  (?:statement|execute [^:]*): (.*)$"
+    log line; session fields are null for lines of background processes. All fields are null for lines
+    without time and process number, such as the further lines of a statement; level and message are
+    null where no level follows the prefix. The line is matched as a whole, once for all fields."""
+    head = _fields(line, _LINE, 9)
+    session, levelled = head[5] != "", head[7] != ""
+    message = F.when(levelled, head[8])
+    timed = _fields(F.when(head[7] == "LOG", head[8]), _TIMED, 3)
     return F.struct(
-        pick(_STAMP, 1).alias("logged_at"),
-        pick(_STAMP, 2).cast("bigint").alias("pid"),
-        pick(session, 3).alias("app"),
-        pick(session, 4).alias("db"),
-        pick(session, 5).alias("usr"),
-        pick(session, 6).alias("client"),
-        pick(message, 1).alias("level"),
-        pick(message, 2).alias("message"),
-        pick(duration, 1).cast("double").alias("duration_ms"),
-        pick(statement, 1).alias("statement"),
+        head[0].alias("logged_at"),
+        head[1].cast("bigint").alias("pid"),
+        F.when(session, head[2]).alias("app"),
+        F.when(session, head[3]).alias("db"),
+        F.when(session, head[4]).alias("usr"),
+        F.when(session, head[6]).alias("client"),
+        F.when(levelled, head[7]).alias("level"),
+        message.alias("message"),
+        timed[0].try_cast("double").alias("duration_ms"),
+        F.when(timed[1] != "", timed[2]).alias("statement"),
     )

@@ -13,8 +13,10 @@ from tidemark.operators.scale import neighbour
 # Fixed value: statements of this many milliseconds or more are slow.
 SLOW_MS = 1000
 
-# Query vectors sent to the tasks at a time; larger query sets take several passes.
-QUERIES_PER_PASS = 4096
+# Up to this many query vectors are sent to the tasks; more are dealt in blocks of half as many.
+QUERIES_AT_ONCE = 4096
+# Vectors that meet a block of queries in one task, about.
+VECTORS_AT_ONCE = 1 << 16
 
 
 def knn(
@@ -22,31 +24,44 @@ def knn(
     id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "query",
 ) -> DataFrame:
     """Exact nearest ``k`` vectors of every query: ``(query_id, id, distance, rank)``, ties by id.
-    Each task multiplies its batches with the query matrix and keeps ``k`` candidates per query, so
-    only ``k`` rows per query and task are shuffled."""
+
+    Few queries go to every task, which multiplies its batches with the query matrix and keeps ``k``
+    candidates per query; the vectors stay where they are. More than ``QUERIES_AT_ONCE`` queries stay
+    distributed: they are dealt into blocks by hash, the vectors into slots, and each block meets each
+    slot in one group of bounded size. Either way ``k`` rows per query and task or slot are ranked.
+    Null vectors on either side take no part, nor do distances that are no number."""
     if metric not in ("cosine", "l2"):
         raise ValueError("metric is cosine or l2")
     id_type, q_type = dict(df.dtypes)[id_col], dict(queries.dtypes)[query_id]
-    n = queries.count()
-    passes = max(1, -(-n // QUERIES_PER_PASS))
-    if passes > 1:
-        queries = queries.withColumn("_pass", F.pmod(F.xxhash64(query_id), F.lit(passes)))
-    out = None
-    for i in range(passes):
-        part = queries if passes == 1 else queries.where(F.col("_pass") == i)
-        rows = part.select(query_id, query_vec).collect()  # about QUERIES_PER_PASS vectors
-        if not rows:
-            continue
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        ids = [r[0] for r in rows]
-        found = df.select(id_col, vec_col).mapInPandas(
-            _nearest_in_task(ids, matrix, k, metric, id_col, vec_col, query_id),
-            f"{query_id} {q_type}, {id_col} {id_type}, distance double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = df.sparkSession.createDataFrame([], f"{query_id} {q_type}, {id_col} {id_type}, distance double")
+    schema = f"{query_id} {q_type}, {id_col} {id_type}, distance double"
+    df = df.select(id_col, vec_col).where(F.col(vec_col).isNotNull())
+    queries = queries.select(query_id, query_vec).where(F.col(query_vec).isNotNull())
+    rows = queries.limit(QUERIES_AT_ONCE + 1).collect()
+    if not rows:
+        return df.sparkSession.createDataFrame([], f"{schema}, rank int")
+    if len(rows) <= QUERIES_AT_ONCE:
+        ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+        found = df.mapInPandas(_nearest_in_task(ids, matrix, k, metric, id_col, vec_col, query_id), schema)
+    else:
+        blocks = -(-2 * queries.count() // QUERIES_AT_ONCE)
+        slots = max(1, -(-df.count() // VECTORS_AT_ONCE))
+
+        def dealt(rows: DataFrame, mine: str, parts: int, other: str, copies: int) -> DataFrame:
+            return rows.withColumn(mine, F.pmod(F.xxhash64(*rows.columns), F.lit(parts))).withColumn(
+                other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+
+        def meet(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if asked.empty or held.empty:
+                return pd.DataFrame({query_id: [], id_col: [], "distance": []})
+            matrix = np.stack(asked[query_vec].to_numpy()).astype(np.float64)
+            nearest = _nearest_in_task(asked[query_id].to_numpy(), matrix, k, metric, id_col, vec_col, query_id)
+            steps = max(1, (1 << 24) // len(asked))
+            return pd.concat(nearest(held.iloc[i:i + steps] for i in range(0, len(held), steps)), ignore_index=True)
+
+        found = dealt(queries, "_block", blocks, "_slot", slots).groupBy("_block", "_slot").cogroup(
+            dealt(df, "_slot", slots, "_block", blocks).groupBy("_block", "_slot")).applyInPandas(meet, schema)
     nearest = Window.partitionBy(query_id).orderBy("distance", id_col)
-    return out.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
 def _nearest_in_task(ids, matrix, k, metric, id_col, vec_col, query_id):
@@ -56,7 +71,6 @@ def _nearest_in_task(ids, matrix, k, metric, id_col, vec_col, query_id):
         best_ids: np.ndarray | None = None
         best: np.ndarray | None = None
         for batch in batches:
-            batch = batch[batch[vec_col].notna()]
             if batch.empty:
                 continue
             vectors = np.stack(batch[vec_col].to_numpy()).astype(np.float64)
