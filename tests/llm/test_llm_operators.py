@@ -246,6 +246,74 @@ def test_raking_meets_its_targets(spark):
         assert np.allclose(raked.groupby(name).weight.sum(), target / target.sum(), rtol=1e-6)
 
 
+def plain_rake(cells, shares, keep, rounds):
+    """Targets by trying every number of full values, then cutting each round at the bound, in plain Python."""
+    total = sum(cells.values())
+    targets = []
+    for d, wanted in enumerate(shares):
+        most = collections.Counter()
+        for cell, n in cells.items():
+            most[cell[d]] += n / (keep * total)
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(mid * w, most[v]) for v, w in wanted.items()) < 1 else (low, mid)
+        targets.append({v: min(high * w, most[v]) for v, w in wanted.items()})
+    weight = {cell: n / total for cell, n in cells.items()}
+    for _ in range(rounds):
+        for d, target in enumerate(targets):
+            sums = collections.Counter()
+            for cell, w in weight.items():
+                sums[cell[d]] += w
+            weight = {cell: w * target[cell[d]] / sums[cell[d]] if sums[cell[d]] else 0.0 for cell, w in weight.items()}
+        weight = {cell: min(w, cells[cell] / (keep * total)) for cell, w in weight.items()}
+    return weight, targets
+
+
+def test_raking_to_given_shares_within_what_there_is(spark):
+    rng = random.Random(8)
+    cells = {(s, g, t): rng.randint(10, 40) for s in "abcd" for g in ("en", "de", "fr") for t in ("x", "y")}
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
+    tokens = [collections.Counter() for _ in range(3)]
+    for cell, n in cells.items():
+        for d, v in enumerate(cell):
+            tokens[d][v] += n
+    total, roots = sum(cells.values()), sum(n ** 0.5 for n in tokens[0].values())
+    left = tokens[1]["de"] + tokens[1]["fr"]
+    shares = [{v: n ** 0.5 / roots for v, n in tokens[0].items()}, {"en": 0.7, "de": 0.3 * tokens[1]["de"] / left, "fr": 0.3 * tokens[1]["fr"] / left},
+              {v: n / total for v, n in tokens[2].items()}]
+    raked = mixing.rake(df, {"source": 0.5, "topic": 1.0}, 6, {"lang": {"en": 0.7}}, 0.5, -1)
+    want, targets = plain_rake(cells, shares, 0.5, 6)
+    got = {(r.source, r.lang, r.topic): r.weight for r in raked.collect()}
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+    assert all(w <= cells[c] / (0.5 * total) * (1 + 1e-9) for c, w in got.items())
+    report = {(r.dimension, r.value): r for r in mixing.reached_shares(raked).collect()}
+    assert len(report) == 9 and report["lang", "en"].wanted == 0.7 and report["lang", "en"].tokens == tokens[1]["en"]
+    assert report["lang", "en"].target < 0.7  # more than all its tokens would be
+    for d, name in enumerate(mixing.DIMENSIONS):
+        assert all(abs(report[name, v].target - x) < 1e-9 for v, x in targets[d].items())
+    raked = mixing.rake(df, {"source": 0.5, "topic": 1.0}, 40, {"lang": {"en": 0.5}}, 0.5, 1e-7)
+    assert all(abs(r.reached - r.target) < 1e-5 and abs(r.target - r.wanted) < 1e-9 for r in mixing.reached_shares(raked).collect())
+
+
+def test_shares_that_cannot_be_met(spark):
+    df = spark.createDataFrame([("a", "en", "x", 30), ("a", "de", "x", 10), ("b", "en", "x", 20)], "source string, lang string, topic string, tokens long")
+    for shares in ({"lang": {"en": 0.8, "de": 0.4}}, {"lang": {"en": -0.1}}, {"lang": {"it": 0.2}}, {"topic": {"x": 0.5}}):
+        with pytest.raises(ValueError):
+            mixing.rake(df, shares=shares)
+    weights = {(r.source, r.lang): r.weight for r in mixing.rake(df, {"source": 1.0, "topic": 1.0}, shares={"lang": {"de": 0.0}}).collect()}
+    assert weights["a", "de"] == 0 and weights["a", "en"] > 0 and abs(sum(weights.values()) - 1) < 1e-6
+    docs = spark.createDataFrame([(i, "w " * 20, "en" if i % 4 else "de", "s", 3, "news" if i % 2 else None) for i in range(400)], T.StructType([*DOCS.fields, T.StructField("topic", T.StringType())]))
+    got = mixing.mix_documents(docs, shares={"lang": {"de": 0.0}, "topic": {"news": 0.75}}, topic_col="topic", keep=0.4).collect()
+    assert collections.Counter(r.topic for r in got) == {"news": 200, "none": 200} and len(got[0]) == 10  # five columns and five made
+    assert not any(r.sampled for r in got if r.lang == "de")
+    kept = collections.Counter(r.topic for r in got if r.sampled)
+    assert {round(r.probability, 3) for r in got if r.lang == "en"} == {0.6, 0.4} and 100 <= kept["news"] <= 140 and 25 <= kept["none"] <= 55
+    for keep in (0, 1.5):
+        with pytest.raises(ValueError):
+            mixing.mix_documents(docs, keep=keep)
+
+
 def test_mixing_of_nulls_and_nothing(spark):
     docs = spark.createDataFrame([(1, "a b", None, None, 3), (None, "c d", "en", "s", 3), (2, None, "en", "s", 0), (3, "", "en", "s", 0)], DOCS)
     got = mixing.mix_documents(with_clashes(docs)).collect()
