@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from tidemark.llm.training import free_name
 from tidemark.session import stored_copy
 
-# Raking ends when no weight changes by more than TOLERANCE in a round, at the latest after ROUNDS.
+# Raking ends when no weight changes by more than this in a round, at the latest after ROUNDS; a mix ends sooner.
 ROUNDS = 40
-TOLERANCE = 1e-4
+TOLERANCE = 1e-9
+MIX_TOLERANCE = 1e-5
 # Targets: shares in proportion to tokens to this power, and the part of all tokens to keep.
 POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 KEEP = 0.5
@@ -119,10 +120,11 @@ def reached_shares(raked: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
                   powers: Mapping[str, float] = POWERS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = 7,
-                  shares: Mapping[str, Mapping[str, float]] | None = None, topic_col: str | None = None) -> DataFrame:
+                  shares: Mapping[str, Mapping[str, float]] | None = None, topic_col: str | None = None,
+                  tolerance: float = MIX_TOLERANCE) -> DataFrame:
     """The rows with topic, n_tokens, weight (a cell's share of the mix), probability and sampled.
 
-    Targets come from ``shares`` or ``powers``, see ``rake``; ``keep`` (over 0, at most 1) is the part of all
+    Targets come from ``shares`` or ``powers``, ``rounds`` and ``tolerance`` end the raking, see ``rake``; ``keep`` (over 0, at most 1) is the part of all
     tokens to sample. The topic is that of ``topic_col``, or else the form of the text. A cell's probability is
     keep * weight * all tokens / its tokens, so expected tokens follow the raked weights. sampled compares it
     with a number drawn from the id. Null source, language or topic counts as 'none'. Texts without tokens
@@ -144,7 +146,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sum("n_tokens").alias("tokens"))
     cells = stored_copy(cells, "cells")
     every = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    raked = rake(cells, powers, rounds, shares, keep)
+    raked = rake(cells, powers, rounds, shares, keep, tolerance)
     rates = raked.select(F.col("source").alias(s), F.col("lang").alias(g), F.col("topic").alias(t), "weight",
                          F.least(F.lit(1.0), F.lit(keep) * F.col("weight") * F.lit(every) / F.col("tokens")).alias("probability"))
     joined = rows.join(rates, (F.col(source) == F.col(s)) & (F.col(lang) == F.col(g)) & (F.col(topic) == F.col(t)) & (F.col("n_tokens") > 0), "left")
@@ -177,7 +179,7 @@ r AS (SELECT 0 AS i, c.*, target_source, target_lang, target_topic, tokens / (SE
     least(weight * target_topic / sum(weight) OVER (PARTITION BY topic), most) AS weight, most, before FROM (
    SELECT * REPLACE (weight * target_lang / sum(weight) OVER (PARTITION BY lang) AS weight) FROM (
     SELECT * REPLACE (weight * target_source / sum(weight) OVER (PARTITION BY source) AS weight), weight AS before FROM r
-    WHERE i < {ROUNDS} AND change > {TOLERANCE})))),
+    WHERE i < {ROUNDS} AND change > {MIX_TOLERANCE})))),
 f AS (SELECT source, lang, topic, weight, least(1.0, {KEEP} * weight * (SELECT sum(tokens) FROM c) / tokens) AS probability FROM r
    WHERE i = (SELECT max(i) FROM r)),
 j AS (SELECT d.*, coalesce(weight, 0.0) AS weight, coalesce(probability, 0.0) AS probability
