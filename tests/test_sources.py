@@ -203,6 +203,18 @@ def test_trigram_join_equals_brute_force(spark, threshold):
     assert similarity.similar_texts(left.select("left_text").limit(0), right.select("right_text")).count() == 0
 
 
+def test_common_trigrams_meet_in_blocks(spark, monkeypatch):
+    """Blocks of a few texts, and matrices of a few rows, find the pairs that whole groups find, each once."""
+    monkeypatch.setattr(similarity, "TEXTS_AT_ONCE", 7)
+    monkeypatch.setattr(similarity, "ENTRIES_AT_ONCE", 40)
+    texts = [f"ring {a}{b} {c}" for a in "abcd" for b in "efgh" for c in ("north", "south", "1", "\U0001d400\U0001d400x")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = [tuple(r) for r in similarity.similar_texts(df, df.select(F.col("t").alias("u")), 0.4).collect()]
+    sets = {t: trigrams_of(t) for t in texts}
+    share = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    assert sorted(rows) == sorted((x, y, share(x, y)) for x in texts for y in texts if share(x, y) >= 0.4) and len(rows) > 1000
+
+
 def test_texts_meet_only_under_rare_trigrams(spark):
     """A trigram that all texts share is in no prefix: texts with nothing else in common never meet."""
     texts = [f"the {c * 3}{d * 3}" for c in "abcdefgh" for d in "ijklmnop"]
