@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_events import EVENT, TYPES, as_dict, insert, relation, replay, update
 from tidemark.operators import advice, aggregates, ratelimit
 from tidemark.operators import history
+from tidemark.plans import inputs
 from tidemark.sources import events as event_io
 from tidemark.streaming import capture, live, monitor, retention, stateful
 
@@ -205,6 +206,38 @@ def test_segments_assemble_like_the_batch(spark, tmp_path):
     assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_neighbouring_segments_share_a_state(spark, tmp_path):
+    """600 segments, open and covered ones, are three rows of the store and not one each."""
+    base = str(tmp_path)
+    df = spark.range(600).select(F.lit(1).alias("timeline"), (F.col("id") * SEG + F.col("id") % 2).alias("start_lsn"), (F.lit(SEG) - F.col("id") % 2).alias("n_bytes"))
+    parts(df, f"{base}/in", 2, ["start_lsn"])
+    rows = []
+    query = (stateful.assemble_segments(stream(spark, f"{base}/in", df.schema)).writeStream.outputMode("update")
+             .foreachBatch(lambda b, i: rows.extend(map(tuple, b.drop("expired", "name").collect())))
+             .option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert sorted(rows) == [(1, n, SEG - n % 2, True, n % 2 == 0) for n in range(600)]
+    assert [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress][-1] == 3
+
+
+def test_batches_of_a_stream_hold_files_by_size(spark, tmp_path, monkeypatch):
+    """A batch is as many files as its size asks for, each a range of the order; no row is lost."""
+    rows = spark.range(30000).select(F.col("id").alias("seq"), F.md5(F.col("id").cast("string")).alias("value"))
+
+    def taken():
+        source, sizes = inputs.in_batches(rows, 3, "seq"), []
+        query = (source.writeStream.foreachBatch(lambda b, i: sizes.append((len(b.inputFiles()), b.count())))
+                 .option("checkpointLocation", str(tmp_path / f"cp{inputs.ARRIVAL_BYTES}")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        return sizes
+
+    few = taken()
+    assert [n for n, _ in few] == [1, 1, 1] and sum(c for _, c in few) == 30000
+    monkeypatch.setattr(inputs, "ARRIVAL_BYTES", 100000)
+    many = taken()
+    assert len(many) == 3 and all(n >= 3 for n, _ in many) and sum(c for _, c in many) == 30000
+
+
 def test_segments_leave_the_store(spark, tmp_path):
     base = str(tmp_path)
     chunks = [(1, 0, SEG), (1, SEG, 500), (1, SEG, 500), (1, 0, 10), (1, SEG - 1, 1), (2, 3 * SEG - 5, 5)]

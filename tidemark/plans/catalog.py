@@ -9,7 +9,7 @@ from tidemark.functions import (
     segment_name, ts_to_pg_micros,
 )
 from tidemark.operators import aggregates, filters, joins, ordering, sets
-from tidemark.plans.inputs import derived, table
+from tidemark.plans.inputs import derived, in_batches, table
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources.archive import apply_retention, catalog_rows, copy_missing_segments, fetch_segments, scan_segment_catalog
@@ -208,8 +208,7 @@ def assembled_segments(spark, sf_dir):
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = derived(spark, sf_dir, "d15_chunks").select("timeline", "start_lsn", "n_bytes")
-    chunks.repartition(2).write.parquet(f"{base}/chunks")
-    stream = session.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/chunks")
+    stream = in_batches(chunks, 2, session=session)
     keep = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/states/part={batch}")
     (assemble_segments(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint")
      .trigger(availableNow=True).start().awaitTermination())

@@ -7,6 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import plan_bytes, scratch_path, stored_copy
+
+# A file of rows that a stream reads holds about this much of them, as stored.
+ARRIVAL_BYTES = 8 << 20
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -140,6 +145,18 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(DERIVED[name])
 
 
+def in_batches(rows: DataFrame, n: int, order: str | None = None, session: SparkSession | None = None) -> DataFrame:
+    """The rows as a stream of n batches, or one or two fewer where they are few, from files that hold
+    ranges of an order, if there is one. A batch has as many files as its size asks for."""
+    path, rows = scratch_path(rows.sparkSession, "arrivals"), stored_copy(rows, "rows")
+    files = n * (1 + plan_bytes(rows) // (n * ARRIVAL_BYTES))
+    dealt = rows.repartitionByRange(files, order) if order else rows.repartition(files)
+    dealt.write.parquet(path)
+    # a range that no row falls in leaves no file
+    written = len(rows.sparkSession.read.parquet(path).inputFiles())
+    return (session or rows.sparkSession).readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-written // n)).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

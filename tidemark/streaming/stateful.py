@@ -19,59 +19,74 @@ from tidemark.operators.ratelimit import BURST_LINES, RATE_LINES_PER_SECOND, spe
 
 
 SETTLE_SECONDS = 3600
+# Neighbouring segments whose states are kept together: one call of the store for all of them.
+SEGMENTS_AT_ONCE = 256
 
 
 class SegmentState(StatefulProcessor):
-    """Merged byte ranges of one segment; never the bytes.
+    """Merged byte ranges of neighbouring segments; never the bytes.
 
-    The ranges of a covered segment go at once; what stays is a mark that keeps redelivered bytes from
-    opening it again, until ``settle_ms`` after the last of them. A segment that gets no bytes for
-    ``give_up_ms`` is given up: its ranges go, and a row with ``expired`` tells what was there. Without
-    ``give_up_ms`` there are no timers: marks and open segments stay."""
+    The state of a group is a map from segment to its ranges and the time it is due. The ranges of a
+    covered segment go at once; what stays is a mark that keeps redelivered bytes from opening it again,
+    until ``settle_ms`` after the last of them. A segment that gets no bytes for ``give_up_ms`` is given
+    up: its ranges go, and a row with ``expired`` tells what was there. Without ``give_up_ms`` there are
+    no timers: marks and open segments stay. A group's timer stands at the first time one of its segments
+    is due."""
 
     def __init__(self, settle_ms: int, give_up_ms: int | None):
         self._settle, self._give_up = settle_ms, give_up_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._ranges = handle.getValueState("ranges", "text string")
-        self._due = handle.getValueState("due", "ms bigint, covered boolean")
-
-    def _arm(self, timers, covered: bool) -> None:
-        if self._give_up is None:
-            self._due.update((None, covered))
-            return
-        if self._due.exists():
-            self._handle.deleteTimer(self._due.get()[0])
-        due = timers.getCurrentProcessingTimeInMs() + (self._settle if covered else self._give_up)
-        self._due.update((due, covered))
-        self._handle.registerTimer(due)
+        self._segments = handle.getValueState("segments", "text string, timer bigint")
+
+    def _load(self) -> tuple[dict, int | None]:
+        text, timer = self._segments.get() if self._segments.exists() else ("{}", None)
+        return {int(seg_no): held for seg_no, held in json.loads(text).items()}, timer
+
+    def _keep(self, segments: dict, timer: int | None, fired: bool = False) -> None:
+        due = min((d for _, d in segments.values() if d is not None), default=None)
+        if timer is not None and timer != due and not fired:
+            self._handle.deleteTimer(timer)
+        if due is not None and (fired or timer != due):
+            self._handle.registerTimer(due)
+        if segments:
+            self._segments.update((json.dumps(segments), due))
+        else:
+            self._segments.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self._due.exists() and self._due.get()[1]:
-            for _ in rows:
-                pass
-            self._arm(timerValues, True)
-            return
-        known = json.loads(self._ranges.get()[0]) if self._ranges.exists() else []
-        before = _coverage(known)
+        segments, timer = self._load()
+        fresh: dict[int, list] = {}
         for part in rows:
-            known = merge_ranges(known, list(zip(part["from_off"].tolist(), part["to_off"].tolist())))
-        after = _coverage(known)
-        self._arm(timerValues, after["covered"])
-        if after["covered"]:
-            self._ranges.clear()
-        else:
-            self._ranges.update((json.dumps(known),))
-        if after["sealed"] and after != before:
-            yield pd.DataFrame([{"timeline": key[0], "seg_no": key[1], **after, "expired": False}])
+            for seg_no, low, high in zip(part["seg_no"].tolist(), part["from_off"].tolist(), part["to_off"].tolist()):
+                fresh.setdefault(seg_no, []).append((low, high))
+        now, out = timerValues.getCurrentProcessingTimeInMs() if self._give_up is not None else 0, []
+        for seg_no, pieces in fresh.items():
+            known, _ = segments.get(seg_no, ([], None))
+            # no ranges: the mark of a covered segment
+            covered = seg_no in segments and not known
+            if not covered:
+                before = _coverage(known)
+                known = merge_ranges(known, pieces)
+                after = _coverage(known)
+                covered = after["covered"]
+                if after["sealed"] and after != before:
+                    out.append({"timeline": key[0], "seg_no": seg_no, **after, "expired": False})
+            due = None if self._give_up is None else now + (self._settle if covered else self._give_up)
+            segments[seg_no] = ([] if covered else known, due)
+        self._keep(segments, timer)
+        if out:
+            yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = json.loads(self._ranges.get()[0]) if self._ranges.exists() else None
-        self._ranges.clear()
-        self._due.clear()
-        if known is not None:
-            yield pd.DataFrame([{"timeline": key[0], "seg_no": key[1], **_coverage(known), "expired": True}])
+        segments, timer = self._load()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        over = {seg_no: segments.pop(seg_no)[0] for seg_no, (_, due) in list(segments.items()) if due is not None and due <= now}
+        self._keep(segments, timer, fired=True)
+        if any(over.values()):
+            yield pd.DataFrame([{"timeline": key[0], "seg_no": seg_no, **_coverage(known), "expired": True}
+                                for seg_no, known in over.items() if known])
 
     def close(self) -> None:
         pass
@@ -98,12 +113,14 @@ def assemble_segments(chunks: DataFrame, give_up_seconds: int | None = None, set
     were missing arrive later, and one with ``expired`` when it is given up, its end reached or not. The
     newest row of a segment is its state.
 
-    The store holds the ranges of open segments and a mark of covered ones. With ``give_up_seconds``, for
+    The store holds the ranges of open segments and a mark of covered ones, ``SEGMENTS_AT_ONCE`` neighbours
+    in one state, as calls of the store and groups in Python cost more than what is done in them. With ``give_up_seconds``, for
     streams that run on, both leave it after that time, or ``settle_seconds``, without new bytes; later
     bytes begin a new segment. A run over what is available would not end then, as Spark plans a further
     batch for timers that may fall due; without it nothing expires."""
     timed = give_up_seconds is not None
-    assembled = segment_pieces(chunks).groupBy("timeline", "seg_no").transformWithStateInPandas(
+    pieces = segment_pieces(chunks).withColumn("_group", F.floor(F.col("seg_no") / SEGMENTS_AT_ONCE))
+    assembled = pieces.groupBy("timeline", "_group").transformWithStateInPandas(
         statefulProcessor=SegmentState(settle_seconds * 1000, give_up_seconds * 1000 if timed else None),
         outputStructType="timeline bigint, seg_no bigint, bytes bigint, sealed boolean, covered boolean, expired boolean",
         outputMode="Update", timeMode="ProcessingTime" if timed else "None")
