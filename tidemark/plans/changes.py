@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import coerce_pg, event_json, json_quote, json_value, lsn_format, typed_view
 from tidemark.operators import aggregates, filters, flow, history, joins, ordering
-from tidemark.plans.inputs import derived, table
+from tidemark.plans.inputs import derived, in_batches, table
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path, stored_copy
 from tidemark.sources import events as event_io
@@ -115,13 +115,6 @@ def apply_changes(spark, sf_dir):
     return _typed_state(state)
 
 
-def in_batches(rows: DataFrame, n: int, order: str) -> DataFrame:
-    """The rows as a stream of about n batches, from files that hold ranges of an order."""
-    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "arrivals")
-    rows.repartitionByRange(n, order).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @query("live_table", ["d1_changes"], as_of_sql("1 = 1"))
 def live_table(spark, sf_dir):
     """The whole log as a stream of three batches; two parts of a level become one."""
@@ -133,9 +126,7 @@ def live_table(spark, sf_dir):
 
 def _delivered(spark, sf_dir) -> tuple[str, StreamMonitor]:
     """The log to two sinks of their own pace: one fails at its second batch and is started again."""
-    base, log = scratch_path(spark, "delivery"), stored_copy(event_log(spark, sf_dir), "log")
-    arrivals = f"{base}/arrivals"
-    log.repartitionByRange(3, "seq").write.parquet(arrivals)
+    base, events = scratch_path(spark, "delivery"), in_batches(event_log(spark, sf_dir), 3, "seq")
     failures = [1]
 
     def failing(sink):
@@ -152,8 +143,7 @@ def _delivered(spark, sf_dir) -> tuple[str, StreamMonitor]:
     spark.streams.addListener(monitor)
     try:
         for _ in range(2):
-            stream = lambda: spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
-            for running in fan_out(stream, sinks, f"{base}/checkpoints").values():
+            for running in fan_out(lambda: events, sinks, f"{base}/checkpoints").values():
                 try:
                     running.awaitTermination()
                 except StreamingQueryException as e:
