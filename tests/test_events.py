@@ -125,6 +125,21 @@ def test_transactions(spark, blocks):
         ("a", 70, True), ("a", 71, False), ("a", 72, True), ("a", 73, True), ("a", 74, False), ("b", 70, False)]
 
 
+def test_transactions_are_cut_by_the_size_of_events(spark, monkeypatch):
+    """Decoded events are wide, so their scan takes smaller blocks than others do; the rows are the same."""
+    table = relation(7, "port", "berths", [("no", 23)])
+    log = [table] + [f for n in range(60) for f in (bracket("B", n, n), insert(7, [str(n)]), insert(7, [f"-{n}"]), *([bracket("C", n + 1)] if n % 7 else []))]
+    base = spark.createDataFrame([(i, i, d) for i, d in enumerate(log)], "seq bigint, lsn bigint, data binary")
+    one = frame_io.stored_copy(base, "frames")
+    whole, seen, plain = frame_io.with_transactions(frame_io.decode_pgoutput(one), one, blocks=1), [], frame_io.running
+    monkeypatch.setattr(frame_io, "EVENT_BLOCK_BYTES", 1 << 10)
+    monkeypatch.setattr(frame_io, "running", lambda *a: seen.append(a[-1]) or plain(*a))
+    cut = frame_io.with_transactions(frame_io.decode_pgoutput(one), one)
+    columns = ["seq", "xid", "commit_ts", "bracket"]
+    rows = [sorted(map(tuple, d.select(*columns).collect()), key=str) for d in (whole, cut)]
+    assert seen[0] > 1 and rows[0] == rows[1] and len(rows[0]) == 120 and {r[3] for r in rows[0]} == {"committed", "open"}
+
+
 def test_malformed_messages_are_rejected_with_a_reason(spark):
     frames = [relation(5, "s", "t", [("a", 23)]), insert(5, ["1"]), insert(5, ["1"])[:-3], b"D\0\0\0\x05N\0\0", b"U", insert(5, [b"x".decode()])]
     df = spark.createDataFrame([(i, i, d) for i, d in enumerate(frames)], "seq bigint, lsn bigint, data binary")

@@ -31,7 +31,7 @@ _MERGE = {
 }
 
 
-def block_count(df: DataFrame) -> tuple[DataFrame, int]:
+def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """The input and the number of blocks for it: its size over the block size, 1 at least. The size is
     that of the sources where the optimiser guesses more (it takes a join for a product); rows whose
     size nobody knows are stored, which tells it. The setting ``spark.tidemark.scanBlocks`` overrides it."""
@@ -42,7 +42,7 @@ def block_count(df: DataFrame) -> tuple[DataFrame, int]:
     if size >= UNKNOWN_BYTES:
         df = stored_copy(df, "sized")
         size = plan_bytes(df)
-    return df, 1 + size // BLOCK_BYTES
+    return df, 1 + size // block_bytes
 
 
 def _cut_groups(dealt: DataFrame, group: Sequence[str]) -> DataFrame:

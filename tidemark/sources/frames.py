@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.lsn import lsn_format, pg_micros_to_ts, ts_to_pg_micros
 from tidemark.operators.filters import dml_only, split_rejects
 from tidemark.operators.joins import resolve_relations
-from tidemark.operators.scale import neighbour, running
+from tidemark.operators.scale import block_count, neighbour, running
 from tidemark.session import stored_copy
 
 RELATION_SCHEMA = "seq bigint, rel_oid bigint, schema string, table string, columns array<struct<name:string,type_oid:bigint>>"
@@ -196,6 +196,10 @@ def transaction_brackets(frames: DataFrame, group: Sequence[str] = (), blocks: i
     return ahead.select(*group, "seq", "kind", "xid", F.when(committed, F.col("_ts")).otherwise(F.col("commit_ts")).alias("commit_ts"), committed.alias("committed"))
 
 
+# Source bytes of a block of decoded events, which are many times as wide as their frames.
+EVENT_BLOCK_BYTES = 8 << 20
+
+
 def with_transactions(events: DataFrame, frames: DataFrame, group: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
     """Events with ``xid``, ``commit_ts`` and ``bracket``: committed, open (the log ends, or begins another
     transaction, before it is closed) or outside. Brackets and events are put in one order of arrival,
@@ -205,6 +209,8 @@ def with_transactions(events: DataFrame, frames: DataFrame, group: Sequence[str]
     base = events.drop("xid", "commit_ts", "bracket")
     rows = base.select(*group, F.col("seq").cast("bigint").alias("seq"), F.lit(1).alias("_rank"), F.struct("*").alias("_event"))
     line = rows.unionByName(marks, allowMissingColumns=True)
+    if not blocks:
+        line, blocks = block_count(line, EVENT_BLOCK_BYTES)
     seen = running(line, list(group), ["seq", "_rank"], {"_seen": ("last", F.col("_mark"))}, blocks).where("_rank = 1")
     inside = F.col("_seen.kind") == "B"
     bracket = F.when(inside & F.col("_seen.committed"), "committed").when(inside, "open").otherwise("outside")
