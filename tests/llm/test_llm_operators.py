@@ -296,6 +296,26 @@ def test_raking_to_given_shares_within_what_there_is(spark):
     assert all(abs(r.reached - r.target) < 1e-5 and abs(r.target - r.wanted) < 1e-9 for r in mixing.reached_shares(raked).collect())
 
 
+def test_few_cells_are_raked_without_a_shuffle(spark, monkeypatch):
+    """One task holds few cells, whatever the session's partitions; more cells are dealt out and get the same weights."""
+    cells = spark.createDataFrame([(s, g, t, 1 + (3 * i + 5 * j + 7 * k) % 11) for i, s in enumerate("abcd") for j, g in enumerate("def")
+                                   for k, t in enumerate("gh")], "source string, lang string, topic string, tokens long")
+    plans, keep = [], mixing.stored_copy
+
+    def seen(df, label):
+        if label == "raked":
+            plans.append(("Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString(), df.rdd.getNumPartitions()))
+        return keep(df, label)
+
+    monkeypatch.setattr(mixing, "stored_copy", seen)
+    weights = []
+    for at_once in (mixing.TASK_CELLS, 5):
+        monkeypatch.setattr(mixing, "TASK_CELLS", at_once)
+        weights.append({(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, rounds=3, keep=0.5, tolerance=-1).collect()})
+    assert plans[:3] == [(False, 1)] * 3 and len(plans) == 6 and all(shuffled for shuffled, _ in plans[3:])
+    assert len(weights[0]) == 24 and weights[0].keys() == weights[1].keys() and all(abs(weights[0][c] - weights[1][c]) < 1e-12 for c in weights[0])
+
+
 def test_shares_that_cannot_be_met(spark):
     df = spark.createDataFrame([("a", "en", "x", 30), ("a", "de", "x", 10), ("b", "en", "x", 20)], "source string, lang string, topic string, tokens long")
     for shares in ({"lang": {"en": 0.8, "de": 0.4}}, {"lang": {"en": -0.1}}, {"lang": {"it": 0.2}}, {"topic": {"x": 0.5}}):
@@ -351,6 +371,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(odd) == 3 and all(0 <= r.score <= 1 for r in odd)
 
 
+def test_trees_learn_in_few_tasks(spark, monkeypatch):
+    """The sample is bounded, so the trees' many small jobs don't follow the partitions that keys are dealt to."""
+    docs, labels = labelled(spark)
+    kind, fit, tasks = type(docs), toxicity.GBTClassifier.fit, []
+    deal = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *by: deal(self, max(n, 16) if by else n, *by))
+    monkeypatch.setattr(toxicity.GBTClassifier, "fit", lambda self, rows: tasks.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    model = toxicity.train_toxicity(docs.select("doc_id", "text"), labels)
+    assert tasks == [toxicity.TREE_TASKS]
+    assert accuracy(toxicity.score_toxicity(docs, model), labels, "toxic", 0.3) > 0.9
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = labelled(spark)
     model = quality.train_quality(docs.select("doc_id", "text"), labels)

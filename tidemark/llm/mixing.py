@@ -13,6 +13,8 @@ from tidemark.session import stored_copy
 ROUNDS = 40
 TOLERANCE = 1e-9
 MIX_TOLERANCE = 1e-5
+# Cells raked in one task; more are dealt to as many tasks as their number asks for.
+TASK_CELLS = 1 << 15
 # Targets: shares in proportion to tokens to this power, and the part of all tokens to keep.
 POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 KEEP = 0.5
@@ -78,13 +80,16 @@ def rake(cells: DataFrame, powers: Mapping[str, float] = POWERS, rounds: int = R
     at that bound, so the next round hands on what was cut. It ends when no weight changes by more than
     ``tolerance``, at the latest after ``rounds``. Where cells that are absent or too small make targets
     impossible, sums stay apart; ``reached_shares`` shows how far. Cells are as many as combinations of values;
-    each round is written out, in a few tasks. Further columns: wanted_ and target_ of each dimension.
+    each round is written out, in a task for every TASK_CELLS of them. Where one task holds them all, a round
+    needs no shuffle, so its cost doesn't follow the session's number of partitions. Further columns: wanted_
+    and target_ of each dimension.
     """
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    total, n = cells.agg(F.sum("tokens"), F.count("*")).first()
+    total, tasks = float(total or 0), max(1, -(-n // TASK_CELLS))
     most = F.col("t") / F.lit(keep * total) if keep and total else F.lit(float("inf"))
     sums, mass = {}, 1.0
     for name in DIMENSIONS if total else ():
-        found = stored_copy(cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").cast("double").alias("t")).coalesce(4), "sums")
+        found = stored_copy(cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").cast("double").alias("t")).coalesce(tasks), "sums")
         sums[name] = _wanted(found, name, powers.get(name, 1.0), (shares or {}).get(name)).withColumn("most", most)
         mass = min(mass, sums[name].where("wanted > 0").agg(F.sum("most")).first()[0])
     state = cells.withColumns({"t": F.col("tokens").cast("double"), "weight": F.col("tokens") / F.lit(total or 1.0)}).withColumn("most", most)
@@ -94,7 +99,7 @@ def rake(cells: DataFrame, powers: Mapping[str, float] = POWERS, rounds: int = R
             continue
         shared = _targets(sums[name], mass).select(F.col("value").alias("_v"), F.col("wanted").alias(f"wanted_{name}"), F.col("target").alias(f"target_{name}"))
         state = state.join(shared, state[name] == F.col("_v")).drop("_v")
-    state = stored_copy(state.coalesce(4), "cells")
+    state = stored_copy(state.coalesce(tasks), "cells").coalesce(tasks)
     for _ in range(rounds if total else 0):
         state = state.withColumn("before", F.col("weight"))
         for name in DIMENSIONS:
@@ -102,9 +107,9 @@ def rake(cells: DataFrame, powers: Mapping[str, float] = POWERS, rounds: int = R
             scaled = F.when(F.col("_s") > 0, F.col("weight") * F.col(f"target_{name}") / F.col("_s")).otherwise(0.0)
             state = state.join(by_value, state[name] == F.col("_v")).withColumn("weight", scaled).drop("_v", "_s")
         seen = Observation()
-        state = state.withColumn("weight", F.least("weight", "most")).coalesce(4)
+        state = state.withColumn("weight", F.least("weight", "most")).coalesce(tasks)
         state = state.observe(seen, F.max(F.abs(F.col("weight") - F.col("before"))).alias("change")).drop("before")
-        state = stored_copy(state, "raked")
+        state = stored_copy(state, "raked").coalesce(tasks)
         if seen.get["change"] <= tolerance:
             break
     return state.drop("t", "most")

@@ -18,6 +18,8 @@ from tidemark.llm.words import row_starts, shingle_hashes, text_buffers, word_ch
 from tidemark.session import stored_copy
 
 SAMPLE = 12_000
+# The trees learn from the bounded sample in so many tasks, however many partitions the session deals rows to.
+TREE_TASKS = 4
 # A term of the lexicon occurs in so many toxic texts of the sample, with log odds of so much.
 LEAST_TEXTS, LEAST_ODDS = 2, 2.0
 _PREFIXES = (4, 5)
@@ -138,7 +140,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     seen = with_column(sample.where("part >= 2").select("doc_id", "text", "label", "part"), "text", "f", T.ArrayType(T.DoubleType()), _feature_pieces(lexicon))
     seen = stored_copy(seen.select("doc_id", "label", "part", "f"), "features")
     # The trees draw rows by their place: a fixed place for every row makes the model the same in every run.
-    seen = seen.repartition(4, "doc_id").sortWithinPartitions("doc_id", "label", "f").withColumn("features", array_to_vector("f"))
+    seen = seen.repartition(TREE_TASKS, "doc_id").coalesce(TREE_TASKS).sortWithinPartitions("doc_id", "label", "f").withColumn("features", array_to_vector("f"))
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=30, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, seed=11
                           ).fit(seen.where("part < 4").select("label", "features"))
     margins = trees.transform(seen.where("part = 4")).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
